@@ -1,0 +1,22 @@
+"""The 8 tables built from the driver's Parquet tables (synthesised corpus)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.pricing import price_table
+from ..operators.cowork import build_cowork_sessions
+from ..operators.parse import parse_lines
+from ..operators.tables import build_tables
+from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_lines
+
+
+def corpus_tables(spark: SparkSession, sf_dir: str, which: str = "all",
+                  extracted_at=None) -> dict[str, DataFrame]:
+    """Lazy tables of the corpus rendered from ``sf_dir`` (nothing runs yet)."""
+    entries = parse_lines(corpus_lines(spark, sf_dir, which))
+    tables = build_tables(entries, price_table(spark, CORPUS_PRICES), extracted_at=extracted_at)
+    if which in ("all", "conversations"):
+        conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        tables["cowork_sessions"] = build_cowork_sessions(conversation_sidecars(conv))
+    return tables
