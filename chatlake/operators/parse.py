@@ -29,28 +29,48 @@ from ..functions.text import json_truthy, nonempty, truncate, MAX_CONTENT_TEXT
 from ..functions.timestamps import NUMERIC_PATTERN, parse_timestamp
 
 JSON_OPTS = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
+# Any option keeps Catalyst from splitting one from_json into one parse per
+# extracted field (it only prunes schemas of option-less JSON reads).
+ONE_PARSE = {"mode": "PERMISSIVE"}
 
 
-def _block_struct(raw):
-    b = F.from_json(raw, schemas.BLOCK_DDL)
+BLOCK_FIELDS = ("type", "text", "thinking", "id", "name", "input", "tool_use_id",
+                "is_error", "content")
+
+
+def _with_items(b, items):
+    return F.struct(*[b[n].alias(n) for n in BLOCK_FIELDS], items.alias("items"))
+
+
+def _typed_block(b):
+    """A block from the typed read; a tool result's list content is read from
+    its raw text (D7: a *string* result that is itself a JSON list of
+    objects is read as that list)."""
     items = F.when((b["type"] == "tool_result") & b["content"].startswith("["),
-                   F.from_json(raw, schemas.RESULT_ITEMS_DDL)["content"])
-    return F.struct(*[b[n].alias(n) for n in
-                      ("type", "text", "thinking", "id", "name", "input",
-                       "tool_use_id", "is_error", "content")],
-                    items.alias("items"))
+                   F.from_json(b["content"], schemas.RESULT_LIST_DDL, ONE_PARSE))
+    return _with_items(b, items)
+
+
+def _raw_block(raw):
+    """Fallback: a block kept as raw JSON text (exact for every element type)."""
+    b = F.from_json(raw, schemas.BLOCK_DDL, ONE_PARSE)
+    items = F.when((b["type"] == "tool_result") & b["content"].startswith("["),
+                   F.from_json(raw, schemas.RESULT_ITEMS_DDL, ONE_PARSE)["content"])
+    return _with_items(b, items)
+
+
+def _envelope():
+    return F.from_json("value", schemas.ENVELOPE_DDL, JSON_OPTS)
 
 
-def split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P1 + envelope parse. Returns (parsed, quarantine)."""
-    env = lines.withColumn("e", F.from_json("value", schemas.ENVELOPE_DDL, JSON_OPTS))
+def quarantine(lines: DataFrame) -> DataFrame:
+    """D-1: lines the parse skips (blank, or not one JSON object), with a reason."""
+    e = _envelope()
     blank = F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") == ""
-    bad = F.col("e._corrupt_record").isNotNull() | F.col("e").isNull()
-    reason = F.when(blank, "blank").when(bad, "malformed_json")
-    tagged = env.withColumn("_reason", reason)
-    quarantine = tagged.filter(F.col("_reason").isNotNull()).select(
-        "file_path", "session_id", "line_num", F.col("_reason").alias("reason"), "value")
-    return tagged.filter(F.col("_reason").isNull()).drop("_reason"), quarantine
+    reason = (F.when(blank, F.lit("blank"))
+              .when(e.isNull() | e["_corrupt_record"].isNotNull(), F.lit("malformed_json")))
+    return (lines.select("file_path", "session_id", "line_num", reason.alias("reason"), "value")
+            .filter(F.col("reason").isNotNull()))
 
 
 def parse_lines(lines: DataFrame, with_quarantine: bool = False):
@@ -59,15 +79,20 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     Entries keep every entry type (A1/A3 need system and other types too);
     message fields are set for user/assistant entries only.
     """
-    valid, quarantine = split_valid(lines)
+    # A blank or malformed line parses to a NULL envelope and so adds
+    # nothing to any table. No filter here on purpose: Catalyst would push
+    # it below the projection and parse every line twice.
+    raw = F.col("e_raw")
+    valid = lines.withColumn("e_raw", _envelope()).withColumn(
+        "e", F.when(raw["_corrupt_record"].isNull(), raw)).drop("e_raw")
     e = F.col("e")
     etype = e["type"]
     is_msg = etype.isin("user", "assistant")
     ts_raw = e["timestamp"]
     ts_num = F.when(ts_raw.rlike(NUMERIC_PATTERN),
-                    F.from_json("value", "timestamp double")["timestamp"])
+                    F.from_json("value", "timestamp double", ONE_PARSE)["timestamp"])
     msg = e["message"]
-    content_arr = F.when(is_msg, F.from_json("value", schemas.CONTENT_ARRAY_DDL)["message"]["content"])
+    typed = F.when(is_msg, F.from_json("value", schemas.CONTENT_BLOCKS_DDL, ONE_PARSE)["message"]["content"])
     usage_raw = F.when(is_msg, msg["usage"])
     out = valid.select(
         *schemas.FILE_COLS, "line_num",
@@ -85,17 +110,23 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
         F.when(is_msg, msg["id"]).alias("api_message_id"),
         F.when(is_msg, msg["stop_reason"]).alias("stop_reason"),
         usage_raw.alias("usage_raw"),
-        content_arr.alias("content_arr"),
+        typed.alias("typed"),
         "value",
     )
+    # Arrays the typed read rejects (e.g. a bare string element) take the
+    # exact, slower path: elements as raw JSON, parsed one by one.
+    out = out.withColumn("content_arr", F.when(
+        F.col("is_message") & F.col("typed").isNull(),
+        F.transform(F.from_json("value", schemas.CONTENT_ARRAY_DDL, ONE_PARSE)["message"]["content"],
+                    _raw_block)))
     # Second stage: string content by path (only when not an array), blocks.
     out = out.select(
         "*",
         F.when(F.col("is_message") & F.col("content_arr").isNull(),
                F.get_json_object("value", "$.message.content")).alias("content_str"),
-        F.transform("content_arr", _block_struct).alias("blocks"),
-        F.from_json("usage_raw", schemas.USAGE_DDL).alias("u"),
-    ).drop("content_arr")
+        F.coalesce(F.transform("typed", _typed_block), F.col("content_arr")).alias("blocks"),
+        F.from_json("usage_raw", schemas.USAGE_DDL, ONE_PARSE).alias("u"),
+    ).drop("content_arr", "typed")
     out = out.withColumn("text", F.when(F.col("is_message"), C.content_text("content_str", "blocks")))
     usage_present = F.col("usage_raw").isNotNull() & (F.col("usage_raw") != "{}")
 
@@ -123,7 +154,7 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
         F.when(is_asst, C.tool_uses("blocks")).alias("tool_uses"),
         F.when(F.col("role") == "user", C.tool_results("blocks")).alias("tool_results"),
     )
-    return (entries, quarantine) if with_quarantine else entries
+    return (entries, quarantine(lines)) if with_quarantine else entries
 
 
 def message_id(session_col="session_id", line_col="line_num"):

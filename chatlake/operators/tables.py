@@ -9,6 +9,8 @@ Messages get their sequence numbers from the skew-safe block positions in
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions.content import first_truthy
 from ..functions.text import (MAX_COMMAND, MAX_COMMAND_ARGS, MAX_CONTENT_TEXT,
                               MAX_INPUT_SUMMARY, bash_paths, nonempty, truncate)
 from .ordinal import line_position
-from .parse import message_id
+from .parse import ONE_PARSE, message_id
 
 FILE_OPS = ["read", "write", "edit", "glob", "grep", "notebookedit"]
 
@@ -51,7 +53,7 @@ def _tool_use_rows(entries: DataFrame) -> DataFrame:
         "session_id", "load_rank", "file_path", "line_num", "ts",
         message_id().alias("message_id"),
         F.posexplode("tool_uses").alias("pos", "tu"))
-    inp = F.from_json(F.col("tu")["input"], schemas.TOOL_INPUT_DDL)
+    inp = F.from_json(F.col("tu")["input"], schemas.TOOL_INPUT_DDL, ONE_PARSE)
     return tu.select(
         "session_id", "load_rank", "file_path", "line_num", "pos", "ts", "message_id",
         F.col("tu")["id"].alias("tool_call_id"), F.col("tu")["name"].alias("tool_name"),
@@ -212,15 +214,43 @@ def last_wins(rows: DataFrame, keys: list[str], order_col: str, schema) -> DataF
     return agg.select(*keys, "_v.*").select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+class LazyTables(Mapping):
+    """Table name -> DataFrame, each plan built on first access only.
+
+    Building a DataFrame runs Catalyst analysis; reports touch one or two
+    tables, so the others are never planned.
+    """
+
+    def __init__(self, builders: dict):
+        self._builders = dict(builders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self._builders[name] = lambda: df
+        self._built[name] = df
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 def build_tables(entries: DataFrame, prices: DataFrame, files: DataFrame | None = None,
-                 extracted_at=None) -> dict[str, DataFrame]:
-    sessions = build_sessions(entries, prices, files, extracted_at)
-    starts = entries.groupBy("session_id").agg(F.min("ts").alias("started_at"))
-    return {
-        "sessions": sessions,
-        "messages": build_messages(entries),
-        "tool_calls": build_tool_calls(entries),
-        "command_invocations": build_commands(entries),
-        "files_referenced": build_files_referenced(entries, starts),
-        "model_usage": build_model_usage(entries),
-    }
+                 extracted_at=None) -> LazyTables:
+    """The six per-session tables of ``entries`` (lazy mapping)."""
+    def starts():
+        return entries.groupBy("session_id").agg(F.min("ts").alias("started_at"))
+    return LazyTables({
+        "sessions": lambda: build_sessions(entries, prices, files, extracted_at),
+        "messages": lambda: build_messages(entries),
+        "tool_calls": lambda: build_tool_calls(entries),
+        "command_invocations": lambda: build_commands(entries),
+        "files_referenced": lambda: build_files_referenced(entries, starts()),
+        "model_usage": lambda: build_model_usage(entries),
+    })

@@ -1,4 +1,11 @@
-"""The 8 tables built from the driver's Parquet tables (synthesised corpus)."""
+"""The 8 tables built from the driver's Parquet tables (synthesised corpus).
+
+The parsed entries are written once as a bronze Parquet table under the
+session's checkpoint folder and every table is built from that copy: the
+raw JSON is parsed once, the lineage is cut (a lost executor re-reads
+Parquet instead of re-rendering and re-parsing), and each report's plan
+stays small enough for Catalyst and whole-stage codegen.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +15,29 @@ from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines
 from ..operators.tables import build_tables
+from ..session import scratch_path
 from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_lines
 
+_BRONZE: dict[tuple, str] = {}
+
+
+def corpus_entries(spark: SparkSession, sf_dir: str, which: str = "all") -> DataFrame:
+    """Bronze entries of the corpus, written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, which)
+    path = _BRONZE.get(key)
+    if path is None:
+        path = scratch_path(spark, "bronze-entries")
+        parse_lines(corpus_lines(spark, sf_dir, which)).write.mode("overwrite").parquet(path)
+        _BRONZE[key] = path
+    return spark.read.parquet(path)
+
 
 def corpus_tables(spark: SparkSession, sf_dir: str, which: str = "all",
                   extracted_at=None) -> dict[str, DataFrame]:
-    """Lazy tables of the corpus rendered from ``sf_dir`` (nothing runs yet)."""
-    entries = parse_lines(corpus_lines(spark, sf_dir, which))
+    """Tables of the corpus rendered from ``sf_dir`` (lazy, over bronze entries)."""
+    entries = corpus_entries(spark, sf_dir, which)
     tables = build_tables(entries, price_table(spark, CORPUS_PRICES), extracted_at=extracted_at)
     if which in ("all", "conversations"):
-        conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-        tables["cowork_sessions"] = build_cowork_sessions(conversation_sidecars(conv))
+        tables._builders["cowork_sessions"] = lambda: build_cowork_sessions(
+            conversation_sidecars(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return tables

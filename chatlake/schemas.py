@@ -37,8 +37,16 @@ ENVELOPE_DDL = (
     "message struct<role string, model string, id string, stop_reason string, "
     "usage string>, _corrupt_record string"
 )
-# Second parse, only for lines whose content is a JSON array.
+# Second parse of user/assistant lines: content as typed blocks. It fails
+# (NULL) for string content and for arrays holding a non-object element.
+CONTENT_BLOCKS_DDL = (
+    "message struct<content array<struct<type string, text string, thinking string, "
+    "id string, name string, input string, tool_use_id string, is_error string, "
+    "content string>>>"
+)
+# Fallback for arrays the typed read rejects: elements kept as raw JSON.
 CONTENT_ARRAY_DDL = "message struct<content array<string>>"
+RESULT_LIST_DDL = "array<struct<type string, text string>>"
 BLOCK_DDL = (
     "type string, text string, thinking string, id string, name string, "
     "input string, tool_use_id string, is_error string, content string"

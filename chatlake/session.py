@@ -24,6 +24,7 @@ ENGINE_CONF = {
     # Many small transcript files: pack them into fewer scan tasks.
     "spark.sql.files.openCostInBytes": str(1 << 20),
     "spark.sql.files.ignoreMissingFiles": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
