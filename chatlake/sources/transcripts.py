@@ -49,6 +49,27 @@ def _list(spark: SparkSession, path: str, recursive: bool = False,
                      F.col("modificationTime").alias("file_mtime"))
 
 
+def _list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file under ``root`` at any depth, hidden folders included.
+
+    Spark's file index skips names starting with '.' or '_', but transcripts
+    sit under ``.claude`` folders, so the tree is listed with the Hadoop
+    FileSystem API (metadata only, like any file index listing).
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    if fs.exists(path):
+        it = fs.listFiles(path, True)
+        while it.hasNext():
+            st = it.next()
+            rows.append((st.getPath().toUri().toString(), int(st.getLen()), int(st.getModificationTime())))
+    df = spark.createDataFrame(rows, "uri string, file_size long, mtime_ms long")
+    return df.select(decode_path("uri").alias("path"), "file_size",
+                     F.timestamp_millis("mtime_ms").alias("file_mtime"))
+
+
 def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.jsonl$", "")
 
@@ -72,7 +93,8 @@ def discover_cowork_files(spark: SparkSession, cowork_dir: str) -> DataFrame:
 
     Adds ``cowork_dir_id`` (nearest ``local_*`` ancestor) and ``sidecar_path``.
     """
-    files = _list(spark, cowork_dir.rstrip("/"), recursive=True)
+    tree = _list_tree(spark, cowork_dir.rstrip("/"))
+    files = tree.filter(F.col("path").endswith(".jsonl"))
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     dir_path = F.regexp_replace("path", r"/[^/]*$", "")
@@ -92,14 +114,12 @@ def discover_cowork_files(spark: SparkSession, cowork_dir: str) -> DataFrame:
 
 
 def read_sidecars(spark: SparkSession, cowork_dir: str) -> DataFrame:
-    """S3: every ``local_*.json`` under the cowork folder as whole text."""
-    try:
-        df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "local_*.json")
-              .option("wholetext", "true").text(cowork_dir.rstrip("/")))
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], "sidecar_path string, sidecar_text string")
-        raise
+    """S3: every ``local_*.json`` under the cowork folder, as whole text."""
+    tree = _list_tree(spark, cowork_dir.rstrip("/"))
+    names = [r[0] for r in tree.filter(F.col("path").rlike(r"/local_[^/]*\.json$")).select("path").collect()]
+    if not names:
+        return spark.createDataFrame([], "sidecar_path string, sidecar_text string")
+    df = spark.read.option("wholetext", "true").text(names)
     return df.select(decode_path(F.col("_metadata.file_path")).alias("sidecar_path"),
                      F.col("value").alias("sidecar_text"))
 
