@@ -83,8 +83,12 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     # nothing to any table. No filter here on purpose: Catalyst would push
     # it below the projection and parse every line twice.
     raw = F.col("e_raw")
-    valid = lines.withColumn("e_raw", _envelope()).withColumn(
-        "e", F.when(raw["_corrupt_record"].isNull(), raw)).drop("e_raw")
+    blank = F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") == ""
+    valid = lines.withColumn("e_raw", _envelope()).select(
+        "*", F.when(raw["_corrupt_record"].isNull(), raw).alias("e"),
+        F.when(blank, F.lit("blank"))
+         .when(raw.isNull() | raw["_corrupt_record"].isNotNull(), F.lit("malformed_json")).alias("parse_error"),
+    ).drop("e_raw")
     e = F.col("e")
     etype = e["type"]
     is_msg = etype.isin("user", "assistant")
@@ -111,7 +115,7 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
         F.when(is_msg, msg["stop_reason"]).alias("stop_reason"),
         usage_raw.alias("usage_raw"),
         typed.alias("typed"),
-        "value",
+        "value", "parse_error",
     )
     # Arrays the typed read rejects (e.g. a bare string element) take the
     # exact, slower path: elements as raw JSON, parsed one by one.
@@ -153,10 +157,19 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
         F.when(F.col("role") == "user", command_invocation(text)).alias("command"),
         F.when(is_asst, C.tool_uses("blocks")).alias("tool_uses"),
         F.when(F.col("role") == "user", C.tool_results("blocks")).alias("tool_results"),
+        # D-1: skipped lines keep their reason and text (NULL on good lines).
+        "parse_error", F.when(F.col("parse_error").isNotNull(), F.col("value")).alias("bad_value"),
     )
     return (entries, quarantine(lines)) if with_quarantine else entries
 
 
+def quarantine_of(entries: DataFrame) -> DataFrame:
+    """D-1 from parsed entries (no second parse of the raw lines)."""
+    return entries.filter(F.col("parse_error").isNotNull()).select(
+        "file_path", "session_id", "line_num", F.col("parse_error").alias("reason"),
+        F.col("bad_value").alias("value"))
+
+
 def message_id(session_col="session_id", line_col="line_num"):
     """P5: the entry's uuid, else ``{session_id}-{line_num}`` (null uuid = missing, D1)."""
     return F.coalesce(F.col("uuid"), F.concat_ws("-", F.col(session_col), F.col(line_col).cast("string")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
-from ..operators.parse import parse_lines, quarantine
+from ..operators.parse import parse_lines, quarantine_of
 from ..operators.tables import LazyTables, build_tables
 from ..sources import transcripts as T
 from .incremental import changed_files
@@ -84,11 +84,15 @@ class DiskSource:
 class LinesSource:
     """Already-rendered lines (the LINES contract), e.g. the synthesised corpus."""
     lines_df: DataFrame
-    sidecars_df: DataFrame | None = None   # cowork_dir_id, session_id, …, sidecar_text
+    files_df: DataFrame | None = None   # FILE_COLS, one row per file, when known
 
     def discover(self, spark: SparkSession) -> DataFrame:
-        files = self.lines_df.groupBy(*schemas.FILE_COLS).agg(F.lit(None).cast("string").alias("cowork_dir_id"))
-        return files.withColumn("sidecar_path", F.lit(None).cast("string"))
+        files = self.files_df
+        if files is None:
+            files = self.lines_df.groupBy(*schemas.FILE_COLS).agg(F.lit(1).alias("_n")).drop("_n")
+        return (files.select(*schemas.FILE_COLS)
+                .withColumn("cowork_dir_id", F.lit(None).cast("string"))
+                .withColumn("sidecar_path", F.lit(None).cast("string")))
 
     def lines(self, spark: SparkSession, chosen: DataFrame) -> DataFrame:
         return self.lines_df.join(chosen.select("file_path"), "file_path", "left_semi")
@@ -205,7 +209,8 @@ def _resolve_project_paths(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, source, root: str, mode: str = "incremental",
-        prices: dict | None = None, now: _dt.datetime | None = None) -> RunResult:
+        prices: dict | None = None, now: _dt.datetime | None = None,
+        timings: dict | None = None) -> RunResult:
     """Extract new and changed transcripts into the table root.
 
     ``mode='incremental'`` (I1): only files that are new or whose size or
@@ -214,6 +219,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     """
     now = now or _dt.datetime.now(_dt.timezone.utc)
     batch = new_batch_id(now)
+    clock = _Clock(timings)
     store = TableRoot(spark, root)
     gen = store.current_generation()
     if mode == "full" or gen is None:
@@ -232,6 +238,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     chosen.write.mode("overwrite").parquet(chosen_path)
     chosen = spark.read.parquet(chosen_path)
     n_files = chosen.count()
+    clock("discover")
     if n_files == 0:
         return RunResult(batch, gen if prior else (prior or gen), 0, {"sessions": 0})
     winners = chosen.filter(~F.col("is_loser"))
@@ -241,7 +248,8 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     bronze_path = store.path(gen, "bronze", batch)
     parse_lines(lines).write.mode("overwrite").parquet(bronze_path)
     entries = spark.read.parquet(bronze_path)
-    quarantine(lines).write.mode("overwrite").parquet(store.path(gen, "quarantine", batch))
+    clock("parse_bronze")
+    quarantine_of(entries).write.mode("overwrite").parquet(store.path(gen, "quarantine", batch))
 
     # Sidecar metadata (S3/J4): title feeds the cowork project path.
     side = source.sidecars(spark)
@@ -264,6 +272,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
         if t in sort_keys:
             df = df.sortWithinPartitions(*sort_keys[t])
         df.write.mode("overwrite").parquet(store.path(gen, t, batch))
+        clock(t)
     if links is not None:
         build_cowork_sessions(links.select("cowork_dir_id", "session_id", "load_rank", "file_path",
                                            "sidecar_text")) \
@@ -276,7 +285,26 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     manifest.drop("batch_id").write.mode("overwrite").parquet(store.path(gen, "etl_state", batch))
     if gen != prior:
         store.set_generation(gen)
-    return RunResult(batch, gen, n_files, summary(spark, store, gen, batch))
+    clock("manifest")
+    out = RunResult(batch, gen, n_files, summary(spark, store, gen, batch))
+    clock("summary")
+    return out
+
+
+class _Clock:
+    """Optional wall-clock split of a run (seconds per step)."""
+
+    def __init__(self, sink: dict | None):
+        import time
+        self._time = time.time
+        self._sink = sink
+        self._t = self._time()
+
+    def __call__(self, step: str) -> None:
+        if self._sink is not None:
+            now = self._time()
+            self._sink[step] = round(now - self._t, 3)
+            self._t = now
 
 
 def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict:

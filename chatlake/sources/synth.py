@@ -249,3 +249,37 @@ def conversation_sidecars(conversations: DataFrame) -> DataFrame:
         sid.alias("session_id"), F.lit(1).alias("load_rank"),
         F.concat(F.lit("synthetic://conversations/"), sid, F.lit(".jsonl")).alias("file_path"),
         sidecar.alias("sidecar_text"))
+
+
+def corpus_files(spark: SparkSession, sf_dir: str, which: str = "all") -> DataFrame:
+    """One FILE_COLS row per corpus session, straight from the tables (no rendering)."""
+    parts = []
+    if which in ("all", "conversations"):
+        cid = F.col("conv_id")
+        sid = F.concat(F.when(cid % 10 == 0, F.lit("agent-")).otherwise(F.lit("")),
+                       F.lit("conv-"), cid.cast("string"))
+        source = F.when(cid % 4 == 3, F.lit("cowork")).otherwise(F.lit("claude-code"))
+        conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+        parts.append(conv.select(
+            source.alias("source"), F.concat(F.lit("synthetic://conversations/"), sid, F.lit(".jsonl")).alias("file_path"),
+            sid.alias("session_id"), (cid % 10 == 0).alias("is_agent"),
+            F.concat(F.lit("-p-"), (cid % 7).cast("string")).alias("project_dir_name"),
+            F.concat(F.lit("/p/"), (cid % 7).cast("string")).alias("project_path"),
+            F.lit(None).cast("long").alias("file_size"), F.lit(None).cast("timestamp").alias("file_mtime"),
+            _load_rank(source).alias("load_rank")))
+    if which in ("all", "events"):
+        uid = F.col("user_id")
+        ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+            "user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day")).distinct()
+        sid = F.concat(F.lit("u"), uid.cast("string"), F.lit("-"), F.col("day"))
+        parts.append(ev.select(
+            F.lit("claude-code").alias("source"), F.concat(F.lit("synthetic://events/"), sid, F.lit(".jsonl")).alias("file_path"),
+            sid.alias("session_id"), F.lit(False).alias("is_agent"),
+            F.concat(F.lit("-u-"), (uid % 5).cast("string")).alias("project_dir_name"),
+            F.concat(F.lit("/u/"), (uid % 5).cast("string")).alias("project_path"),
+            F.lit(None).cast("long").alias("file_size"), F.lit(None).cast("timestamp").alias("file_mtime"),
+            F.lit(0).alias("load_rank")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
