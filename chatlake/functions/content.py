@@ -58,8 +58,10 @@ def has_thinking(blocks) -> Column:
 
 
 def tool_uses(blocks) -> Column:
-    """the tool_use blocks of a message (position kept by posexplode)."""
-    return F.filter(col(blocks), lambda b: b["type"] == "tool_use")
+    """the tool_use blocks of a message as (id, name, input) structs."""
+    return F.transform(F.filter(col(blocks), lambda b: b["type"] == "tool_use"),
+                       lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"),
+                                          b["input"].alias("input")))
 
 
 def tool_results(blocks) -> Column:

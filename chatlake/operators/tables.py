@@ -69,7 +69,10 @@ def build_tool_calls(entries: DataFrame) -> DataFrame:
     results = (entries.filter(F.col("tool_results").isNotNull() & (F.size("tool_results") > 0))
                .select("session_id", "line_num", F.posexplode("tool_results").alias("pos", "r"))
                .groupBy("session_id", F.col("r")["tool_use_id"].alias("tool_call_id"))
-               .agg(F.max_by(F.col("r")["is_error"], F.struct("line_num", "pos")).alias("res_error")))
+               # Last result wins; the (line, position) order packed in one long
+               # keeps the aggregation buffer fixed-width (hash aggregate).
+               .agg(F.max_by(F.col("r")["is_error"],
+                             F.col("line_num") * F.lit(1 << 20) + F.col("pos")).alias("res_error")))
     linked = calls.join(results, ["session_id", "tool_call_id"], "left")
     rows = linked.filter(F.col("tool_call_id").isNotNull() & F.col("tool_name").isNotNull()).select(
         "tool_call_id", "message_id", "session_id", "tool_name",
@@ -96,17 +99,25 @@ def build_commands(entries: DataFrame) -> DataFrame:
 
 
 def build_files_referenced(entries: DataFrame, session_starts: DataFrame) -> DataFrame:
-    """A12 + A13 + U2 + J5: (session, path, op) counts, stamped with the session start."""
+    """A12 + A13 + U2 + J5: (session, path, op) counts, stamped with the session start.
+
+    Each tool use yields its path row and its Bash-mined path rows in one
+    array, so the entries are scanned and exploded once.
+    """
     calls = _tool_use_rows(entries)
     name_lc = F.lower("tool_name")
-    by_tool = calls.filter(nonempty("path").isNotNull()).select(
-        "session_id", F.col("path").alias("file_path"),
-        F.when(name_lc.isin(*FILE_OPS), name_lc).otherwise(F.lit("other")).alias("operation"))
-    by_bash = (calls.filter((F.col("tool_name") == "Bash") & nonempty("command_raw").isNotNull())
-               .select("session_id", F.explode(bash_paths("command_raw")).alias("file_path"),
-                       F.lit("bash").alias("operation")))
-    counts = (by_tool.unionByName(by_bash)
-              .groupBy("session_id", "file_path", "operation")
+    pair_type = "array<struct<file_path:string,operation:string>>"
+    by_tool = F.when(nonempty("path").isNotNull(), F.array(F.struct(
+        F.col("path").alias("file_path"),
+        F.when(name_lc.isin(*FILE_OPS), name_lc).otherwise(F.lit("other")).alias("operation")))
+    ).otherwise(F.array().cast(pair_type))
+    by_bash = F.when((F.col("tool_name") == "Bash") & nonempty("command_raw").isNotNull(),
+                     F.transform(bash_paths("command_raw"),
+                                 lambda p: F.struct(p.alias("file_path"), F.lit("bash").alias("operation")))
+                     ).otherwise(F.array().cast(pair_type))
+    counts = (calls.select("session_id", F.explode(F.concat(by_tool.cast(pair_type), by_bash.cast(pair_type))).alias("f"))
+              .groupBy("session_id", F.col("f")["file_path"].alias("file_path"),
+                       F.col("f")["operation"].alias("operation"))
               .agg(F.count(F.lit(1)).cast("int").alias("reference_count")))
     starts = session_starts.select("session_id", F.col("started_at").alias("first_referenced_at"))
     return counts.join(starts, "session_id", "left").select(

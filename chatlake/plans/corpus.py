@@ -16,7 +16,7 @@ from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines
 from ..operators.tables import build_tables
 from ..session import scratch_path
-from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_lines
+from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_files, corpus_lines
 
 _BRONZE: dict[tuple, str] = {}
 
@@ -36,7 +36,8 @@ def corpus_tables(spark: SparkSession, sf_dir: str, which: str = "all",
                   extracted_at=None) -> dict[str, DataFrame]:
     """Tables of the corpus rendered from ``sf_dir`` (lazy, over bronze entries)."""
     entries = corpus_entries(spark, sf_dir, which)
-    tables = build_tables(entries, price_table(spark, CORPUS_PRICES), extracted_at=extracted_at)
+    tables = build_tables(entries, price_table(spark, CORPUS_PRICES),
+                          files=corpus_files(spark, sf_dir, which), extracted_at=extracted_at)
     if which in ("all", "conversations"):
         tables._builders["cowork_sessions"] = lambda: build_cowork_sessions(
             conversation_sidecars(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
