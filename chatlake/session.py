@@ -51,16 +51,18 @@ def apply_engine_conf(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Reads ``spark.checkpoint.dir``; when it is unset (local runs, tests) a
-    folder under the system temp dir is created and registered once.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint folder); only
+    when neither is set (local runs, tests) a folder under the system temp
+    dir is created and registered, once.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core settings may be read-only at runtime
+            pass
     return d
 
 
