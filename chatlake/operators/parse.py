@@ -59,6 +59,15 @@ def _raw_block(raw):
     return _with_items(b, items)
 
 
+def _bad_reason():
+    """Why a line is not an entry: valid JSON that is not an object
+    ('not_object', a file error for the reference, Q9) or invalid JSON
+    ('malformed_json', which the reference skips silently)."""
+    trimmed = F.regexp_replace(F.col("value"), r"(?U)^\s+", "")
+    return F.when(~trimmed.startswith("{") & F.try_parse_json(F.col("value")).isNotNull(),
+                  F.lit("not_object")).otherwise(F.lit("malformed_json"))
+
+
 def _envelope():
     return F.from_json("value", schemas.ENVELOPE_DDL, JSON_OPTS)
 
@@ -68,7 +77,7 @@ def quarantine(lines: DataFrame) -> DataFrame:
     e = _envelope()
     blank = F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") == ""
     reason = (F.when(blank, F.lit("blank"))
-              .when(e.isNull() | e["_corrupt_record"].isNotNull(), F.lit("malformed_json")))
+              .when(e.isNull() | e["_corrupt_record"].isNotNull(), _bad_reason()))
     return (lines.select("file_path", "session_id", "line_num", reason.alias("reason"), "value")
             .filter(F.col("reason").isNotNull()))
 
@@ -87,7 +96,7 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     valid = lines.withColumn("e_raw", _envelope()).select(
         "*", F.when(raw["_corrupt_record"].isNull(), raw).alias("e"),
         F.when(blank, F.lit("blank"))
-         .when(raw.isNull() | raw["_corrupt_record"].isNotNull(), F.lit("malformed_json")).alias("parse_error"),
+         .when(raw.isNull() | raw["_corrupt_record"].isNotNull(), _bad_reason()).alias("parse_error"),
     ).drop("e_raw")
     e = F.col("e")
     etype = e["type"]

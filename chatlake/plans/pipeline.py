@@ -158,10 +158,17 @@ class TableRoot:
         if gen is None:
             raise FileNotFoundError(f"no table generation under {self.root}")
 
+        memo: dict[str, DataFrame] = {}
+
         def winners():
-            st = self.state(gen).filter(~F.col("is_loser"))
-            return (st.groupBy("session_id")
-                    .agg(F.max_by("batch_id", F.struct("batch_id", "file_path")).alias("batch_id")))
+            # One row per session: the batch holding its current rows, read
+            # from the manifest each time (no cache: a cached plan over the
+            # same folder would hide batches appended later).
+            if "w" not in memo:
+                st = self.state(gen).filter(~F.col("is_loser"))
+                memo["w"] = (st.groupBy("session_id")
+                             .agg(F.max_by("batch_id", F.struct("batch_id", "file_path")).alias("batch_id")))
+            return memo["w"]
 
         def session_view(t):
             return lambda: (self.read(gen, t).join(winners(), ["session_id", "batch_id"], "left_semi")
@@ -210,12 +217,17 @@ def _resolve_project_paths(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, source, root: str, mode: str = "incremental",
         prices: dict | None = None, now: _dt.datetime | None = None,
-        timings: dict | None = None) -> RunResult:
+        timings: dict | None = None, on_error: str = "line") -> RunResult:
     """Extract new and changed transcripts into the table root.
 
     ``mode='incremental'`` (I1): only files that are new or whose size or
     mtime changed are read, and they are re-read whole. ``mode='full'``
     (S10): every file, into a new generation that replaces the old one.
+
+    ``on_error='line'`` (default) skips bad lines into the quarantine table;
+    ``on_error='file'`` (D-2, the reference's behaviour) drops every file with
+    a non-object JSON line from this batch and leaves it out of the manifest,
+    so it is tried again next run.
     """
     now = now or _dt.datetime.now(_dt.timezone.utc)
     batch = new_batch_id(now)
@@ -250,6 +262,12 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     entries = spark.read.parquet(bronze_path)
     clock("parse_bronze")
     quarantine_of(entries).write.mode("overwrite").parquet(store.path(gen, "quarantine", batch))
+    if on_error == "file":
+        failed = (entries.filter(F.col("parse_error") == "not_object")
+                  .select("file_path").distinct())
+        entries = entries.join(failed, "file_path", "left_anti")
+        winners = winners.join(failed, "file_path", "left_anti")
+        chosen = chosen.join(failed, "file_path", "left_anti")
 
     # Sidecar metadata (S3/J4): title feeds the cowork project path.
     side = source.sidecars(spark)
@@ -314,6 +332,11 @@ def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict
         F.coalesce(F.sum("estimated_total_cost_usd"), F.lit(0.0)).alias("cost_usd")).first()
     msgs = spark.read.parquet(store.path(gen, "messages", batch)).count()
     tools = spark.read.parquet(store.path(gen, "tool_calls", batch)).count()
-    bad = spark.read.parquet(store.path(gen, "quarantine", batch)).count()
+    q = spark.read.parquet(store.path(gen, "quarantine", batch)).groupBy("reason").count().collect()
+    bad = {r["reason"]: r["count"] for r in q}
+    uses = spark.read.parquet(store.path(gen, "sessions", batch)).agg(F.sum("tool_call_count")).first()[0] or 0
     return {"sessions": s["sessions"], "messages": msgs, "tool_calls": tools,
-            "cost_usd": s["cost_usd"], "skipped_lines": bad}
+            "cost_usd": s["cost_usd"], "skipped_lines": sum(bad.values()),
+            "skipped_by_reason": bad,
+            # D-3: tool uses not kept as rows (NULL id or name, or a repeated id)
+            "tool_uses_dropped": int(uses) - tools}

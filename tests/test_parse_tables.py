@@ -193,7 +193,7 @@ def test_dirty_lines(spark):
                                        "total_cache_creation_tokens": 0, "total_cache_read_tokens": 0}]
     q = rows(quarantine(lines_df(spark, sess)), ["line_num"])
     assert [(x["line_num"], x["reason"]) for x in q] == [
-        (0, "blank"), (1, "blank"), (2, "malformed_json"), (3, "malformed_json")]
+        (0, "blank"), (1, "blank"), (2, "malformed_json"), (3, "not_object")]
 
 
 def test_truncation_counts_code_points(spark):

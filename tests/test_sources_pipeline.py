@@ -144,3 +144,21 @@ def test_line_numbers_across_splits(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r["line_num"], r["u"]) for r in got) == [(i, f"m{i}") for i in range(3000)]
+
+
+def test_on_error_file_retries_next_run(spark, tmpdir_path):
+    c = f"{tmpdir_path}/claude/projects/p"
+    write_jsonl(f"{c}/good.jsonl", [_user("g1", "fine"), "{broken", ""])
+    write_jsonl(f"{c}/bad.jsonl", [_user("b1", "x"), "[1, 2]"])
+    src = pipeline.DiskSource(f"{tmpdir_path}/claude")
+    root = f"{tmpdir_path}/t"
+    res = pipeline.run(spark, src, root, on_error="file")
+    assert res.summary["skipped_by_reason"] == {"malformed_json": 1, "blank": 1, "not_object": 1}
+    v = pipeline.TableRoot(spark, root).views()
+    assert [r[0] for r in v["sessions"].select("session_id").collect()] == ["good"]
+    # The failed file has no manifest row, so the next run tries it again.
+    assert pipeline.run(spark, src, root, on_error="file").files_extracted == 1
+    # In the default line mode it is kept, minus the bad line.
+    res = pipeline.run(spark, src, f"{tmpdir_path}/t2")
+    v2 = pipeline.TableRoot(spark, f"{tmpdir_path}/t2").views()
+    assert sorted(r[0] for r in v2["sessions"].select("session_id").collect()) == ["bad", "good"]
