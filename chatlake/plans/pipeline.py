@@ -340,3 +340,26 @@ def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict
             "skipped_by_reason": bad,
             # D-3: tool uses not kept as rows (NULL id or name, or a repeated id)
             "tool_uses_dropped": int(uses) - tools}
+
+
+def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) -> str:
+    """Rewrite the current views as one batch of a new generation, then switch.
+
+    Every incremental run adds one partition per table; compaction bounds the
+    number of partitions and files that later reads must list. The manifest
+    (with loser rows) is carried over, so the next incremental run sees the
+    same state. Returns the new generation.
+    """
+    store = TableRoot(spark, root)
+    gen = store.current_generation()
+    if gen is None:
+        raise FileNotFoundError(f"no table generation under {root}")
+    batch = new_batch_id(now)
+    new_gen = f"gen-{batch}"
+    views = store.views(gen)
+    for t in SESSION_TABLES + ["cowork_sessions"]:
+        views[t].write.mode("overwrite").parquet(store.path(new_gen, t, batch))
+    state = store.state(gen).drop("batch_id")
+    state.write.mode("overwrite").parquet(store.path(new_gen, "etl_state", batch))
+    store.set_generation(new_gen)
+    return new_gen

@@ -162,3 +162,22 @@ def test_on_error_file_retries_next_run(spark, tmpdir_path):
     res = pipeline.run(spark, src, f"{tmpdir_path}/t2")
     v2 = pipeline.TableRoot(spark, f"{tmpdir_path}/t2").views()
     assert sorted(r[0] for r in v2["sessions"].select("session_id").collect()) == ["bad", "good"]
+
+
+def test_compaction_keeps_views(spark, layout):
+    src = pipeline.DiskSource(f"{layout}/claude", f"{layout}/cowork")
+    root = f"{layout}/tables-c"
+    pipeline.run(spark, src, root)
+    with open(f"{layout}/claude/projects/plain/s3.jsonl", "a") as f:
+        f.write(json.dumps(_user("s3b", "again", ts="2026-01-01T00:02:00Z")) + "\n")
+    pipeline.run(spark, src, root)
+
+    def snap():
+        v = _views(spark, root)
+        return {t: sorted(map(str, v[t].drop("extracted_at").collect())) for t in
+                ("sessions", "messages", "cowork_sessions", "files_referenced")}
+    before = snap()
+    gen = pipeline.compact(spark, root)
+    assert pipeline.TableRoot(spark, root).current_generation() == gen
+    assert snap() == before
+    assert pipeline.run(spark, src, root).files_extracted == 0   # manifest carried over
