@@ -325,6 +325,51 @@ class _Clock:
             self._t = now
 
 
+def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict:
+    """What this batch extracted, in one job over the batch's partitions."""
+    zero = F.lit(0).cast("long")
+
+    def part(table, **cols):
+        df = spark.read.parquet(store.path(gen, table, batch))
+        base = {"sessions": zero, "messages": zero, "tool_calls": zero, "tool_uses": zero,
+                "cost": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")}
+        base.update(cols)
+        return df.select(*[v.alias(k) for k, v in base.items()])
+
+    one = F.lit(1).cast("long")
+    u = (part("sessions", sessions=one, cost=F.col("estimated_total_cost_usd"),
+              tool_uses=F.col("tool_call_count").cast("long"))
+         .unionByName(part("messages", messages=one))
+         .unionByName(part("tool_calls", tool_calls=one))
+         .unionByName(part("quarantine", reason=F.col("reason"))))
+    rows = u.groupBy("reason").agg(*[F.sum(c).alias(c) for c in
+                                     ("sessions", "messages", "tool_calls", "tool_uses", "cost")],
+                                   F.count(F.lit(1)).alias("n")).collect()
+    tot = {k: sum((r[k] or 0) for r in rows if r["reason"] is None)
+           for k in ("sessions", "messages", "tool_calls", "tool_uses", "cost")}
+    bad = {r["reason"]: r["n"] for r in rows if r["reason"] is not None}
+    return {"sessions": tot["sessions"], "messages": tot["messages"], "tool_calls": tot["tool_calls"],
+            "cost_usd": tot["cost"], "skipped_lines": sum(bad.values()), "skipped_by_reason": bad,
+            # D-3: tool uses not kept as rows (NULL id or name, or a repeated id)
+            "tool_uses_dropped": int(tot["tool_uses"]) - int(tot["tool_calls"])}
+
+
+class _Clock:
+    """Optional wall-clock split of a run (seconds per step)."""
+
+    def __init__(self, sink: dict | None):
+        import time
+        self._time = time.time
+        self._sink = sink
+        self._t = self._time()
+
+    def __call__(self, step: str) -> None:
+        if self._sink is not None:
+            now = self._time()
+            self._sink[step] = round(now - self._t, 3)
+            self._t = now
+
+
 def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict:
     """What this batch extracted (one small aggregate per table)."""
     s = spark.read.parquet(store.path(gen, "sessions", batch)).agg(
