@@ -60,12 +60,14 @@ def _raw_block(raw):
 
 
 def _bad_reason():
-    """Why a line is not an entry: valid JSON that is not an object
-    ('not_object', a file error for the reference, Q9) or invalid JSON
-    ('malformed_json', which the reference skips silently)."""
-    trimmed = F.regexp_replace(F.col("value"), r"(?U)^\s+", "")
-    return F.when(~trimmed.startswith("{") & F.try_parse_json(F.col("value")).isNotNull(),
-                  F.lit("not_object")).otherwise(F.lit("malformed_json"))
+    """Why a line is not an entry (evaluated for those lines only): blank,
+    valid JSON that is not an object ('not_object', a file error for the
+    reference, Q9), or invalid JSON ('malformed_json', skipped silently)."""
+    v = F.col("value")
+    trimmed = F.regexp_replace(v, r"(?U)^\s+", "")
+    return (F.when(v.rlike(r"(?U)^\s*$"), F.lit("blank"))
+            .when(~trimmed.startswith("{") & F.try_parse_json(v).isNotNull(), F.lit("not_object"))
+            .otherwise(F.lit("malformed_json")))
 
 
 def _envelope():
@@ -75,9 +77,7 @@ def _envelope():
 def quarantine(lines: DataFrame) -> DataFrame:
     """D-1: lines the parse skips (blank, or not one JSON object), with a reason."""
     e = _envelope()
-    blank = F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") == ""
-    reason = (F.when(blank, F.lit("blank"))
-              .when(e.isNull() | e["_corrupt_record"].isNotNull(), _bad_reason()))
+    reason = F.when(e.isNull() | e["_corrupt_record"].isNotNull(), _bad_reason())
     return (lines.select("file_path", "session_id", "line_num", reason.alias("reason"), "value")
             .filter(F.col("reason").isNotNull()))
 
@@ -92,11 +92,9 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     # nothing to any table. No filter here on purpose: Catalyst would push
     # it below the projection and parse every line twice.
     raw = F.col("e_raw")
-    blank = F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") == ""
     valid = lines.withColumn("e_raw", _envelope()).select(
         "*", F.when(raw["_corrupt_record"].isNull(), raw).alias("e"),
-        F.when(blank, F.lit("blank"))
-         .when(raw.isNull() | raw["_corrupt_record"].isNotNull(), _bad_reason()).alias("parse_error"),
+        F.when(raw.isNull() | raw["_corrupt_record"].isNotNull(), _bad_reason()).alias("parse_error"),
     ).drop("e_raw")
     e = F.col("e")
     etype = e["type"]
