@@ -252,7 +252,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     n_files = chosen.count()
     clock("discover")
     if n_files == 0:
-        return RunResult(batch, gen if prior else (prior or gen), 0, {"sessions": 0})
+        return RunResult(batch, prior or gen, 0, {"sessions": 0})
     winners = chosen.filter(~F.col("is_loser"))
 
     # Parse once into bronze; everything else reads the bronze copy.
