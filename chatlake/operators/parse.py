@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import content as C
 from ..functions.commands import command_invocation
-from ..functions.text import json_truthy, nonempty, truncate, MAX_CONTENT_TEXT
+from ..functions.text import json_truthy, nonempty
 from ..functions.timestamps import NUMERIC_PATTERN, parse_timestamp
 
 JSON_OPTS = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
@@ -180,7 +180,3 @@ def quarantine_of(entries: DataFrame) -> DataFrame:
 def message_id(session_col="session_id", line_col="line_num"):
     """P5: the entry's uuid, else ``{session_id}-{line_num}`` (null uuid = missing, D1)."""
     return F.coalesce(F.col("uuid"), F.concat_ws("-", F.col(session_col), F.col(line_col).cast("string")))
-
-
-def content_text_column():
-    return truncate("text", MAX_CONTENT_TEXT)

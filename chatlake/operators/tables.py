@@ -25,11 +25,6 @@ from .parse import ONE_PARSE, message_id
 FILE_OPS = ["read", "write", "edit", "glob", "grep", "notebookedit"]
 
 
-def _order():
-    """Processing order of the reference: file load order, then line order."""
-    return [F.col("load_rank"), F.col("file_path"), F.col("line_num")]
-
-
 def build_messages(entries: DataFrame) -> DataFrame:
     """P3 + W1: one row per user/assistant entry; sequence numbers are 0-based."""
     msgs = entries.filter(F.col("is_message")).select(

@@ -8,7 +8,6 @@ as in tests and local benchmarks.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -70,7 +69,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(p: str) -> bool:
-    return p.startswith("/") or p.startswith("file:") or os.path.isabs(p)
