@@ -113,7 +113,7 @@ def r10_sessions_by_project(t: Tables) -> DataFrame:
 def r11_latest_cowork(t: Tables, k: int = 10) -> DataFrame:
     return (t["cowork_sessions"]
             .orderBy(F.desc_nulls_last("created_at"), "cowork_session_id").limit(k)
-            .select("cowork_session_id", "title", "created_at", "model"))
+            .select("title", "created_at", "model"))
 
 
 # ---------------------------------------------------------------- canned reports
@@ -201,8 +201,7 @@ def r23_projects_by_sessions(t: Tables) -> DataFrame:
 
 
 def r24_latest_sessions(t: Tables, k: int = 5) -> DataFrame:
-    s = t["sessions"]
-    return s.orderBy(F.desc_nulls_last("started_at"), "session_id").limit(k).drop("extracted_at")
+    return t["sessions"].orderBy(F.desc_nulls_last("started_at"), "session_id").limit(k)
 
 
 def stats(t: Tables) -> dict[str, DataFrame]:
