@@ -39,8 +39,16 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
     import __spark_entry__ as E
-    from chatlake.session import local_session
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):
+        # Mimic a caller's session: defaults only, no checkpoint folder set.
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                 .getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from chatlake.session import local_session
+        spark = local_session(8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
