@@ -13,6 +13,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .config import load_config
 from .functions.pricing import merge_prices
 from .plans import pipeline, reports as R
 from .plans.sqlsurface import run_sql
@@ -38,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     ex.add_argument("--cowork-only", action="store_true")
     ex.add_argument("--on-error", choices=["line", "file"], default="line")
     ex.add_argument("--prices", help="JSON object: model -> {input, output, cache_read, cache_create}")
+    ex.add_argument("--config", help="YAML config with sources and pricing")
     st = sub.add_parser("stats", help="the statistics block (R1-R11)")
     st.add_argument("--root", required=True)
     rp = sub.add_parser("report", help="a canned report or free SQL over the tables")
@@ -57,8 +59,10 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = _spark()
     if a.cmd == "extract":
-        src = pipeline.DiskSource(a.claude_dir, a.cowork_dir, a.code_only, a.cowork_only)
-        prices = merge_prices(json.loads(a.prices)) if a.prices else None
+        cfg = load_config(a.config) if a.config else {}
+        src = pipeline.DiskSource(a.claude_dir or cfg.get("claude_dir"), a.cowork_dir or cfg.get("cowork_dir"),
+                                  a.code_only, a.cowork_only)
+        prices = merge_prices(json.loads(a.prices)) if a.prices else cfg.get("prices")
         res = pipeline.run(spark, src, a.root, mode="full" if a.full else "incremental",
                            prices=prices, on_error=a.on_error)
         print(json.dumps({"batch_id": res.batch_id, "files": res.files_extracted, **res.summary},

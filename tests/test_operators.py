@@ -77,3 +77,18 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(df.columns) == {"project_path", "sessions", "total_cost", "total_hours"}
+
+
+def test_load_config(tmpdir_path):
+    from chatlake.config import load_config
+    p = f"{tmpdir_path}/config.yaml"
+    with open(p, "w") as f:
+        f.write("sources:\n  claude_code:\n    path: /data/claude\n  cowork:\n    path: auto\n"
+                "pricing:\n  my-model:\n    input: 1.0\n    output: 2.0\n    cache_read: 0.1\n    cache_create: 1.5\n"
+                "  default:\n    input: 9\n    output: 9\n    cache_read: 9\n    cache_create: 9\n"
+                "analysis:\n  teams:\n    eng: [alice]\n")
+    cfg = load_config(p)
+    assert cfg["claude_dir"] == "/data/claude" and cfg["cowork_dir"] is None
+    assert cfg["prices"]["my-model"] == (1.0, 2.0, 0.1, 1.5)
+    assert "default" not in cfg["prices"] and "claude-opus-4-6" in cfg["prices"]
+    assert cfg["teams"] == {"eng": ["alice"]}
