@@ -119,7 +119,7 @@ def read_sidecars(spark: SparkSession, cowork_dir: str) -> DataFrame:
     names = [r[0] for r in tree.filter(F.col("path").rlike(r"/local_[^/]*\.json$")).select("path").collect()]
     if not names:
         return spark.createDataFrame([], "sidecar_path string, sidecar_text string")
-    df = spark.read.option("wholetext", "true").text(names)
+    df = spark.read.option("wholetext", "true").text([_glob_escape(p) for p in names])
     return df.select(decode_path(F.col("_metadata.file_path")).alias("sidecar_path"),
                      F.col("value").alias("sidecar_text"))
 
@@ -133,7 +133,7 @@ def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
     """
     if not paths:
         return spark.createDataFrame([], schemas.LINES)
-    raw = spark.read.text(paths).select(
+    raw = spark.read.text([_glob_escape(p) for p in paths]).select(
         "value", decode_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"))
@@ -163,3 +163,11 @@ def _bytes_conf(v: str) -> int:
     if v and v[-1] in mult:
         return int(float(v[:-1]) * mult[v[-1]])
     return int(v)
+
+
+def _glob_escape(path: str) -> str:
+    """Explicit file paths are globbed by the reader: escape glob characters."""
+    out = []
+    for ch in path:
+        out.append("\\" + ch if ch in "[]{}*?\\" else ch)
+    return "".join(out)

@@ -181,3 +181,13 @@ def test_compaction_keeps_views(spark, layout):
     assert pipeline.TableRoot(spark, root).current_generation() == gen
     assert snap() == before
     assert pipeline.run(spark, src, root).files_extracted == 0   # manifest carried over
+
+
+def test_file_names_with_glob_characters(spark, tmpdir_path):
+    write_jsonl(f"{tmpdir_path}/claude/projects/p/x[1]{{a}}.jsonl", [_user("g1", "brackets")])
+    write_jsonl(f"{tmpdir_path}/claude/projects/p/x1a.jsonl", [_user("g2", "plain")])
+    root = f"{tmpdir_path}/t"
+    pipeline.run(spark, pipeline.DiskSource(f"{tmpdir_path}/claude"), root)
+    v = pipeline.TableRoot(spark, root).views()
+    got = sorted((r["session_id"], r["message_id"]) for r in v["messages"].collect())
+    assert got == [("x1a", "g2"), ("x[1]{a}", "g1")]
