@@ -34,7 +34,7 @@ def build_messages(entries: DataFrame) -> DataFrame:
         "has_thinking", truncate("thinking_text", MAX_CONTENT_TEXT).alias("thinking_text"),
         "stop_reason", "model", "api_message_id",
         F.coalesce("is_sidechain", F.lit(False)).alias("is_sidechain"), "cwd", "git_branch",
-        *[F.col(c).cast("int").alias(c) for c in
+        *[F.col(c).try_cast("int").alias(c) for c in
           ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")],
         "service_tier", "inference_geo",
     )
@@ -192,10 +192,10 @@ def build_sessions(entries: DataFrame, prices: DataFrame, files: DataFrame | Non
     ext = F.current_timestamp() if extracted_at is None else F.lit(extracted_at).cast("timestamp")
     out = s.select(
         "*",
-        F.coalesce(F.floor(micros / F.lit(1000000)), F.lit(0)).cast("int").alias("duration_seconds"),
+        F.coalesce(F.floor(micros / F.lit(1000000)), F.lit(0)).try_cast("int").alias("duration_seconds"),
         F.when(all_in > 0, F.col(tcr).cast("double") / all_in.cast("double")).alias("cache_hit_rate"),
         *[v.alias(k) for k, v in costs.items()],
-        F.coalesce("_turn_sum", F.lit(0.0)).cast("long").alias("total_turn_duration_ms"),
+        F.coalesce("_turn_sum", F.lit(0.0)).try_cast("long").alias("total_turn_duration_ms"),
         F.when(F.col("turn_count") > 0, F.col("_turn_sum") / F.col("turn_count")).alias("avg_turn_duration_ms"),
         F.col("file_size").alias("file_size_bytes"),
         ext.alias("extracted_at"),

@@ -219,3 +219,18 @@ def test_bash_paths_unicode_space(spark):
     f = {(x["file_path"], x["operation"]) for x in rows(t["files_referenced"])}
     # "&/x/y.z" has no whitespace before the slash; a no-break space counts.
     assert f == {("/bin/run.sh", "bash"), ("/opt/a.txt", "bash"), ("/opt/nb.txt", "bash")}
+
+
+def test_out_of_range_values_do_not_fail_the_job(spark):
+    t = tables_for(spark, {"s8": [
+        {"type": "user", "uuid": "o1", "timestamp": 17, "message": {"content": "a"}},
+        {"type": "user", "uuid": "o2", "timestamp": "9999-12-31T00:00:00Z", "message": {"content": "b"}},
+        {"type": "assistant", "uuid": "o3", "timestamp": "2026-01-01T00:00:00Z",
+         "message": {"content": "c", "usage": {"input_tokens": 99999999999}}},
+        {"type": "system", "subtype": "turn_duration", "durationMs": 1e300},
+    ]})
+    s = rows(t["sessions"])[0]
+    assert s["duration_seconds"] is None                 # beyond INT, like the columnar backend
+    assert s["total_input_tokens"] == 99999999999
+    m = {x["message_id"]: x for x in rows(t["messages"])}
+    assert m["o3"]["input_tokens"] is None               # beyond the INT column
