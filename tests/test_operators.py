@@ -92,3 +92,16 @@ def test_load_config(tmpdir_path):
     assert cfg["prices"]["my-model"] == (1.0, 2.0, 0.1, 1.5)
     assert "default" not in cfg["prices"] and "claude-opus-4-6" in cfg["prices"]
     assert cfg["teams"] == {"eng": ["alice"]}
+
+
+def test_hot_session_is_spread_over_tasks(spark):
+    """One session holding most lines: positions stay exact and the ranking
+    work lands in several tasks instead of one."""
+    hot = spark.range(0, 120_000).select(F.lit("hot").alias("s"), F.col("id").alias("line_num"))
+    small = spark.range(0, 2_000).select(F.concat(F.lit("s"), (F.col("id") % 200).cast("string")).alias("s"),
+                                         (F.col("id") / 200).cast("long").alias("line_num"))
+    df = hot.unionByName(small)
+    got = line_position(df, ["s"], block_size=4096).withColumn("pid", F.spark_partition_id())
+    hot_rows = got.filter("s = 'hot'")
+    assert hot_rows.filter(F.col("position") != F.col("line_num")).count() == 0
+    assert hot_rows.select("pid").distinct().count() >= 3
