@@ -164,10 +164,12 @@ class TableRoot:
             # One row per session: the batch holding its current rows, read
             # from the manifest each time (no cache: a cached plan over the
             # same folder would hide batches appended later).
+            # Each batch that touches a session writes exactly one non-loser
+            # manifest row for it, so the latest such batch is the session's
+            # current one; no per-file reduction of the manifest is needed.
             if "w" not in memo:
-                st = self.state(gen).filter(~F.col("is_loser"))
-                memo["w"] = (st.groupBy("session_id")
-                             .agg(F.max_by("batch_id", F.struct("batch_id", "file_path")).alias("batch_id")))
+                st = self.read(gen, "etl_state").filter(~F.col("is_loser"))
+                memo["w"] = st.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
             return memo["w"]
 
         def session_view(t):
