@@ -32,6 +32,7 @@ from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines, quarantine_of
 from ..operators.tables import LazyTables, build_tables
+from ..session import apply_engine_conf
 from ..sources import transcripts as T
 from .incremental import changed_files
 
@@ -231,6 +232,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     a non-object JSON line from this batch and leaves it out of the manifest,
     so it is tried again next run.
     """
+    apply_engine_conf(spark)
     now = now or _dt.datetime.now(_dt.timezone.utc)
     batch = new_batch_id(now)
     clock = _Clock(timings)

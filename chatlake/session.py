@@ -43,8 +43,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Pin the settings results depend on (time zone) on an existing session."""
+    """Pin the runtime settings results depend on: UTC day buckets, and a
+    transcript deleted between listing and reading is skipped (as the
+    reference skips files it cannot stat) instead of failing the job."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -234,3 +234,27 @@ def test_out_of_range_values_do_not_fail_the_job(spark):
     assert s["total_input_tokens"] == 99999999999
     m = {x["message_id"]: x for x in rows(t["messages"])}
     assert m["o3"]["input_tokens"] is None               # beyond the INT column
+
+
+def test_prices_primary_model_override_and_fallback(spark):
+    from chatlake.functions.pricing import merge_prices
+
+    def asst(uuid, model, n):
+        return {"type": "assistant", "uuid": uuid, "timestamp": T0,
+                "message": {"model": model, "content": "x", "usage": {"input_tokens": n, "output_tokens": n}}}
+    prices = merge_prices({"my-model": {"input": 1.0, "output": 2.0, "cache_read": 0.0, "cache_create": 0.0},
+                           "default": {"input": 99, "output": 99, "cache_read": 99, "cache_create": 99}})
+    t = tables_for(spark, {
+        "mixed": [asst("m1", "claude-sonnet-4-6", 1000), asst("m2", "claude-opus-4-6", 1000)],
+        "custom": [asst("c1", "my-model", 1_000_000)],
+        "unknown": [asst("u1", "some-new-model", 1_000_000)],
+    }, prices=prices)
+    s = {r["session_id"]: r for r in rows(t["sessions"])}
+    # Q1: all tokens at the primary (first) model's rates
+    assert s["mixed"]["model"] == "claude-sonnet-4-6"
+    assert s["mixed"]["estimated_total_cost_usd"] == pytest.approx(2000 / 1e6 * 3 + 2000 / 1e6 * 15)
+    assert s["custom"]["estimated_total_cost_usd"] == pytest.approx(1.0 + 2.0)
+    # Q5: the 'default' row is ignored; unknown models take the fixed fallback
+    assert s["unknown"]["estimated_total_cost_usd"] == pytest.approx(3.0 + 15.0)
+    mu = {(r["session_id"], r["model"]): r["message_count"] for r in rows(t["model_usage"])}
+    assert mu[("mixed", "claude-opus-4-6")] == 1 and mu[("mixed", "claude-sonnet-4-6")] == 1
