@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from chatlake.operators.ordinal import dense_position  # noqa: E402
+from chatlake.operators.parse import quarantine  # noqa: E402
 from chatlake.plans import reports as R  # noqa: E402
 from chatlake.plans.corpus import corpus_tables  # noqa: E402
 from chatlake.plans.incremental import changed_files  # noqa: E402
@@ -114,6 +115,25 @@ def _w1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                           out="position").select("event_id", "user_id", "position")
 
 
+def _d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-1 on whole texts: every line of every document read as a transcript
+    line and classified by the quarantine rule (blank / not an object /
+    malformed JSON); JSON-object lines are kept, so they are not counted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    exploded = docs.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("session_id"),
+        F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_num", "value"))
+    lines = exploded.select(
+        F.lit("claude-code").alias("source"),
+        F.concat(F.lit("synthetic://documents/"), "session_id", F.lit(".jsonl")).alias("file_path"),
+        "session_id", F.lit(False).alias("is_agent"), F.lit("-docs").alias("project_dir_name"),
+        F.lit("/docs").alias("project_path"), F.lit(None).cast("long").alias("file_size"),
+        F.lit(None).cast("timestamp").alias("file_mtime"), F.lit(0).alias("load_rank"),
+        F.col("line_num").cast("long"), "value")
+    return (quarantine(lines).groupBy("reason")
+            .agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("session_id").alias("files")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: R13 cost by project over the sf0.001 corpus."""
     return R.r13_cost_by_project(_tables(spark, SMOKE_DIR))
@@ -145,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "session_id", "total_turn_duration_ms", "avg_turn_duration_ms", "turn_count"),
         "j3_changed_files": _j3,
         "a14_run_summary": _a14,
+        "d1_quarantine_documents": _d1,
         "q_sql_project_tools": _sql_join,
         "q_sql_sessions_without_commands": _sql_anti,
         # --- reports ------------------------------------------------------
@@ -220,6 +241,17 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT CAST(SUM(tool_call_count) AS BIGINT) FROM o_sessions) AS tool_uses,
                    (SELECT COUNT(*) FROM o_messages) AS messages,
                    (SELECT COUNT(*) FROM o_tool_calls) AS tool_calls"""),
+        "d1_quarantine_documents": r"""
+            WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS v FROM documents),
+            c AS (
+              SELECT doc_id, CASE
+                WHEN regexp_full_match(v, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*') THEN 'blank'
+                WHEN json_valid(v) AND json_type(v::JSON) = 'OBJECT' THEN NULL
+                WHEN json_valid(v) THEN 'not_object'
+                ELSE 'malformed_json' END AS reason
+              FROM l)
+            SELECT reason, COUNT(*) AS lines, COUNT(DISTINCT doc_id) AS files
+            FROM c WHERE reason IS NOT NULL GROUP BY reason""",
         "q_sql_project_tools": o("""
             SELECT s.project_path, t.tool_name, COUNT(*) AS calls,
                    CAST(SUM(CASE WHEN t.has_error THEN 1 ELSE 0 END) AS BIGINT) AS errors
