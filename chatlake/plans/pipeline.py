@@ -288,7 +288,10 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     ext = now.replace(tzinfo=None)
     tables = build_tables(entries, price_table(spark, prices), files=files.select(*schemas.FILE_COLS),
                           extracted_at=ext)
-    sort_keys = {"messages": ["session_id", "sequence_number"], "tool_calls": ["session_id"]}
+    # Rows sorted by session inside each file give Parquet min/max stats that
+    # prune row groups for per-session reads; messages already arrive in that
+    # order from their window, so no extra sort is planned for them.
+    sort_keys = {"messages": ["session_id"], "tool_calls": ["session_id"]}
     for t in SESSION_TABLES:
         df = tables[t]
         if t in sort_keys:
