@@ -31,7 +31,7 @@ from .. import schemas
 from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines, quarantine_of
-from ..operators.tables import LazyTables, build_tables
+from ..operators.tables import LazyTables, build_files_referenced, build_tables
 from ..session import apply_engine_conf
 from ..sources import transcripts as T
 from .incremental import changed_files
@@ -288,6 +288,10 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     ext = now.replace(tzinfo=None)
     tables = build_tables(entries, price_table(spark, prices), files=files.select(*schemas.FILE_COLS),
                           extracted_at=ext)
+    # J5 stamps file references with the session start: read it back from the
+    # sessions just written (one small scan) instead of re-aggregating bronze.
+    tables._builders["files_referenced"] = lambda: build_files_referenced(
+        entries, spark.read.parquet(store.path(gen, "sessions", batch)).select("session_id", "started_at"))
     # Rows sorted by session inside each file give Parquet min/max stats that
     # prune row groups for per-session reads; messages already arrive in that
     # order from their window, so no extra sort is planned for them.
