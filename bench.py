@@ -63,7 +63,7 @@ def main() -> None:
     # manifest): the incremental run re-reads exactly those files, whole.
     from pyspark.sql import functions as F
     files = corpus_files(spark, sf_dir).withColumn(
-        "file_size", F.when(F.abs(F.hash("session_id")) % 100 == 0, F.lit(1)).cast("long"))
+        "file_size", F.when(F.pmod(F.hash("session_id"), F.lit(100)) == 0, F.lit(1)).cast("long"))
     t0 = time.time()
     res3 = pipeline.run(spark, pipeline.LinesSource(corpus_lines(spark, sf_dir), files),
                         root, mode="incremental", prices=CORPUS_PRICES)
