@@ -1,7 +1,8 @@
 """Entries -> the six per-session output tables.
 
-Shuffle plan: the sessions rollup is one hash aggregate on ``session_id``
-(partial aggregation first, so a huge session is pre-combined map-side).
+Shuffle plan: the sessions rollup is one aggregate on ``session_id``
+(partial aggregation first, so a huge session is pre-combined map-side; it
+runs sort-based because first-value string buffers are not fixed-width).
 Messages get their sequence numbers from the skew-safe block positions in
 :mod:`chatlake.operators.ordinal`. Tool results are reduced per
 ``(session_id, tool_use_id)`` before the join, a key with no hot values.
