@@ -37,3 +37,16 @@ def test_full_run_twice_gives_same_views(spark, tmpdir_path):
         return {name: sorted(map(str, v[name].drop("extracted_at").collect()))
                 for name in ("sessions", "messages", "tool_calls", "files_referenced", "model_usage")}
     assert build(f"{tmpdir_path}/a") == build(f"{tmpdir_path}/b")
+
+
+def test_plans_have_no_python_udfs(spark):
+    """§5 plan check: every table and report stays in the JVM (no Python
+    evaluation nodes anywhere in the physical plans)."""
+    from chatlake.plans import reports as R
+    t = corpus_tables(spark, SF)
+    dfs = [t[n] for n in ("sessions", "messages", "tool_calls", "command_invocations",
+                          "files_referenced", "model_usage", "cowork_sessions")]
+    dfs += [R.r13_cost_by_project(t), R.r14_tool_ranking(t), R.r16_daily_summary(t, "2024-01-30", 7)]
+    for df in dfs:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan
