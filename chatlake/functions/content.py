@@ -1,9 +1,9 @@
 """Expressions over a message's parsed content blocks.
 
 ``blocks`` is ``array<struct<type, text, thinking, id, name, input,
-tool_use_id, is_error, content, items: array<struct<type, text>>>>`` as built
-by :func:`chatlake.operators.parse.parse_lines`; ``items`` is set when a
-tool result's own content is a list. All of it stays in higher-order
+tool_use_id, is_error, content, content_missing, items: array<struct<type,
+text>>>>`` as built by :func:`chatlake.operators.parse.parse_lines`: a tool
+result's ``content`` is set when it is a string, ``items`` when it is a list. All of it stays in higher-order
 functions, so the parse stage keeps whole-stage codegen and needs no UDF.
 """
 
@@ -28,11 +28,15 @@ def _snippet(s: Column) -> Column:
 def block_texts(blocks) -> Column:
     """F3 (list case): text blocks plus ``[tool_result: …]`` snippets, in order."""
     def one(b):
-        result_parts = F.when(
-            b["items"].isNotNull(),
-            F.transform(F.filter(b["items"], lambda i: i["type"] == "text"),
-                        lambda i: _snippet(i["text"])),
-        ).otherwise(F.array(_snippet(b["content"])))
+        # list -> one snippet per text item; string -> one snippet; a missing
+        # content counts as ''; JSON null or any other type adds nothing.
+        result_parts = (
+            F.when(b["items"].isNotNull(),
+                   F.transform(F.filter(b["items"], lambda i: i["type"] == "text"),
+                               lambda i: _snippet(i["text"])))
+            .when(b["content"].isNotNull(), F.array(_snippet(b["content"])))
+            .when(b["content_missing"], F.array(_snippet(F.lit(""))))
+            .otherwise(_empty_strings()))
         return (F.when(b["type"] == "text", F.array(F.coalesce(b["text"], F.lit(""))))
                 .when(b["type"] == "tool_result", result_parts)
                 .otherwise(_empty_strings()))

@@ -34,29 +34,37 @@ JSON_OPTS = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE
 ONE_PARSE = {"mode": "PERMISSIVE"}
 
 
-BLOCK_FIELDS = ("type", "text", "thinking", "id", "name", "input", "tool_use_id",
-                "is_error", "content")
+BLOCK_FIELDS = ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "is_error")
 
 
-def _with_items(b, items):
-    return F.struct(*[b[n].alias(n) for n in BLOCK_FIELDS], items.alias("items"))
+def _with_content(b, content, content_missing, items):
+    """One block: its fields, a tool result's content when it is a string,
+    whether that content key is missing, and its items when it is a list."""
+    return F.struct(*[b[n].alias(n) for n in BLOCK_FIELDS], content.alias("content"),
+                    content_missing.alias("content_missing"), items.alias("items"))
 
 
 def _typed_block(b):
-    """A block from the typed read; a tool result's list content is read from
-    its raw text (D7: a *string* result that is itself a JSON list of
-    objects is read as that list)."""
-    items = F.when((b["type"] == "tool_result") & b["content"].startswith("["),
-                   F.from_json(b["content"], schemas.RESULT_LIST_DDL, ONE_PARSE))
-    return _with_items(b, items)
+    """A block from the typed read. A tool result's ``content`` is read as
+    VARIANT, which keeps its JSON type: a string, a list of items, JSON null
+    and a missing key are told apart exactly (D7: an object inside a list
+    result with a repeated key reads as a missing content)."""
+    c = b["content"]
+    is_result = b["type"] == "tool_result"
+    as_string = F.when(is_result & (F.schema_of_variant(c) == "STRING"), F.try_variant_get(c, "$", "string"))
+    items = F.when(is_result, F.transform(
+        F.try_variant_get(c, "$", "array<variant>"),
+        lambda e: F.struct(F.try_variant_get(e, "$.type", "string").alias("type"),
+                           F.try_variant_get(e, "$.text", "string").alias("text"))))
+    return _with_content(b, as_string, c.isNull(), items)
 
 
 def _raw_block(raw):
-    """Fallback: a block kept as raw JSON text (exact for every element type)."""
+    """Fallback: a block kept as raw JSON text (for arrays the typed read rejects)."""
     b = F.from_json(raw, schemas.BLOCK_DDL, ONE_PARSE)
     items = F.when((b["type"] == "tool_result") & b["content"].startswith("["),
                    F.from_json(raw, schemas.RESULT_ITEMS_DDL, ONE_PARSE)["content"])
-    return _with_items(b, items)
+    return _with_content(b, F.when(items.isNull(), b["content"]), b["content"].isNull(), items)
 
 
 def _bad_reason():

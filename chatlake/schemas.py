@@ -42,11 +42,10 @@ ENVELOPE_DDL = (
 CONTENT_BLOCKS_DDL = (
     "message struct<content array<struct<type string, text string, thinking string, "
     "id string, name string, input string, tool_use_id string, is_error string, "
-    "content string>>>"
+    "content variant>>>"
 )
 # Fallback for arrays the typed read rejects: elements kept as raw JSON.
 CONTENT_ARRAY_DDL = "message struct<content array<string>>"
-RESULT_LIST_DDL = "array<struct<type string, text string>>"
 BLOCK_DDL = (
     "type string, text string, thinking string, id string, name string, "
     "input string, tool_use_id string, is_error string, content string"

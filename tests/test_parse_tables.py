@@ -258,3 +258,21 @@ def test_prices_primary_model_override_and_fallback(spark):
     assert s["unknown"]["estimated_total_cost_usd"] == pytest.approx(3.0 + 15.0)
     mu = {(r["session_id"], r["model"]): r["message_count"] for r in rows(t["model_usage"])}
     assert mu[("mixed", "claude-opus-4-6")] == 1 and mu[("mixed", "claude-sonnet-4-6")] == 1
+
+
+def test_tool_result_content_kinds(spark):
+    t = tables_for(spark, {"s9": [
+        {"type": "user", "uuid": "k1", "timestamp": T0, "message": {"content": [
+            {"type": "tool_result", "tool_use_id": "a", "content": '[{"type": "text", "text": "looks like a list"}]'},
+            {"type": "tool_result", "tool_use_id": "b", "content": None},
+            {"type": "tool_result", "tool_use_id": "c"},
+            {"type": "tool_result", "tool_use_id": "d", "content": 5},
+            {"type": "tool_result", "tool_use_id": "e", "content": ["x", {"type": "text", "text": "y"},
+                                                                     {"type": "image"}]},
+        ]}}]})
+    m = rows(t["messages"])[0]
+    assert m["content_text"] == "\n".join([
+        '[tool_result: [{"type": "text", "text": "looks like a list"}]]',   # a string stays a string
+        "[tool_result: ]",                                                  # missing content
+        "[tool_result: y]",                                                 # list: text items only
+    ])
