@@ -55,6 +55,7 @@ class DiskSource:
     cowork_dir: str | None = None
     code_only: bool = False
     cowork_only: bool = False
+    derives_project_paths = True   # S5: paths come from dir names and sidecars
 
     def discover(self, spark: SparkSession) -> DataFrame:
         parts = []
@@ -284,7 +285,9 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
         files = files.join(titles, "file_path", "left")
     else:
         files = files.withColumn("_title", F.lit(None).cast("string"))
-    files = _resolve_project_paths(files, entries).drop("_title")
+    if getattr(source, "derives_project_paths", False):
+        files = _resolve_project_paths(files, entries)
+    files = files.drop("_title")
     ext = now.replace(tzinfo=None)
     tables = build_tables(entries, price_table(spark, prices), files=files.select(*schemas.FILE_COLS),
                           extracted_at=ext)
