@@ -233,6 +233,8 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     a non-object JSON line from this batch and leaves it out of the manifest,
     so it is tried again next run.
     """
+    if mode not in ("incremental", "full") or on_error not in ("line", "file"):
+        raise ValueError(f"mode must be incremental|full and on_error line|file, got {mode!r}, {on_error!r}")
     apply_engine_conf(spark)
     now = now or _dt.datetime.now(_dt.timezone.utc)
     batch = new_batch_id(now)
