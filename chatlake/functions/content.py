@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import TOOL_INPUT_DDL
 from .text import MAX_TOOL_RESULT_SNIPPET, col, json_truthy, nonempty
 
 
@@ -62,10 +63,15 @@ def has_thinking(blocks) -> Column:
 
 
 def tool_uses(blocks) -> Column:
-    """the tool_use blocks of a message as (id, name, input) structs."""
-    return F.transform(F.filter(col(blocks), lambda b: b["type"] == "tool_use"),
-                       lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"),
-                                          b["input"].alias("input")))
+    """the tool_use blocks of a message: id, name, raw input JSON, and the
+    input fields the tables use, read once here at parse time. ``path`` is
+    the first non-empty of file_path, path, notebook_path."""
+    def one(b):
+        inp = F.from_json(b["input"], TOOL_INPUT_DDL, {"mode": "PERMISSIVE"})
+        return F.struct(b["id"].alias("id"), b["name"].alias("name"), b["input"].alias("input"),
+                        first_truthy(inp["file_path"], inp["path"], inp["notebook_path"]).alias("path"),
+                        inp["command"].alias("command"), inp["description"].alias("description"))
+    return F.transform(F.filter(col(blocks), lambda b: b["type"] == "tool_use"), one)
 
 
 def tool_results(blocks) -> Column:

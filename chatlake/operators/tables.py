@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import pricing
-from ..functions.content import first_truthy
 from ..functions.text import (MAX_COMMAND, MAX_COMMAND_ARGS, MAX_CONTENT_TEXT,
                               MAX_INPUT_SUMMARY, bash_paths, nonempty, truncate)
 from .ordinal import line_position
-from .parse import ONE_PARSE, message_id
+from .parse import message_id
 
 FILE_OPS = ["read", "write", "edit", "glob", "grep", "notebookedit"]
 
@@ -49,13 +48,12 @@ def _tool_use_rows(entries: DataFrame) -> DataFrame:
         "session_id", "load_rank", "file_path", "line_num", "ts",
         message_id().alias("message_id"),
         F.posexplode("tool_uses").alias("pos", "tu"))
-    inp = F.from_json(F.col("tu")["input"], schemas.TOOL_INPUT_DDL, ONE_PARSE)
     return tu.select(
         "session_id", "load_rank", "file_path", "line_num", "pos", "ts", "message_id",
         F.col("tu")["id"].alias("tool_call_id"), F.col("tu")["name"].alias("tool_name"),
         F.coalesce(F.col("tu")["input"], F.lit("{}")).alias("input_raw"),
-        first_truthy(inp["file_path"], inp["path"], inp["notebook_path"]).alias("path"),
-        inp["command"].alias("command_raw"), inp["description"].alias("description"),
+        F.col("tu")["path"].alias("path"), F.col("tu")["command"].alias("command_raw"),
+        F.col("tu")["description"].alias("description"),
     )
 
 
