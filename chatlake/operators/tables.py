@@ -22,6 +22,8 @@ from ..functions.text import (MAX_COMMAND, MAX_COMMAND_ARGS, MAX_CONTENT_TEXT,
 from .ordinal import line_position
 from .parse import message_id
 
+# Tool names (lower-cased) kept as their own file operation;
+# any other tool with a path counts as "other", Bash-mined paths as "bash".
 FILE_OPS = ["read", "write", "edit", "glob", "grep", "notebookedit"]
 
 
