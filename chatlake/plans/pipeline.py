@@ -187,6 +187,10 @@ class TableRoot:
         builders = {t: session_view(t) for t in SESSION_TABLES}
         builders["cowork_sessions"] = cowork_view
         builders["etl_state"] = lambda: self.state(gen)
+        # D-1: skipped lines of the batches that hold current rows.
+        builders["quarantine"] = lambda: (self.read(gen, "quarantine")
+                                          .join(winners(), ["session_id", "batch_id"], "left_semi")
+                                          .drop("batch_id"))
         return LazyTables(builders)
 
 

@@ -162,6 +162,8 @@ def test_on_error_file_retries_next_run(spark, tmpdir_path):
     res = pipeline.run(spark, src, f"{tmpdir_path}/t2")
     v2 = pipeline.TableRoot(spark, f"{tmpdir_path}/t2").views()
     assert sorted(r[0] for r in v2["sessions"].select("session_id").collect()) == ["bad", "good"]
+    q = sorted((r["session_id"], r["line_num"], r["reason"]) for r in v2["quarantine"].collect())
+    assert q == [("bad", 1, "not_object"), ("good", 1, "malformed_json"), ("good", 2, "blank")]
 
 
 def test_compaction_keeps_views(spark, layout):
