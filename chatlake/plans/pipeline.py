@@ -422,7 +422,7 @@ def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) ->
     batch = new_batch_id(now)
     new_gen = f"gen-{batch}"
     views = store.views(gen)
-    for t in SESSION_TABLES + ["cowork_sessions"]:
+    for t in SESSION_TABLES + ["cowork_sessions", "quarantine"]:
         views[t].write.mode("overwrite").parquet(store.path(new_gen, t, batch))
     state = store.state(gen).drop("batch_id")
     state.write.mode("overwrite").parquet(store.path(new_gen, "etl_state", batch))

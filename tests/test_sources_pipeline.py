@@ -171,14 +171,15 @@ def test_compaction_keeps_views(spark, layout):
     root = f"{layout}/tables-c"
     pipeline.run(spark, src, root)
     with open(f"{layout}/claude/projects/plain/s3.jsonl", "a") as f:
-        f.write(json.dumps(_user("s3b", "again", ts="2026-01-01T00:02:00Z")) + "\n")
+        f.write(json.dumps(_user("s3b", "again", ts="2026-01-01T00:02:00Z")) + "\n{oops\n")
     pipeline.run(spark, src, root)
 
     def snap():
         v = _views(spark, root)
         return {t: sorted(map(str, v[t].drop("extracted_at").collect())) for t in
-                ("sessions", "messages", "cowork_sessions", "files_referenced")}
+                ("sessions", "messages", "cowork_sessions", "files_referenced", "quarantine")}
     before = snap()
+    assert len(before["quarantine"]) == 1
     gen = pipeline.compact(spark, root)
     assert pipeline.TableRoot(spark, root).current_generation() == gen
     assert snap() == before
