@@ -15,6 +15,7 @@ an item without words has no window. Item ids that are null are written "null".
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -77,12 +78,13 @@ def tables(items: list[tuple[str, str]], window: int) -> list[WordSearch]:
     return [WordSearch(n, strings) for n, strings in sorted(by_length.items())]
 
 
-_built: dict[tuple[int, int], list[WordSearch]] = {}
+_built: dict[str, list[WordSearch]] = {}
 
 
 def _scan(block, window: int, text: Column, before: Column | None) -> Column:
+    key = uuid.uuid4().hex
+
     def result(texts: pd.Series, states) -> pd.DataFrame:
-        key = (block.id if hasattr(block, "id") else id(block), window)
         if key not in _built:  # once for each worker and block
             _built.clear()
             _built[key] = tables(block.value, window)

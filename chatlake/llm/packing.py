@@ -52,7 +52,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     """
     tokenizer, ids = _encoder(path)
     parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*map(set, parts)) - ids.keys())
+    new = list(set().union(*map(set, parts)).difference(ids))
     if len(ids) + len(new) > MAX_WORDS:
         ids.clear()
         new = list(set().union(*map(set, parts)))

@@ -11,11 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate, packing, secrets, simhash
+from chatlake.llm import decontaminate, packing, quality, secrets, simhash
 from chatlake.llm.common import fresh, saved, table
 from chatlake.llm.queries import TOKENIZER
 
 
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    verdict, = fresh(docs, "verdict")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, verdict, model).where(f"{verdict}.kept").drop(verdict)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, that with the least id
     (then the least hash of its text)."""

@@ -6,18 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate, outliers, packing, secrets, shards, simhash
-from chatlake.llm.common import table
+from chatlake.llm import decontaminate, html_text, language_model, outliers, packing, quality, secrets, shards, simhash, toxicity
+from chatlake.llm.common import held_out, table
 
 SHARDS = 16
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.with_score(docs, "quality", quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *[f"quality.{c}" for c in ("score", "content_score", "metadata_score", "kept")])
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5))
+    out = toxicity.with_score(docs, "found", *toxicity.fit(docs, labels))
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.n_passages")
+
+
 def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.external_shuffle(table(spark, sf_dir, "documents"), SHARDS)
     text = F.coalesce("text", F.lit(""))
@@ -30,6 +43,19 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.with_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.train(docs.where(~held_out("doc_id", 10)))
+    out = language_model.with_score(docs, model)
+    return out.select("doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                      "base_score", "score", "perplexity")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = secrets.with_spans(docs, "found", secrets.train(docs)).select("doc_id", "found")
@@ -49,6 +75,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"overlap.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_external_shuffle, op5_vector_packing, op8_secret_scan, op9_robust_outliers, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (
+    op1_co_training, op2_simhash_dedup, op3_toxic_segments, op4_external_shuffle, op5_vector_packing, op6_text_density, op7_kneser_ney,
+    op8_secret_scan, op9_robust_outliers, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}

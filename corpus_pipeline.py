@@ -8,6 +8,7 @@ from chatlake.llm import pipeline_stages as S
 from chatlake.llm.common import saved, table
 
 STAGES = [
+    ("quality_classifier", S.classified),
     ("simhash_dedup", S.deduplicate),
     ("decontaminate", S.decontaminated),
     ("secret_scan", S.without_secrets),
