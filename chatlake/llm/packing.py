@@ -14,11 +14,13 @@ its own; null ids are packed like others.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,39 +29,65 @@ from chatlake.llm.common import saved, python_workers
 MAX_TOKENS = 2048
 #: Pieces that one task packs together.
 GROUP_PIECES = 8000
-#: Different words whose ids a worker remembers.
-MAX_WORDS = 400_000
+#: Words, and the parts that words are made of, whose ids a worker remembers.
+MAX_WORDS, MAX_PARTS = 250_000, 600_000
 END = b"\0\0\0\0"
 
+# Fixed value: how the tokenizer of this vocabulary splits a lower-cased word.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 _known: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(tokenizer, ids by word): one for each worker and path."""
+    """(tokenizer, ids by word, ids by part, whether words may be split into
+    parts): one for each worker and path."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {"": b""})
+        with open(path, encoding="utf-8") as f:
+            splits = [x.get("pattern", {}).get("Regex") for x in (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        _known[path] = (Tokenizer.from_file(path), {"": b""}, {}, _PARTS.pattern in splits)
     return _known[path]
 
 
+def _raw(tokenizer, words: list[str]):
+    for i in range(0, len(words), 4096):
+        for e in tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4").tobytes()
+
+
+def _plain(word: str) -> bool:
+    """Printable Latin without special tokens: lower-casing and splitting need
+    no look at what Unicode version the tokenizer has."""
+    return max(word) < "\u0250" and word.isprintable() and "<|" not in word
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins characters across a space or line end, so the
-    ids of a text are those of what stands between them, which repeat.
+    The tokenizer never joins characters across a space or line end, nor
+    across the parts of a word, so the ids of a text are those of these, which
+    repeat. Words that are not plain are given to it whole.
     """
-    tokenizer, ids = _encoder(path)
+    tokenizer, ids, by_part, splits = _encoder(path)
     parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*map(set, parts)).difference(ids))
+    new = set().union(*map(set, parts)).difference(ids)
     if len(ids) + len(new) > MAX_WORDS:
         ids.clear()
-        new = list(set().union(*map(set, parts)))
-    for i in range(0, len(new), 4096):
-        some = new[i:i + 4096]
-        for word, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-            ids[word] = np.array(e.ids, dtype="<u4").tobytes()
+        new = set().union(*map(set, parts))
+    whole = [w for w in new if w and not (splits and _plain(w))]
+    ids.update(zip(whole, _raw(tokenizer, whole)))
+    split = {w: _PARTS.findall(w.lower()) for w in new.difference(whole)}
+    units = set().union(*split.values()).difference(by_part)
+    if len(by_part) + len(units) > MAX_PARTS:
+        by_part.clear()
+        units = set().union(*split.values())
+    units = list(units)
+    by_part.update(zip(units, _raw(tokenizer, units)))
+    for word, p in split.items():
+        ids[word] = b"".join(map(by_part.__getitem__, p))
     return [b"".join(map(ids.__getitem__, p)) for p in parts]
 
 
