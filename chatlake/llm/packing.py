@@ -30,7 +30,7 @@ MAX_TOKENS = 2048
 #: Pieces that one task packs together.
 GROUP_PIECES = 8000
 #: Words, and the parts that words are made of, whose ids a worker remembers.
-MAX_WORDS, MAX_PARTS = 250_000, 600_000
+MAX_WORDS, MAX_PARTS = 600_000, 1_500_000
 END = b"\0\0\0\0"
 
 # Fixed value: how the tokenizer of this vocabulary splits a lower-cased word.
