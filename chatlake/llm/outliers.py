@@ -116,10 +116,21 @@ def _factor(model: DataFrame) -> DataFrame:
     return model
 
 
+#: Groups up to which a table with a row for each (some 200 bytes) is broadcast.
+FEW_GROUPS = 100_000
+
+
+def _by_group(df: DataFrame) -> DataFrame:
+    """A written table with a row for each group: broadcast if these are few,
+    so that rows of a large group stay where they are."""
+    df = saved(df, "rules-groups")
+    return F.broadcast(df) if df.count() <= FEW_GROUPS else df
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Median and MAD of each coordinate, as a diagonal scatter."""
     p = range(len(VECTOR))
-    mid = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"mu_{i}") for i, v in enumerate(VECTOR)])
+    mid = _by_group(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"mu_{i}") for i, v in enumerate(VECTOR)]))
     off = rows.join(mid, "grp").groupBy("grp").agg(
         *[F.first(f"mu_{i}").alias(f"mu_{i}") for i in p],
         *[F.percentile_approx(F.abs(F.col(v) - F.col(f"mu_{i}")), 0.5, 1000).alias(f"mad_{i}") for i, v in enumerate(VECTOR)])
@@ -161,12 +172,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = saved(_vector(_grouped(saved(rows, "rules-stats"), lang_col, source_col, min_group).withColumn("base_failed", failed)), "rules-vectors")
     # each estimate in use is fitted on all rows of its language, or of the table, not on those of small sources alone
     fit = (rows.where(~F.col("base_failed")).select(F.explode("grps").alias("grp"), *VECTOR)
-           .join(rows.select("grp").distinct(), "grp", "left_semi"))
-    model = saved(_factor(_start(fit)), "rules-model")
+           .join(_by_group(rows.select("grp").distinct()), "grp", "left_semi"))
+    model = _by_group(_factor(_start(fit)))
     for _ in range(steps):
         near = saved(fit.join(model, "grp").select("grp", *VECTOR, _distance().alias("d2")), "rules-near")
-        edge = near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("edge"))
-        model = saved(_factor(_moments(near.join(edge, "grp").where("d2 <= edge"))), "rules-model")
+        edge = _by_group(near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("edge")))
+        model = _by_group(_factor(_moments(near.join(edge, "grp").where("d2 <= edge"))))
     scored = rows.join(model, "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return scored.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
