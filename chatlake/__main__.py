@@ -27,6 +27,13 @@ def _spark() -> SparkSession:
     return spark
 
 
+def _print(df) -> None:
+    """Every row, tab-separated, a partition of them at a time on the driver."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="chatlake")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -53,6 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--sql")
     rp.add_argument("--as-of", default=_dt.date.today().isoformat())
     rp.add_argument("--export", help="write the result as CSV to this folder")
+    rp.add_argument("--single-file", action="store_true", help="export a small report as one file, by one task")
     cp = sub.add_parser("compact", help="rewrite the current views as one batch")
     cp.add_argument("--root", required=True)
     a = ap.parse_args(argv)
@@ -71,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         t = pipeline.TableRoot(spark, a.root).views()
         for name, df in R.stats(t).items():
             print(f"== {name}")
-            df.show(50, truncate=False)
+            _print(df)
     elif a.cmd == "report":
         t = pipeline.TableRoot(spark, a.root).views()
         if a.today:
@@ -87,9 +95,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             df = run_sql(spark, t, a.sql)
         if a.export:
-            print("exported" if export_csv(df, a.export, single_file=True) else "no rows, nothing written")
+            print("exported" if export_csv(df, a.export, single_file=a.single_file) else "no rows, nothing written")
         else:
-            df.show(1000, truncate=False)
+            _print(df)
     elif a.cmd == "compact":
         print(pipeline.compact(spark, a.root))
     return 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import TOOL_INPUT_DDL
+from ..schemas import ANY_LENGTH, TOOL_INPUT_DDL
 from .text import MAX_TOOL_RESULT_SNIPPET, col, json_truthy, nonempty
 
 
@@ -67,7 +67,7 @@ def tool_uses(blocks) -> Column:
     input fields the tables use, read once here at parse time. ``path`` is
     the first non-empty of file_path, path, notebook_path."""
     def one(b):
-        inp = F.from_json(b["input"], TOOL_INPUT_DDL, {"mode": "PERMISSIVE"})
+        inp = F.from_json(b["input"], TOOL_INPUT_DDL, {"mode": "PERMISSIVE", **ANY_LENGTH})
         return F.struct(b["id"].alias("id"), b["name"].alias("name"), b["input"].alias("input"),
                         first_truthy(inp["file_path"], inp["path"], inp["notebook_path"]).alias("path"),
                         inp["command"].alias("command"), inp["description"].alias("description"))

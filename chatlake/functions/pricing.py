@@ -42,22 +42,21 @@ def merge_prices(user_prices: dict | None = None, base: dict | None = None) -> d
 
 def price_table(spark: SparkSession, prices: dict | None = None) -> DataFrame:
     prices = DEFAULT_PRICES if prices is None else prices
-    if len(prices) > MAX_PRICE_ROWS:
-        raise ValueError(f"price table has {len(prices)} rows; at most {MAX_PRICE_ROWS}")
     rows = [(m, *[float(x) for x in p]) for m, p in prices.items()]
     schema = "price_model string, " + ", ".join(f"{c} double" for c in PRICE_COLS)
-    return spark.createDataFrame(rows, schema)
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= MAX_PRICE_ROWS else out
 
 
 def attach_prices(sessions: DataFrame, prices: DataFrame, model_col: str = "model",
                   fallback=FALLBACK_PRICE) -> DataFrame:
     """Left join on the primary model ('unknown' when none), then fall back.
 
-    The price side is a bounded config table (checked in :func:`price_table`),
-    so it is broadcast and the sessions side is never shuffled for it.
+    A price table within the bound that :func:`price_table` checks is
+    broadcast, and the sessions side is not shuffled for it.
     """
     key = F.coalesce(F.col(model_col), F.lit("unknown"))
-    joined = sessions.join(F.broadcast(prices), key == F.col("price_model"), "left")
+    joined = sessions.join(prices, key == F.col("price_model"), "left")
     return joined.select(
         *[c for c in sessions.columns],
         *[F.coalesce(F.col(c), F.lit(float(v))).alias(c) for c, v in zip(PRICE_COLS, fallback)],

@@ -13,7 +13,7 @@ from .tables import last_wins
 
 def _sidecar_ts(meta, raw_col: str, field: str):
     raw = meta[field]
-    num = F.when(raw.rlike(NUMERIC_PATTERN), F.from_json(raw_col, f"{field} double")[field])
+    num = F.when(raw.rlike(NUMERIC_PATTERN), F.from_json(raw_col, f"{field} double", schemas.ANY_LENGTH)[field])
     return parse_timestamp(raw, num)
 
 
@@ -22,16 +22,19 @@ def build_cowork_sessions(links: DataFrame) -> DataFrame:
     ``cowork_dir_id`` (the ``local_*`` folder name), ``session_id``,
     ``load_rank``, ``file_path``, ``sidecar_text`` (whole JSON file).
 
-    A sidecar that is not a JSON object gives no row. The key is the
-    sidecar's ``sessionId``, else the folder name; when several transcripts
-    share a sidecar the one processed last wins.
+    A sidecar that is not a JSON object, or an empty one, gives no row. The
+    key is the sidecar's ``sessionId`` if it has that key at all (null or
+    empty: no row), else the folder name; when several transcripts share a
+    sidecar the one processed last wins.
     """
-    m = F.from_json("sidecar_text", schemas.SIDECAR_DDL, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    m = F.from_json("sidecar_text", schemas.SIDECAR_DDL, {"columnNameOfCorruptRecord": "_corrupt_record", **schemas.ANY_LENGTH})
     parsed = links.withColumn("m", m)
-    ok = F.col("m").isNotNull() & F.col("m._corrupt_record").isNull()
+    keys = F.json_object_keys("sidecar_text")
+    ok = F.col("m").isNotNull() & F.col("m._corrupt_record").isNull() & (F.coalesce(F.array_size(keys), F.lit(0)) > 0)
+    has_id = F.array_contains(keys, "sessionId")
     meta = F.col("m")
     rows = parsed.filter(ok).select(
-        F.coalesce(nonempty(meta["sessionId"]), F.col("cowork_dir_id")).alias("cowork_session_id"),
+        nonempty(F.when(has_id, meta["sessionId"]).otherwise(F.col("cowork_dir_id"))).alias("cowork_session_id"),
         F.col("session_id").alias("jsonl_session_id"),
         meta["title"].alias("title"),
         F.substring(F.coalesce(meta["initialMessage"], F.lit("")), 1, MAX_INITIAL_MESSAGE).alias("initial_message"),

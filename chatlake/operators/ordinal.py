@@ -39,7 +39,10 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     offsets = counts.select(*keys, b, F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__off"))
     in_block = Window.partitionBy(*keys, b).orderBy(*order)
     ranked = with_blk.withColumn("__rk", F.row_number().over(in_block) - 1)
-    return (ranked.join(offsets, [*keys, b])
+    # null keys and blocks are groups like any other
+    offsets = offsets.withColumnsRenamed({c: f"__{c}" for c in [*keys, b]})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*keys, b]]
+    return (ranked.join(offsets, same).drop(*[f"__{c}" for c in [*keys, b]])
             .withColumn(out, (F.col("__off") + F.col("__rk")).cast("long"))
             .drop(b, "__off", "__rk"))
 

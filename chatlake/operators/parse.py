@@ -11,8 +11,9 @@ Parsing recipe (why it is shaped like this):
   record corrupt, so typing happens afterwards with ``try_cast``.
 * ``message.content`` is a string or an array of blocks. Only lines whose
   content is an array parse again with ``content array<string>`` (each
-  element stays raw JSON); string content is taken by path. Both second
-  reads sit in lazy CASE branches, so other lines pay nothing.
+  element stays raw JSON); string content is read as such. These reads sit
+  in lazy CASE branches, in this order, each only where the one before it
+  found nothing.
 * A numeric ``timestamp`` is told from a numeric-looking *string* by a
   second typed read, again only for numeric-looking values.
 """
@@ -28,10 +29,10 @@ from ..functions.commands import command_invocation
 from ..functions.text import json_truthy, nonempty
 from ..functions.timestamps import NUMERIC_PATTERN, parse_timestamp
 
-JSON_OPTS = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
+JSON_OPTS = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE", **schemas.ANY_LENGTH}
 # Any option keeps Catalyst from splitting one from_json into one parse per
 # extracted field (it only prunes schemas of option-less JSON reads).
-ONE_PARSE = {"mode": "PERMISSIVE"}
+ONE_PARSE = {"mode": "PERMISSIVE", **schemas.ANY_LENGTH}
 
 
 BLOCK_FIELDS = ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "is_error")
@@ -141,8 +142,8 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     # Second stage: string content by path (only when not an array), blocks.
     out = out.select(
         "*",
-        F.when(F.col("is_message") & F.col("content_arr").isNull(),
-               F.get_json_object("value", "$.message.content")).alias("content_str"),
+        F.when(F.col("is_message") & F.col("typed").isNull() & F.col("content_arr").isNull(),
+               F.from_json("value", schemas.CONTENT_STRING_DDL, ONE_PARSE)["message"]["content"]).alias("content_str"),
         F.coalesce(F.transform("typed", _typed_block), F.col("content_arr")).alias("blocks"),
         F.from_json("usage_raw", schemas.USAGE_DDL, ONE_PARSE).alias("u"),
     ).drop("content_arr", "typed")

@@ -27,10 +27,22 @@ from .parse import message_id
 FILE_OPS = ["read", "write", "edit", "glob", "grep", "notebookedit"]
 
 
+# Place of a stored tool call in load order; not a column of any view.
+LOAD_ORDER = "load_order"
+
+
 def build_messages(entries: DataFrame) -> DataFrame:
-    """P3 + W1: one row per user/assistant entry; sequence numbers are 0-based."""
-    msgs = entries.filter(F.col("is_message")).select(
-        message_id().alias("message_id"), "session_id", "parent_uuid", "role",
+    """P3 + W1: one row per user/assistant entry; sequence numbers are 0-based.
+
+    Of lines of one session with the same message id the first counts. The
+    repeated ids are found on narrow rows; texts are not shuffled for it."""
+    said = entries.filter(F.col("is_message")).withColumn("message_id", message_id())
+    repeated = (said.filter(F.col("uuid").isNotNull()).groupBy("session_id", "message_id")
+                .agg(F.min("line_num").alias("_first"), F.count(F.lit(1)).alias("_times")).filter("_times > 1").drop("_times"))
+    said = (said.join(repeated, ["session_id", "message_id"], "left")
+            .filter(F.col("_first").isNull() | (F.col("line_num") == F.col("_first"))))
+    msgs = said.select(
+        "message_id", "session_id", "parent_uuid", "role",
         F.col("ts").alias("timestamp"), "line_num",
         truncate("text", MAX_CONTENT_TEXT).alias("content_text"),
         "has_thinking", truncate("thinking_text", MAX_CONTENT_TEXT).alias("thinking_text"),
@@ -61,25 +73,34 @@ def _tool_use_rows(entries: DataFrame) -> DataFrame:
 
 def build_tool_calls(entries: DataFrame) -> DataFrame:
     """J1 + P7 + W3: tool calls with their error flag, first write wins per id."""
-    calls = _tool_use_rows(entries)
+    return first_call_wins(session_tool_calls(entries))
+
+
+def first_call_wins(rows: DataFrame) -> DataFrame:
+    """W3 over all sessions: the first call in load order keeps its id."""
+    return first_wins(rows, ["tool_call_id"], LOAD_ORDER, schemas.TOOL_CALLS)
+
+
+def session_tool_calls(entries: DataFrame) -> DataFrame:
+    """J1 + P7: one row for each call id of a session, with its place in load
+    order. This is what a batch stores: which session keeps an id that several
+    have does not depend on how files were dealt to batches. Inputs are cut
+    before any shuffle."""
+    calls = _tool_use_rows(entries).filter(F.col("tool_call_id").isNotNull() & F.col("tool_name").isNotNull()).withColumns({
+        "input_summary": truncate("input_raw", MAX_INPUT_SUMMARY), "command": truncate("command_raw", MAX_COMMAND),
+        LOAD_ORDER: F.struct("load_rank", "file_path", "line_num", "pos")}).drop("input_raw", "command_raw", "file_path")
+    calls = calls.withColumnsRenamed({"ts": "timestamp", "path": "file_path"})
+    values = ["message_id", "tool_name", "input_summary", "timestamp", "file_path", "command", "description"]
+    calls = calls.groupBy("session_id", "tool_call_id").agg(F.min_by(F.struct(*values, LOAD_ORDER), F.col(LOAD_ORDER)).alias("_v"))
     results = (entries.filter(F.col("tool_results").isNotNull() & (F.size("tool_results") > 0))
                .select("session_id", "line_num", F.posexplode("tool_results").alias("pos", "r"))
                .groupBy("session_id", F.col("r")["tool_use_id"].alias("tool_call_id"))
-               # Last result wins; the (line, position) order packed in one long
-               # keeps the aggregation buffer fixed-width (hash aggregate).
-               .agg(F.max_by(F.col("r")["is_error"],
-                             F.col("line_num") * F.lit(1 << 20) + F.col("pos")).alias("res_error")))
-    linked = calls.join(results, ["session_id", "tool_call_id"], "left")
-    rows = linked.filter(F.col("tool_call_id").isNotNull() & F.col("tool_name").isNotNull()).select(
-        "tool_call_id", "message_id", "session_id", "tool_name",
-        truncate("input_raw", MAX_INPUT_SUMMARY).alias("input_summary"),
-        F.col("ts").alias("timestamp"), F.col("path").alias("file_path"),
-        truncate("command_raw", MAX_COMMAND).alias("command"), "description",
-        F.lit(None).cast("string").alias("result_message_id"),
-        F.coalesce("res_error", F.lit(False)).alias("has_error"),
-        F.struct("load_rank", "file_path", "line_num", "pos").alias("_ord"),
-    )
-    return first_wins(rows, ["tool_call_id"], "_ord", schemas.TOOL_CALLS)
+               # Last result wins.
+               .agg(F.max_by(F.col("r")["is_error"], F.struct("line_num", "pos")).alias("res_error")))
+    rows = calls.join(results, ["session_id", "tool_call_id"], "left").select(
+        "session_id", "tool_call_id", "_v.*", F.lit(None).cast("string").alias("result_message_id"),
+        F.coalesce("res_error", F.lit(False)).alias("has_error"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TOOL_CALLS.fields], LOAD_ORDER)
 
 
 def build_commands(entries: DataFrame) -> DataFrame:
@@ -154,7 +175,7 @@ def session_rollup(entries: DataFrame) -> DataFrame:
         _first_in_line_order("agent_id").alias("agent_id"),
         F.count_if(F.col("role") == "user").cast("int").alias("user_message_count"),
         F.count_if(F.col("role") == "assistant").cast("int").alias("assistant_message_count"),
-        F.coalesce(F.sum(F.size("tool_uses")), F.lit(0)).cast("int").alias("tool_call_count"),
+        F.coalesce(F.sum(F.coalesce(F.array_size("tool_uses"), F.lit(0))), F.lit(0)).cast("int").alias("tool_call_count"),
         F.count_if(F.col("command").isNotNull()).cast("int").alias("command_count"),
         tsum("input_tokens").alias("total_input_tokens"),
         tsum("output_tokens").alias("total_output_tokens"),

@@ -2,7 +2,7 @@
 
 Storage (plain Parquet, no MERGE needed)::
 
-    <root>/_current                       generation in use (one text line)
+    <root>/_current/<gen>                 a pointer for each finished generation
     <root>/<gen>/bronze/batch_id=<b>/     parsed entries of batch b
     <root>/<gen>/<table>/batch_id=<b>/    rows of the 8 tables written by b
     <root>/<gen>/quarantine/batch_id=<b>/ skipped lines with a reason
@@ -15,8 +15,11 @@ leaves rows no view shows, and the files are picked up again next run.
 The *current view* of a per-session table keeps the rows of the batch that
 holds the latest winning manifest row of the session: re-extracting a
 changed file replaces the whole session, as the reference's delete+insert
-does. A full run (S10) writes a new generation and then switches
-``_current``; readers never see a half-built generation.
+does. A full run (S10) writes a new generation and then adds its pointer;
+pointers are never changed, and the one with the latest name is in use, so
+readers never see a half-built generation. Tool-call ids that several sessions
+have, and project folders whose path another batch has seen, are resolved in
+the view, so that its rows do not depend on how files were dealt to batches.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .. import schemas
 from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines, quarantine_of
-from ..operators.tables import LazyTables, build_files_referenced, build_tables
+from ..operators.tables import LOAD_ORDER, LazyTables, build_files_referenced, build_tables, first_call_wins, session_tool_calls
 from ..session import apply_engine_conf
 from ..sources import transcripts as T
 from .incremental import changed_files
@@ -122,15 +125,27 @@ class TableRoot:
     root: str
 
     def current_generation(self) -> str | None:
-        try:
-            row = self.spark.read.text(f"{self.root}/_current").first()
-        except Exception:
-            return None
-        return row[0].strip() if row else None
+        """The generation of the latest finished pointer; None for a new root.
+
+        A root that has generations but no readable pointer is an error: a
+        run must not start over beside data that it cannot see."""
+        names = self._names(f"{self.root}/_current")
+        done = sorted(n for n in names if n.startswith("gen-") and "_SUCCESS" in self._names(f"{self.root}/_current/{n}"))
+        if done:
+            return done[-1]
+        if names or any(n.startswith("gen-") and self._names(f"{self.root}/{n}/etl_state") for n in self._names(self.root)):
+            raise RuntimeError(f"{self.root} has generations, but none that {self.root}/_current points to")
+        return None
+
+    def _names(self, path: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
 
     def set_generation(self, gen: str) -> None:
         (self.spark.createDataFrame([(gen,)], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{self.root}/_current"))
+         .write.mode("overwrite").text(f"{self.root}/_current/{gen}"))
 
     def path(self, gen: str, table: str, batch: str | None = None) -> str:
         p = f"{self.root}/{gen}/{table}"
@@ -154,6 +169,13 @@ class TableRoot:
         return (st.groupBy("file_path").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
                 .select("file_path", "s.*"))
 
+    def project_paths(self, gen: str) -> DataFrame:
+        """The path seen for each project folder, over all batches."""
+        rows = self.read(gen, "project_dirs")
+        if "_seen_cwd" not in rows.columns:
+            return self.spark.createDataFrame([], "project_dir_name string, _seen_cwd string")
+        return rows.groupBy("project_dir_name").agg(F.min("_seen_cwd").alias("_seen_cwd"))
+
     def views(self, gen: str | None = None) -> LazyTables:
         """The current view of all 8 tables (lazy)."""
         gen = gen or self.current_generation()
@@ -184,7 +206,20 @@ class TableRoot:
             return (rows.groupBy("cowork_session_id")
                     .agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("v")).select("cowork_session_id", "v.*"))
 
+        def tool_calls_view():
+            rows = session_view("tool_calls")()
+            return first_call_wins(rows) if LOAD_ORDER in rows.columns else rows
+
+        def sessions_view():
+            rows = session_view("sessions")()
+            seen = self.project_paths(gen)
+            return (rows.join(seen, "project_dir_name", "left")
+                    .withColumn("project_path", F.when(F.col("source") == T.CODE, F.coalesce("_seen_cwd", "project_path")).otherwise(F.col("project_path")))
+                    .select(*rows.columns))
+
         builders = {t: session_view(t) for t in SESSION_TABLES}
+        builders["tool_calls"], builders["sessions"] = tool_calls_view, sessions_view
+        self.stored = {"tool_calls": session_view("tool_calls")}
         builders["cowork_sessions"] = cowork_view
         builders["etl_state"] = lambda: self.state(gen)
         # D-1: skipped lines of the batches that hold current rows.
@@ -203,14 +238,18 @@ class RunResult:
     summary: dict = field(default_factory=dict)
 
 
-def _resolve_project_paths(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """S5 (re-aimed): code dirs decode to an observed ``cwd`` whose encoding
-    ('/', '\\' and '.' as '-') equals the dir name; else ``/a/b`` from ``-a-b``;
-    a name without a leading '-' is kept. Cowork: ``cowork://title|id|unknown``."""
+def _seen_paths(entries: DataFrame) -> DataFrame:
+    """For each project folder the least ``cwd`` that its name encodes."""
     enc = F.regexp_replace("cwd", r"[/\\.]", "-")
-    seen = (entries.filter(F.col("cwd").isNotNull() & (F.col("source") == T.CODE))
+    return (entries.filter(F.col("cwd").isNotNull() & (F.col("source") == T.CODE))
             .filter(enc == F.col("project_dir_name"))
             .groupBy("project_dir_name").agg(F.min("cwd").alias("_seen_cwd")))
+
+
+def _resolve_project_paths(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """S5 (re-aimed): code dirs decode to an observed ``cwd`` whose encoding
+    ('/', '\\' and '.' as '-') equals the dir name; else ``/a/b`` from ``-a-b``;
+    a name without a leading '-' is kept. Cowork: ``cowork://title|id|unknown``."""
     fallback = F.when(F.col("project_dir_name").startswith("-"),
                       F.concat(F.lit("/"), F.replace(F.substring("project_dir_name", 2, 1 << 30), F.lit("-"), F.lit("/")))
                       ).otherwise(F.col("project_dir_name"))
@@ -271,6 +310,11 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     bronze_path = store.path(gen, "bronze", batch)
     parse_lines(lines).write.mode("overwrite").parquet(bronze_path)
     entries = spark.read.parquet(bronze_path)
+    if getattr(source, "derives_project_paths", False):
+        # a file that went before it was read gets no session and no manifest row: it is no empty file
+        gone = winners.filter("file_size > 0").select("file_path").join(entries.select("file_path").distinct(), "file_path", "left_anti")
+        winners = winners.join(gone, "file_path", "left_anti")
+        chosen = chosen.join(gone, "file_path", "left_anti")
     clock("parse_bronze")
     quarantine_of(entries).write.mode("overwrite").parquet(store.path(gen, "quarantine", batch))
     if on_error == "file":
@@ -286,13 +330,14 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     files = winners
     if side is not None:
         links = winners.filter(F.col("sidecar_path").isNotNull()).join(side, "sidecar_path")
-        meta = F.from_json("sidecar_text", "title string")
+        meta = F.from_json("sidecar_text", "title string", schemas.ANY_LENGTH)
         titles = links.select("file_path", meta["title"].alias("_title"))
         files = files.join(titles, "file_path", "left")
     else:
         files = files.withColumn("_title", F.lit(None).cast("string"))
     if getattr(source, "derives_project_paths", False):
-        files = _resolve_project_paths(files, entries)
+        _seen_paths(entries).write.mode("overwrite").parquet(store.path(gen, "project_dirs", batch))
+        files = _resolve_project_paths(files, store.project_paths(gen))
     files = files.drop("_title")
     ext = now.replace(tzinfo=None)
     tables = build_tables(entries, price_table(spark, prices), files=files.select(*schemas.FILE_COLS),
@@ -304,6 +349,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     # Rows sorted by session inside each file give Parquet min/max stats that
     # prune row groups for per-session reads; messages already arrive in that
     # order from their window, so no extra sort is planned for them.
+    tables._builders["tool_calls"] = lambda: session_tool_calls(entries)
     sort_keys = {"messages": ["session_id"], "tool_calls": ["session_id"]}
     for t in SESSION_TABLES:
         df = tables[t]
@@ -374,39 +420,6 @@ def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict
             "tool_uses_dropped": int(tot["tool_uses"]) - int(tot["tool_calls"])}
 
 
-class _Clock:
-    """Optional wall-clock split of a run (seconds per step)."""
-
-    def __init__(self, sink: dict | None):
-        import time
-        self._time = time.time
-        self._sink = sink
-        self._t = self._time()
-
-    def __call__(self, step: str) -> None:
-        if self._sink is not None:
-            now = self._time()
-            self._sink[step] = round(now - self._t, 3)
-            self._t = now
-
-
-def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict:
-    """What this batch extracted (one small aggregate per table)."""
-    s = spark.read.parquet(store.path(gen, "sessions", batch)).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.coalesce(F.sum("estimated_total_cost_usd"), F.lit(0.0)).alias("cost_usd")).first()
-    msgs = spark.read.parquet(store.path(gen, "messages", batch)).count()
-    tools = spark.read.parquet(store.path(gen, "tool_calls", batch)).count()
-    q = spark.read.parquet(store.path(gen, "quarantine", batch)).groupBy("reason").count().collect()
-    bad = {r["reason"]: r["count"] for r in q}
-    uses = spark.read.parquet(store.path(gen, "sessions", batch)).agg(F.sum("tool_call_count")).first()[0] or 0
-    return {"sessions": s["sessions"], "messages": msgs, "tool_calls": tools,
-            "cost_usd": s["cost_usd"], "skipped_lines": sum(bad.values()),
-            "skipped_by_reason": bad,
-            # D-3: tool uses not kept as rows (NULL id or name, or a repeated id)
-            "tool_uses_dropped": int(uses) - tools}
-
-
 def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) -> str:
     """Rewrite the current views as one batch of a new generation, then switch.
 
@@ -422,6 +435,8 @@ def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) ->
     batch = new_batch_id(now)
     new_gen = f"gen-{batch}"
     views = store.views(gen)
+    views["tool_calls"] = store.stored["tool_calls"]()
+    store.project_paths(gen).write.mode("overwrite").parquet(store.path(new_gen, "project_dirs", batch))
     for t in SESSION_TABLES + ["cowork_sessions", "quarantine"]:
         views[t].write.mode("overwrite").parquet(store.path(new_gen, t, batch))
     state = store.state(gen).drop("batch_id")

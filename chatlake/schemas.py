@@ -30,6 +30,8 @@ FILE_COLS = ["source", "file_path", "session_id", "is_agent", "project_dir_name"
 # cast with try_* functions: a type mismatch inside from_json turns the whole
 # record corrupt, and ANSI casts would fail the job on bad input.
 # ---------------------------------------------------------------------------
+# Strings of any length: the reader's own limit is 20,000,000 characters.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 ENVELOPE_DDL = (
     "type string, timestamp string, uuid string, parentUuid string, "
     "isSidechain string, gitBranch string, cwd string, version string, "
@@ -46,6 +48,7 @@ CONTENT_BLOCKS_DDL = (
 )
 # Fallback for arrays the typed read rejects: elements kept as raw JSON.
 CONTENT_ARRAY_DDL = "message struct<content array<string>>"
+CONTENT_STRING_DDL = "message struct<content string>"
 BLOCK_DDL = (
     "type string, text string, thinking string, id string, name string, "
     "input string, tool_use_id string, is_error string, content string"
@@ -63,7 +66,7 @@ SIDECAR_DDL = (
 )
 
 # ---------------------------------------------------------------------------
-# Output tables (types of the columnar backend).
+# Names, order and types of the output tables' columns.
 # ---------------------------------------------------------------------------
 SESSIONS = struct(
     ("session_id", S), ("project_path", S), ("project_dir_name", S),

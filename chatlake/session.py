@@ -22,7 +22,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Many small transcript files: pack them into fewer scan tasks.
     "spark.sql.files.openCostInBytes": str(1 << 20),
-    "spark.sql.files.ignoreMissingFiles": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -43,22 +42,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Pin the runtime settings results depend on: UTC day buckets, and a
-    transcript deleted between listing and reading is skipped (as the
-    reference skips files it cannot stat) instead of failing the job."""
+    """Pin the runtime setting results depend on: UTC day buckets."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint folder); only
-    when neither is set (local runs, tests) a folder under the system temp
-    dir is created and registered, once.
+    when neither is set in a local run (tests) a folder under the system temp
+    dir is created and registered, once. On a cluster no machine's own folder
+    would do, so there the setting must be there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         try:

@@ -114,7 +114,7 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
             F.concat(F.lit("/src/f"), (n % 17).cast("string"), F.lit(".py")).alias("file_path"),
             F.concat(F.lit("cat /etc/c"), (n % 5).cast("string"), F.lit(".cfg | wc /tmp/x")).alias("command")))
     asst_blocks = F.to_json(F.array_compact(F.array(
-        F.when(turn % 4 == 3, _block(type=F.lit("thinking"), thinking=F.substring("text", 1, 20))),
+        F.when(turn % 4 == 3, _block(type=F.lit("thinking"), thinking=F.col("text"))),
         _block(type=F.lit("text"), text=F.col("text")),
         tool_use)))
     usage = F.when(model.isNotNull(), F.to_json(F.struct(

@@ -58,7 +58,7 @@ cl AS (
          WHEN role = 'user' THEN '[tool_result: ok]' || chr(10) || text
          WHEN role = 'assistant' THEN text END AS content_text,
     (role = 'assistant' AND turn % 4 = 3) AS has_thinking,
-    CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN substr(text, 1, 20) END AS thinking_text,
+    CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN text END AS thinking_text,
     CASE WHEN role = 'assistant' THEN sid || '-m' || CAST(turn AS VARCHAR) || '-t' END AS tool_id,
     CASE WHEN role = 'assistant' THEN
          list_extract(['Read', 'Write', 'Edit', 'Grep', 'Bash', 'WebFetch'], CAST((cid + turn) % 6 + 1 AS INTEGER)) END AS tool_name,

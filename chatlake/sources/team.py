@@ -25,17 +25,16 @@ def read_team_exports(spark: SparkSession, folder: str) -> DataFrame:
 
 def team_map(spark: SparkSession, teams: dict[str, list[str]]) -> DataFrame:
     rows = [(team, user) for team, users in teams.items() for user in users]
-    if len(rows) > MAX_TEAM_MAP_ROWS:
-        raise ValueError("team map too large to broadcast")
-    return spark.createDataFrame(rows, "team string, user string")
+    out = spark.createDataFrame(rows, "team string, user string")
+    return F.broadcast(out) if len(rows) <= MAX_TEAM_MAP_ROWS else out
 
 
 def team_daily(exports: DataFrame, teams: DataFrame) -> DataFrame:
     """Per (team, day): summed sessions, hours, cost, messages and user count.
 
-    The team map is configuration with a checked bound, so it is broadcast.
+    A team map within the bound that :func:`team_map` checks is broadcast.
     """
-    j = exports.join(F.broadcast(teams), "user", "left")
+    j = exports.join(teams, "user", "left")
     return (j.groupBy(F.coalesce("team", F.lit("unassigned")).alias("team"), "day")
             .agg(F.count_distinct("user").alias("users"),
                  F.sum("sessions").alias("sessions"),

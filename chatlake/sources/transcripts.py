@@ -133,7 +133,11 @@ def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
     """
     if not paths:
         return spark.createDataFrame([], schemas.LINES)
-    raw = spark.read.text([_glob_escape(p) for p in paths]).select(
+    # only here a missing file is left out: it went after it was listed
+    paths = _there(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], schemas.LINES)
+    raw = spark.read.option("ignoreMissingFiles", "true").text([_glob_escape(p) for p in paths]).select(
         "value", decode_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"))
@@ -152,6 +156,17 @@ def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
         .select(*[F.col(f.name).cast(f.dataType) for f in schemas.LINES.fields])
 
 
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the files that are still there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            found.append(p)
+    return found
+
+
 def _total_bytes(files: DataFrame) -> int:
     row = files.agg(F.sum("file_size")).first()
     return int(row[0] or 0)
