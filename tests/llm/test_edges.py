@@ -1,0 +1,180 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import sys
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from chatlake.llm import decontaminate, html_text, language_model, outliers, packing, pipeline_stages, quality, secrets, shards, simhash, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 60_000 + 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'
+ROWS = [
+    (1, "the cat sat on the mat and looked at the big red moon", "en", "a", 53), (1, "the cat sat on the mat and looked at the big red moon", "en", "a", 53),
+    (2, "the cat sat on the mat and looked at the big red moon", None, "a", 53), (None, None, None, None, None), (None, "", "en", None, 0),
+    (3, "   \n ", "en", "b", 5), (4, LONG, "en", "b", len(LONG)), (5, "password: abc api_key=Zx81kQ0pLm77Ty", "en", "b", None), (6, "É ß ü 中文", "xx", "c", 8)]
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_simhash(docs, none):
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == len(ROWS) and simhash.near_duplicates(none).count() == 0
+    assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+    # null, empty and blank texts have fingerprint 0 and are one group, named by the least id
+    zero = [r for r in rows if r["fp"] == 0]
+    assert len(zero) == 3 and {r["component_id"] for r in zero} == {3}
+
+
+def test_simhash_crowded_entries_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(1 << 62))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 100)}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    for crowded in (1, 3, 256):
+        assert {tuple(r) for r in simhash.links(df, crowded=crowded).collect()} == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 9)]
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()}
+    assert dict(got) == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 9)}
+
+
+def test_shards(docs, none):
+    rows = shards.external_shuffle(docs.withColumn("slot", F.lit("mine")).withColumn("shard", F.lit(9)), 4).collect()
+    assert len(rows) == len(ROWS) and all(r["slot"] == "mine" for r in rows)
+    assert sorted((r["_shard"], r["_slot"]) for r in rows) == sorted((i % 4, i // 4) for i in range(len(ROWS)))
+    assert shards.external_shuffle(none, 4).count() == 0
+
+
+def test_packing(docs, none):
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=2048).collect()
+    assert {r["length"] for r in rows if r["doc_id"] is None} == {1}
+    assert sum(r["doc_id"] == 1 for r in rows) == 2 and packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_secrets(docs, none):
+    model = secrets.train(docs)
+    out = secrets.with_spans(docs.withColumn("t0", F.lit(1)), "found", model)
+    rows = out.select("doc_id", "t0", secrets.written(F.col("found")).alias("s"), secrets.redacted(F.coalesce("text", F.lit("")), F.col("found")).alias("r")).collect()
+    by = {r["doc_id"]: r for r in rows if r["doc_id"]}
+    at = LONG.index("token =")
+    assert by[4]["s"].startswith(f"assign:{at}:{at + 49},hex:{at + 9}:{at + 49}") and by[4]["r"].endswith('[SECRET]" end')
+    # the first match is too short, and what it used up is not looked at again
+    assert by[5]["s"] == "assign:14:36" and by[5]["r"] == "password: abc [SECRET]" and len(rows) == len(ROWS)
+    assert all(r["s"] == "" for r in rows if r["doc_id"] is None)
+    assert secrets.with_spans(none, "found", secrets.train(none)).count() == 0
+
+
+def test_markov_finds_random_strings(spark):
+    rng = np.random.default_rng(5)
+    parts = "get user profile by name customer account number inter nation al max retry value order line total ship ment".split()
+    words = ["".join(x.title() for x in rng.choice(parts, 4)) for _ in range(1500)]
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    text = " ".join(words) + " ".join(f' token="{"".join(rng.choice(alphabet, 32))}"' for _ in range(60))
+    train = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    key = "".join(rng.choice(alphabet, 40))
+    got = secrets.with_spans(spark.createDataFrame([(1, f"see GetUserProfileByName {key} x")], "doc_id long, text string"), "f", secrets.train(train))
+    assert [r[0] for r in got.select(secrets.written(F.col("f"))).collect()] == ["markov:25:65"]
+
+
+def test_outliers(docs, none):
+    rows = outliers.judged(docs).collect()
+    assert len(rows) == len(ROWS) and outliers.judged(none).count() == 0
+    assert all(r["base_failed"] and not r["kept"] for r in rows)  # too short, or one word repeated
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, "The CAT sat-on the mat"), (2, "moon"), (None, None), (3, ""), (1, "the cat sat on the mat")], "item_id long, text string")
+    for limit in (1 << 20, 1):  # one block, or one for each item
+        out = decontaminate.with_overlap(docs, bench, "n_words", block_bytes=limit).select("doc_id", "n_words.*").collect()
+        row = next(r for r in out if r["doc_id"] == 1)
+        assert (row["n_hit"], row["n_items"], row["items_sha256"]) == (7, 2, hashlib.sha256(b"1,2").hexdigest())
+        assert len(out) == len(ROWS) and [r["n_words"] for r in out if r["doc_id"] is None] == [0, 0]
+    assert not any(r["o"]["contaminated"] for r in decontaminate.with_overlap(docs, bench.limit(0), "o").collect())
+    assert decontaminate.with_overlap(none, bench, "o").count() == 0
+
+
+def test_html(spark):
+    pages = [(1, None), (2, ""), (3, "<body><article><p>A &amp; b<br>c</p><div class='comments'>no</div></article><footer>no</footer>"), (3, "<<p"), (4, "<p>" * 3000 + "x")]
+    rows = html_text.with_text(spark.createDataFrame(pages, "page_id int, html string"), "text").collect()
+    assert [r["text"] for r in rows][:3] == ["", "", "A & b c"] and rows[4]["text"] == "x"
+
+
+def test_language_model(docs, none):
+    model = language_model.train(docs, range_tokens=1000)  # many ranges, and hot words spread over them
+    rows = language_model.with_score(docs, model).collect()
+    assert len(rows) == len(ROWS) and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
+    assert {r["n_tokens"] for r in rows if r["doc_id"] is None} == {1}
+    whole = {r["doc_id"]: r["score"] for r in language_model.with_score(docs, language_model.train(docs)).collect()}
+    assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * (1 + abs(r["score"])) for r in rows if r["doc_id"])
+    empty = language_model.with_score(docs, language_model.train(none)).collect()
+    assert all(np.isfinite(r["score"]) and r["n_known"] == 0 for r in empty)
+
+
+def test_maximal_segments():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        s = rng.integers(-4, 5, rng.integers(0, 14)).astype(float)
+        got = toxicity.maximal_segments(s)
+
+        def best(a, b):  # the definition: the best segment first, then what is left on both sides
+            spans = [(s[i:j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            top = max(spans, default=(0,))
+            if top[0] <= 0:
+                return []
+            return best(a, top[2]) + [top[0]] + best(top[3], b)
+
+        assert [round(x, 6) for *_, x in got] == [round(float(x), 6) for x in best(0, len(s))]
+
+
+def test_toxicity_and_quality_without_labels(spark, docs, none):
+    labels = spark.createDataFrame([], LABELS)
+    for table in (docs, none):
+        out = toxicity.with_score(table, "score", *toxicity.fit(table, labels)).select("score.score").collect()
+        assert len(out) == table.count() and all(0 <= r[0] < 0.5 for r in out)
+        out = quality.with_score(table, "n", quality.fit(table, labels)).select("n.*").collect()
+        assert all(r["kept"] and r["score"] == 0.5 for r in out)
+
+
+def test_quality_learns(spark):
+    rng = np.random.default_rng(1)
+    good = [(i, " ".join(rng.choice(["apple", "tree", "house", "river"], 60)), "en", "s", None) for i in range(80)]
+    bad = [(100 + i, " ".join(rng.choice(["X$$$", "Y###", "Z%%%"], 60)), "en", None, None) for i in range(80)]
+    df = spark.createDataFrame(good + bad, DOCS)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good[:40] + bad[:40]], LABELS)
+    kept = {r["doc_id"] for r in quality.with_score(df, "q", quality.fit(df, labels)).where("q.kept").collect()}
+    assert kept == {r[0] for r in good}
+
+
+def test_stages(spark, docs, none):
+    sf = "/root/testdata/sf0.001"
+    extra = docs.withColumn("text_hash", F.lit("x")).withColumn("overlap", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("verdict", F.lit(3))
+    for stage in (pipeline_stages.classified, pipeline_stages.deduplicate, pipeline_stages.decontaminated, pipeline_stages.without_secrets):
+        assert stage(spark, extra, sf).columns == extra.columns
+        assert stage(spark, none, sf).count() == 0
+    left = pipeline_stages.deduplicate(spark, extra, sf).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == ["1", "3", "4", "5", "6"]
+    clean = {r["doc_id"]: r for r in pipeline_stages.without_secrets(spark, docs, sf).collect()}
+    assert clean[5]["text"] == "password: abc [SECRET]" and clean[5]["n_chars"] == 22 and clean[6]["text"] == "É ß ü 中文"
+
+
+def test_nothing_else_imports_this():
+    import pathlib
+
+    top = pathlib.Path(sys.modules["chatlake"].__file__).parent
+    assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "chatlake.llm" in p.read_text()]
