@@ -314,9 +314,15 @@ def train(texts: DataFrame, text_col: str = "text", range_tokens: int = RANGE_TO
 
     counted = saved(_merged(_counted(texts, word_ranges, None), root, "words", {"w": "u8", "n": "u4"}, words_merged,
                             "part int, tokens long, words long, hot_w binary, hot_n binary, w binary, n binary"), "kn-words")
-    tops = counted.select("tokens", "words", "hot_w", "hot_n").collect()  # at most HOT words of each range
-    tokens, words = sum(r["tokens"] for r in tops), sum(r["words"] for r in tops)
-    hot = [int(w) for r in tops for w, n in zip(np.frombuffer(r["hot_w"], "u8"), np.frombuffer(r["hot_n"], "i8")) if n * HOT > tokens]
+    tokens, words = (int(x or 0) for x in counted.agg(F.sum("tokens"), F.sum("words")).first())
+
+    def hot_of_ranges(batches):
+        for batch in batches:
+            w, n = (np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in c] or [np.zeros(0, kind)]) for c, kind in zip(batch.columns, ("u8", "i8")))
+            yield pa.RecordBatch.from_arrays([pa.array(w[n * HOT > tokens].view(np.int64))], names=["w"])
+
+    # fewer than HOT words in all
+    hot = [r["w"] & ((1 << 64) - 1) for r in counted.select("hot_w", "hot_n").mapInArrow(hot_of_ranges, "w long").collect()]
     hot = [*hot, int(START)] if n_texts * HOT > tokens else hot
 
     def pairs_merged(part, columns):
