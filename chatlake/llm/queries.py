@@ -79,4 +79,30 @@ QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_simhash_dedup, op3_toxic_segments, op4_external_shuffle, op5_vector_packing, op6_text_density, op7_kneser_ney,
     op8_secret_scan, op9_robust_outliers, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of the texts, strings of window length at every place, and those that the benchmark has.
+_OP10_SQL = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark),
+strings AS (
+  SELECT DISTINCT item, n, unnest([array_to_string(w[i:i + n - 1], ' ') for i in generate_series(1, len(w) - n + 1)]) AS s
+  FROM (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS i,
+         unnest([array_to_string(w[i:i + n - 1], ' ') for i in generate_series(1, len(w) - n + 1)]) AS s
+  FROM d, (SELECT DISTINCT n FROM strings) WHERE len(w) >= n),
+found AS (SELECT r, i, n, item FROM places JOIN strings USING (n, s)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+#: The other operators rest on XXH64, CRC-32, tokenizers, trained models or seeded
+#: shuffles, which SQL does not have: tests/llm compares these with plain Python.
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL}
