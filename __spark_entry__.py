@@ -27,7 +27,7 @@ from chatlake.plans.incremental import changed_files  # noqa: E402
 from chatlake.plans.sqlsurface import run_sql  # noqa: E402
 from chatlake.plans import pipeline  # noqa: E402
 from chatlake.session import apply_engine_conf, scratch_path  # noqa: E402
-from chatlake.sources.synth import CORPUS_PRICES, corpus_files, corpus_lines  # noqa: E402
+from chatlake.sources.synth import CORPUS_PRICES, corpus_files, corpus_lines, write_corpus_files  # noqa: E402
 from chatlake.sources.team import team_daily, team_map  # noqa: E402
 from chatlake.sources.synth_oracle import oracle  # noqa: E402
 
@@ -142,10 +142,14 @@ TEAMS = {"eng": [f"u{i}" for i in range(10)], "ops": [f"u{i}" for i in range(10,
 
 
 def _s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user daily summaries (the R16 export, one per event user) are
-    consolidated per team and day with the broadcast team map."""
-    s = _tables(spark, sf_dir)["sessions"].filter(F.col("session_id").startswith("u") & ~F.col("is_agent"))
-    per_user = (s.groupBy(F.split("session_id", "-")[0].alias("user"), F.to_date("started_at").alias("day"))
+    """Per-user daily summaries (the R16 export, agents left out as there)
+    are consolidated per team and day with the broadcast team map. Event
+    sessions have their user; conversation n belongs to user n % 40."""
+    s = _tables(spark, sf_dir)["sessions"].filter(~F.col("is_agent"))
+    number = F.regexp_extract("session_id", r"^conv-(\d+)$", 1)
+    user = (F.when(number != "", F.concat(F.lit("u"), (number.try_cast("long") % 40).cast("string")))
+            .otherwise(F.split("session_id", "-")[0]))
+    per_user = (s.groupBy(user.alias("user"), F.to_date("started_at").alias("day"))
                 .agg(F.count(F.lit(1)).alias("sessions"),
                      F.round(F.sum("duration_seconds") / F.lit(3600.0), 1).alias("hours"),
                      F.round(F.sum("estimated_total_cost_usd"), 2).alias("cost"),
@@ -179,6 +183,52 @@ def _pipeline_views(spark: SparkSession, sf_dir: str):
     return pipeline.TableRoot(spark, _PIPELINE_ROOTS[key]).views()
 
 
+_DISK_RUNS: dict[tuple, tuple[str, dict]] = {}
+
+
+def _disk_run(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    """The corpus written as transcript trees and sidecars in the
+    shared scratch folder, then found and read as files by a full run. Once
+    per application; returns the table root and the run's summary."""
+    apply_engine_conf(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DISK_RUNS:
+        trees, root = scratch_path(spark, "trees"), scratch_path(spark, "disk-tables")
+        write_corpus_files(spark, sf_dir, trees)
+        res = pipeline.run(spark, pipeline.DiskSource(f"{trees}/claude", f"{trees}/cowork"), root, mode="full", prices=CORPUS_PRICES)
+        _DISK_RUNS[key] = root, res.summary
+    return _DISK_RUNS[key]
+
+
+#: What only files have: their place, size and time. The last two parts of a path are compared.
+_FILE_ONLY = ("file_path", "file_size_bytes", "jsonl_modified_at", "extracted_at")
+
+
+def _disk(table: str, drop=()) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: pipeline.TableRoot(spark, _disk_run(spark, sf_dir)[0]).views()[table].drop(*drop)
+
+
+def _tail(path: str):
+    return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1).alias("path_tail")
+
+
+def _disk_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _disk("sessions")(spark, sf_dir)
+    return s.withColumn("path_tail", _tail("file_path")).drop(*_FILE_ONLY)
+
+
+def _disk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _disk("etl_state")(spark, sf_dir).select("session_id", _tail("file_path"))
+
+
+def _disk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14, D-3: what the job itself reports of the run over files."""
+    s = _disk_run(spark, sf_dir)[1]
+    keys = ("sessions", "messages", "tool_calls", "skipped_lines", "tool_uses_dropped")
+    row = (*[int(s[k]) for k in keys], round(s["cost_usd"], 2))
+    return spark.createDataFrame([row], ", ".join(f"{k} long" for k in keys) + ", cost_usd double")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: R13 cost by project over the sf0.001 corpus."""
     return R.r13_cost_by_project(_tables(spark, SMOKE_DIR))
@@ -228,6 +278,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "i1_pipeline_messages": lambda s, d: _pipeline_views(s, d)["messages"],
         "i1_pipeline_tool_calls": lambda s, d: _pipeline_views(s, d)["tool_calls"],
         "i1_pipeline_files_referenced": lambda s, d: _pipeline_views(s, d)["files_referenced"],
+        "s1_disk_sessions": _disk_sessions,
+        "s1_disk_messages": _disk("messages"),
+        "s1_disk_tool_calls": _disk("tool_calls"),
+        "s1_disk_command_invocations": _disk("command_invocations"),
+        "s1_disk_files_referenced": _disk("files_referenced"),
+        "s1_disk_model_usage": _disk("model_usage"),
+        "s3_disk_cowork_sessions": _disk("cowork_sessions"),
+        "i3_disk_etl_state": _disk_state,
+        "a14_disk_run_summary": _disk_summary,
         "q_sql_project_tools": _sql_join,
         "q_sql_sessions_without_commands": _sql_anti,
         # --- reports ------------------------------------------------------
@@ -319,14 +378,33 @@ def oracle_sql() -> dict[str, str]:
         "i1_pipeline_messages": o("SELECT * FROM o_messages"),
         "i1_pipeline_tool_calls": o("SELECT * FROM o_tool_calls"),
         "i1_pipeline_files_referenced": o("SELECT * FROM o_files"),
+        "s1_disk_sessions": o("""
+            SELECT * EXCLUDE (file_path, file_size_bytes, jsonl_modified_at)
+                     REPLACE (CASE WHEN source = 'cowork' THEN 'cowork://Task ' || split_part(replace(session_id, 'agent-', ''), '-', 2)
+                                   ELSE project_path END AS project_path),
+                   project_dir_name || '/' || session_id || '.jsonl' AS path_tail
+            FROM o_sessions"""),
+        "s1_disk_messages": o("SELECT * FROM o_messages"),
+        "s1_disk_tool_calls": o("SELECT * FROM o_tool_calls"),
+        "s1_disk_command_invocations": o("SELECT * FROM o_commands"),
+        "s1_disk_files_referenced": o("SELECT * FROM o_files"),
+        "s1_disk_model_usage": o("SELECT * FROM o_model_usage"),
+        "s3_disk_cowork_sessions": o("SELECT * FROM o_cowork"),
+        "i3_disk_etl_state": o("SELECT session_id, project_dir_name || '/' || session_id || '.jsonl' AS path_tail FROM o_sessions"),
+        "a14_disk_run_summary": o("""
+            SELECT (SELECT COUNT(*) FROM o_sessions) AS sessions, (SELECT COUNT(*) FROM o_messages) AS messages,
+                   (SELECT COUNT(*) FROM o_tool_calls) AS tool_calls, 0 AS skipped_lines, 0 AS tool_uses_dropped,
+                   (SELECT ROUND(SUM(estimated_total_cost_usd), 2) FROM o_sessions) AS cost_usd"""),
         "s12_team_daily": o("""
             , per_user AS (
-              SELECT split_part(session_id, '-', 1) AS "user", CAST(started_at AS DATE) AS day,
+              SELECT CASE WHEN starts_with(session_id, 'conv-')
+                          THEN 'u' || CAST(CAST(split_part(session_id, '-', 2) AS BIGINT) % 40 AS VARCHAR)
+                          ELSE split_part(session_id, '-', 1) END AS "user", CAST(started_at AS DATE) AS day,
                      COUNT(*) AS sessions,
                      ROUND(CAST(SUM(duration_seconds) AS DOUBLE) / 3600.0, 1) AS hours,
                      ROUND(SUM(estimated_total_cost_usd), 2) AS cost,
                      CAST(SUM(user_message_count) AS BIGINT) AS messages
-              FROM o_sessions WHERE starts_with(session_id, 'u') AND NOT is_agent GROUP BY 1, 2)
+              FROM o_sessions WHERE NOT is_agent GROUP BY 1, 2)
             SELECT COALESCE(CASE WHEN CAST(substr("user", 2) AS INTEGER) < 10 THEN 'eng'
                                  WHEN CAST(substr("user", 2) AS INTEGER) < 20 THEN 'ops' END,
                             'unassigned') AS team,

@@ -75,7 +75,12 @@ class DiskSource:
             out = out.unionByName(p)
         return out
 
-    def lines(self, spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    def lines(self, spark: SparkSession, chosen: DataFrame, whole: bool = False) -> DataFrame:
+        """The lines of the chosen files; ``whole``: these are all that there are."""
+        if whole and self.claude_dir and not self.cowork_only:
+            code = T.read_all_code_lines(spark, chosen.filter(F.col("source") == T.CODE), self.claude_dir)
+            rest = chosen.filter(F.col("source") != T.CODE)
+            return code.unionByName(self.lines(spark, rest)) if self.cowork_dir and not self.code_only else code
         rows = chosen.select("file_path").collect()   # file list only, as the reader needs
         return T.read_lines(spark, chosen, [r[0] for r in rows])
 
@@ -99,7 +104,7 @@ class LinesSource:
                 .withColumn("cowork_dir_id", F.lit(None).cast("string"))
                 .withColumn("sidecar_path", F.lit(None).cast("string")))
 
-    def lines(self, spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    def lines(self, spark: SparkSession, chosen: DataFrame, whole: bool = False) -> DataFrame:
         return self.lines_df.join(chosen.select("file_path"), "file_path", "left_semi")
 
     def sidecars(self, spark: SparkSession) -> DataFrame | None:
@@ -306,7 +311,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
     winners = chosen.filter(~F.col("is_loser"))
 
     # Parse once into bronze; everything else reads the bronze copy.
-    lines = source.lines(spark, winners)
+    lines = source.lines(spark, winners, whole=prior is None)
     bronze_path = store.path(gen, "bronze", batch)
     parse_lines(lines).write.mode("overwrite").parquet(bronze_path)
     entries = spark.read.parquet(bronze_path)

@@ -31,6 +31,10 @@ assistant line per event in session ``u<user_id>-<day>``, ordered by
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,3 +287,48 @@ def corpus_files(spark: SparkSession, sf_dir: str, which: str = "all") -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_corpus_files(spark: SparkSession, sf_dir: str, root: str) -> int:
+    """The corpus as transcript trees under ``root``; returns the number of files.
+
+    ``claude/projects/<project dir>/<session>.jsonl``, and for each cowork
+    conversation ``cowork/local_<conv_id>.json`` (its sidecar) beside
+    ``cowork/local_<conv_id>/.claude/projects/<project dir>/<session>.jsonl``.
+    A file is one stream, so one task writes it, a line at a time; a task that
+    runs again puts the same files in place.
+    """
+    lines = corpus_lines(spark, sf_dir)
+    name = F.concat("project_dir_name", F.lit("/"), "session_id", F.lit(".jsonl"))
+    local = F.concat(F.lit("local_"), F.regexp_extract("session_id", r"(\d+)$", 1))
+    path = (F.when(F.col("source") == "cowork", F.concat(F.lit("cowork/"), local, F.lit("/.claude/projects/"), name))
+            .otherwise(F.concat(F.lit("claude/projects/"), name)))
+    sidecars = conversation_sidecars(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+        F.concat(F.lit("cowork/"), "cowork_dir_id", F.lit(".json")).alias("path"), F.lit(0).cast("long").alias("line_num"),
+        F.col("sidecar_text").alias("value"))
+    rows = (lines.select(path.alias("path"), "line_num", "value").unionByName(sidecars)
+            .repartition("path").sortWithinPartitions("path", "line_num").select("path", "value"))
+    base = root if "://" in root else "file://" + root.removeprefix("file:")
+
+    def write(batches):
+        fs, top = pafs.FileSystem.from_uri(base)
+        own, at, out = None, None, None
+        for batch in batches:
+            written = []
+            for p, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != at:
+                    if out is not None:
+                        out.close()
+                        fs.move(own, f"{top}/{at}")
+                        written.append(at)
+                    at, own = p, f"{top}/{p}.{uuid.uuid4().hex}"
+                    fs.create_dir(own.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(own)
+                out.write(line.encode() + b"\n")
+            yield pa.RecordBatch.from_pydict({"path": pa.array(written, pa.string())})
+        if out is not None:
+            out.close()
+            fs.move(own, f"{top}/{at}")
+            yield pa.RecordBatch.from_pydict({"path": [at]})
+
+    return rows.mapInArrow(write, "path string").agg(F.count("path")).first()[0]

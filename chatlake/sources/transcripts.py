@@ -124,6 +124,22 @@ def read_sidecars(spark: SparkSession, cowork_dir: str) -> DataFrame:
                      F.col("value").alias("sidecar_text"))
 
 
+def read_all_code_lines(spark: SparkSession, files: DataFrame, claude_dir: str,
+                        max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+    """S8 for a full run over code transcripts: the folders are read by their
+    pattern and joined to ``files``, so no list of paths passes the driver."""
+    n = files.count()
+    if not n:
+        return spark.createDataFrame([], schemas.LINES)
+    try:
+        text = spark.read.option("ignoreMissingFiles", "true").text(f"{claude_dir.rstrip('/')}/projects/*/*.jsonl")
+    except Exception as exc:  # all files went after they were listed
+        if "PATH_NOT_FOUND" in str(exc):
+            return spark.createDataFrame([], schemas.LINES)
+        raise
+    return _numbered(spark, text, files, n, max_broadcast_splits)
+
+
 def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
                max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """The lines of ``paths`` with 0-based line numbers, joined to ``files``.
@@ -137,7 +153,13 @@ def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
     paths = _there(spark, paths)
     if not paths:
         return spark.createDataFrame([], schemas.LINES)
-    raw = spark.read.option("ignoreMissingFiles", "true").text([_glob_escape(p) for p in paths]).select(
+    text = spark.read.option("ignoreMissingFiles", "true").text([_glob_escape(p) for p in paths])
+    return _numbered(spark, text, files, len(paths), max_broadcast_splits)
+
+
+def _numbered(spark: SparkSession, text: DataFrame, files: DataFrame, n_files: int, max_broadcast_splits: int) -> DataFrame:
+    """The scanned lines of ``files`` (``n_files`` of them) with their line numbers."""
+    raw = text.select(
         "value", decode_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"))
@@ -146,13 +168,13 @@ def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
     offsets = splits.select("file_path", "blk", "first",
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     max_bytes = _bytes_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    est_splits = len(paths) + _total_bytes(files) // max(max_bytes, 1)
+    est_splits = n_files + _total_bytes(files) // max(max_bytes, 1)
     if est_splits <= max_broadcast_splits:
         offsets = F.broadcast(offsets)
     lines = raw.join(offsets, ["file_path", "blk"]).select(
         "file_path", (F.col("off") + F.col("mid") - F.col("first")).alias("line_num"), "value")
     meta = files.select(*schemas.FILE_COLS)
-    return lines.join(F.broadcast(meta) if len(paths) <= max_broadcast_splits else meta, "file_path") \
+    return lines.join(F.broadcast(meta) if n_files <= max_broadcast_splits else meta, "file_path") \
         .select(*[F.col(f.name).cast(f.dataType) for f in schemas.LINES.fields])
 
 

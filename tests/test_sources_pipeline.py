@@ -194,3 +194,23 @@ def test_file_names_with_glob_characters(spark, tmpdir_path):
     v = pipeline.TableRoot(spark, root).views()
     got = sorted((r["session_id"], r["message_id"]) for r in v["messages"].collect())
     assert got == [("x1a", "g2"), ("x[1]{a}", "g1")]
+
+
+def test_folder_read_equals_path_read(spark, layout):
+    """A full run reads code folders by their pattern: same lines and numbers
+    as by a list of paths, also across splits and beside a cowork tree."""
+    write_jsonl(f"{layout}/claude/projects/plain/long.jsonl", [_user(f"l{i}", "x" * (i % 50)) for i in range(400)])
+    write_jsonl(f"{layout}/cowork/org/local_abc/.claude/projects/-w/c4.jsonl", [_user(f"c{i}", "y" * 40) for i in range(200)])
+    src = pipeline.DiskSource(f"{layout}/claude", f"{layout}/cowork")
+    chosen = src.discover(spark)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = [sorted((r["session_id"], r["line_num"], r["value"]) for r in src.lines(spark, chosen, whole=w).collect()) for w in (True, False)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got[0] == got[1]
+    assert [n for s, n, _ in got[0] if s == "long"] == list(range(400)) and [n for s, n, _ in got[0] if s == "c4"] == list(range(200))
+    # what is in the folder but not chosen is left out
+    few = chosen.filter(F.col("session_id") != "long")
+    assert "long" not in {r["session_id"] for r in src.lines(spark, few, whole=True).select("session_id").distinct().collect()}
