@@ -3,8 +3,8 @@
 The test strings are windows of ``window`` consecutive words of each benchmark
 item (a shorter item is one window). Symbols are words: the shift table is
 keyed by blocks of two adjacent words, and tells how far the search may move
-on; a block with shift 0 ends some test strings, which its suffix bucket lists
-by their first word; direct comparison confirms an occurrence. Test strings
+on; a block with shift 0 ends some test strings, which its suffix bucket
+holds; comparison with all words of these confirms an occurrence. Test strings
 of different lengths have tables of their own, so that a short item does not
 shrink the shifts of the long ones.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,9 +24,10 @@ from pyspark.sql import functions as F
 from chatlake.llm.common import python_workers
 
 WINDOW = 10
-#: Bytes of benchmark text whose tables a worker holds at once. A larger
-#: benchmark is searched for in several blocks, one pass over the documents each.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text whose tables a worker holds at once: they take some
+#: sixty-five times as much memory. A larger benchmark is searched for in several
+#: blocks, one pass over the documents each.
+BLOCK_BYTES = 4 << 20
 
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -41,15 +41,28 @@ def words(text: str | None) -> list[bytes]:
 class WordSearch:
     """Tables of the test strings of one length."""
 
-    def __init__(self, length: int, strings: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, length: int):
         self.length, self.reach = length, max(1, length - 1)
         self.shift: dict[bytes, int] = {}
-        self.ending: dict[bytes, dict[bytes, list[tuple[tuple[bytes, ...], set[str]]]]] = {}
-        for string, items in strings.items():
-            for end in range(min(1, length - 1), length):
-                block = b" ".join(string[max(0, end - 1):end + 1])
-                self.shift[block] = min(self.shift.get(block, self.reach), length - 1 - end)
-            self.ending.setdefault(block, defaultdict(list))[string[0]].append((string, items))
+        #: By block, the test strings that end in it, and the items of each (a set if it has several).
+        self.ending: dict[bytes, dict[bytes, str | set[str]]] = {}
+
+    def add(self, text: list[bytes], item: str) -> None:
+        """Every window of ``text``."""
+        n = self.length
+        for end in range(min(1, n - 1), len(text)):
+            block = b" ".join(text[max(0, end - 1):end + 1])
+            # of the windows that hold this block, the one that ends first is that many words on
+            self.shift[block] = min(self.shift.get(block, self.reach), max(0, n - 1 - end))
+            if end < n - 1:
+                continue
+            bucket = self.ending.setdefault(block, {})
+            string = b" ".join(text[end - n + 1:end + 1])
+            items = bucket.setdefault(string, item)
+            if isinstance(items, set):
+                items.add(item)
+            elif items != item:
+                bucket[string] = {items, item}
 
     def mark(self, text: list[bytes], hits: bytearray, found: set[str]) -> None:
         n, shift, reach = self.length, self.shift.get, self.reach
@@ -61,21 +74,21 @@ class WordSearch:
                 i += step
                 continue
             start = i - n + 1
-            for string, items in self.ending[block].get(text[start], ()):
-                if tuple(text[start:i + 1]) == string:
-                    hits[start:i + 1] = b"\1" * n
-                    found |= items
+            items = self.ending[block].get(b" ".join(text[start:i + 1]))
+            if items is not None:
+                hits[start:i + 1] = b"\1" * n
+                found.update(items if isinstance(items, set) else (items,))
             i += 1
 
 
 def tables(items: list[tuple[str, str]], window: int) -> list[WordSearch]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, WordSearch] = {}
     for item, text in items:
         w = words(text)
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            by_length[n][tuple(w[i:i + n])].add(item)
-    return [WordSearch(n, strings) for n, strings in sorted(by_length.items())]
+        if w:
+            n = min(window, len(w))
+            by_length.setdefault(n, WordSearch(n)).add(w, item)
+    return [search for _, search in sorted(by_length.items())]
 
 
 _built: dict[str, list[WordSearch]] = {}
@@ -111,16 +124,28 @@ def _scan(block, window: int, text: Column, before: Column | None) -> Column:
     return later(text, before)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """The benchmark's items in lists of at most about ``limit`` bytes of text."""
+def _parts(text: str, limit: int, window: int):
+    """An item's text, a very long one in parts that share all but one word of
+    a window, so that every window stands in one of them."""
+    if len(text) <= limit:
+        yield text
+        return
+    w, step = words(text), max(1, limit // 8)
+    for i in range(0, max(1, len(w) - window + 1), step):
+        yield b" ".join(w[i:i + step + window - 1]).decode("utf-8", "surrogatepass")
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int, window: int):
+    """The benchmark's items in lists of at most about ``limit`` characters of text."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
+    for item, whole in rows.toLocalIterator():
+        for text in _parts(whole, limit, window):
+            if block and size + len(text) > limit:
+                yield block
+                block, size = [], 0
+            block.append((item, text))
+            size += len(text)
     yield block
 
 
@@ -138,7 +163,7 @@ def with_overlap(docs: DataFrame, benchmark: DataFrame, out_col: str, text_col:
     spark = docs.sparkSession
     python_workers(spark)
     out, state = docs, None
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes, window)):
         if k:  # the tables of one block only are in memory at a time
             out, state = saved(out, "overlap"), F.col(f"`{out_col}`")
         out = out.withColumn(out_col, _scan(spark.sparkContext.broadcast(block), window, F.col(f"`{text_col}`"), state))

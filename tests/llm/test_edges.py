@@ -109,6 +109,16 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.with_overlap(none, bench, "o").count() == 0
 
 
+def test_long_items_in_parts():
+    text = " ".join(f"w{i % 37} v{i % 11}" for i in range(400))
+    whole = decontaminate.tables([("a", text)], 10)
+    parts = list(decontaminate._parts(text, 64, 10))
+    cut = decontaminate.tables([("a", p) for p in parts], 10)
+    assert len(parts) > 10 and [(t.length, t.shift.keys(), t.ending) for t in cut] == [(t.length, t.shift.keys(), t.ending) for t in whole]
+    assert list(decontaminate._parts("long " * 3, 4, 10)) == ["long long long"]
+    assert list(decontaminate._parts("...", 1, 10)) == [""]
+
+
 def test_html(spark):
     pages = [(1, None), (2, ""), (3, "<body><article><p>A &amp; b<br>c</p><div class='comments'>no</div></article><footer>no</footer>"), (3, "<<p"), (4, "<p>" * 3000 + "x")]
     rows = html_text.with_text(spark.createDataFrame(pages, "page_id int, html string"), "text").collect()
