@@ -37,11 +37,11 @@ from chatlake.session import scratch_path
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END, START = np.uint64(1), np.uint64(2)  # hashes of the end token and of the start state
 #: Tokens whose bigrams a range of hashes holds on average.
-RANGE_TOKENS = 2_500_000
+RANGE_TOKENS = 1_250_000
 #: A history with more than one token in so many is spread over all ranges.
 HOT = 128
 #: Tokens that a task counts before it sends them on.
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 2_000_000
 #: Lengths of the counts-of-counts that the discounts come from.
 _LEVELS = 4
 
