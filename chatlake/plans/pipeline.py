@@ -40,6 +40,9 @@ from ..sources import transcripts as T
 from .incremental import changed_files
 
 SESSION_TABLES = schemas.SESSION_TABLES
+#: (Session, batch) pairs that later batches replaced up to which these are
+#: broadcast to the readers of the views; beyond it they are joined by shuffle.
+FEW_REPLACED = 1_000_000
 
 
 def new_batch_id(now: _dt.datetime | None = None) -> str:
@@ -202,8 +205,25 @@ class TableRoot:
             return memo["w"]
 
         def session_view(t):
-            return lambda: (self.read(gen, t).join(winners(), ["session_id", "batch_id"], "left_semi")
-                            .drop("batch_id"))
+            return lambda: current(self.read(gen, t))
+
+        def current(rows: DataFrame) -> DataFrame:
+            """Rows of the batches in the manifest, without the few (session,
+            batch) pairs that a later batch replaced: the rows themselves stay
+            where they are, and partitions of unfinished batches are pruned."""
+            if "old" not in memo:
+                st = self.read(gen, "etl_state").filter(~F.col("is_loser"))
+                # a name for each run of the job
+                memo["batches"] = [r[0] for r in st.select("batch_id").distinct().collect()]
+                pairs = (st.groupBy("session_id").agg(F.max("batch_id").alias("latest"), F.collect_set("batch_id").alias("seen"))
+                         .filter(F.size("seen") > 1)
+                         .select("session_id", F.explode(F.array_remove("seen", F.col("latest"))).alias("batch_id")))
+                n = pairs.count() if len(memo["batches"]) > 1 else 0
+                memo["old"] = None if n == 0 else F.broadcast(pairs) if n <= FEW_REPLACED else pairs
+            rows = rows.filter(F.col("batch_id").isin(memo["batches"]))
+            if memo["old"] is not None:
+                rows = rows.join(memo["old"], ["session_id", "batch_id"], "left_anti")
+            return rows.drop("batch_id")
 
         def cowork_view():
             rows = self.read(gen, "cowork_sessions")
@@ -425,6 +445,24 @@ def summary(spark: SparkSession, store: TableRoot, gen: str, batch: str) -> dict
             "tool_uses_dropped": int(tot["tool_uses"]) - int(tot["tool_calls"])}
 
 
+def remove_old_generations(spark: SparkSession, root: str) -> list[str]:
+    """Deletes the generations before the current one, and their pointers.
+
+    Never called by a run: readers of an older generation, and a way back to
+    it, end here. Generations after the current one (a full run that goes on)
+    and all else under ``root`` stay. Returns the names removed.
+    """
+    store = TableRoot(spark, root)
+    now = store.current_generation()
+    if now is None:
+        return []
+    old = sorted(n for n in store._names(root) if n.startswith("gen-") and n < now)
+    for folder in [f"{root}/_current/{n}" for n in old] + [f"{root}/{n}" for n in old]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return old
+
+
 def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) -> str:
     """Rewrite the current views as one batch of a new generation, then switch.
 

@@ -1,7 +1,8 @@
 """Team consolidation of per-user daily-summary CSV exports.
 
 Each user exports the R16 daily summary; the files are collected in one
-folder, one file per user (the file name is the user). A team map
+folder, one file per user (the file name is the user), or written there for
+all users at once, a folder for each. A team map
 ``(team, user)`` assigns users to teams; users missing from it count
 under ``unassigned``.
 """
@@ -12,11 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAILY_SCHEMA = "day date, sessions long, hours double, cost double, messages long"
+DAILY_COLUMNS = ("day", "sessions", "hours", "cost", "messages")
 MAX_TEAM_MAP_ROWS = 1_000_000
 
 
+def export_team(per_user: DataFrame, folder: str) -> None:
+    """Daily summaries of many users (column ``user``) as CSV, a folder for each user."""
+    per_user.select("user", *DAILY_COLUMNS).write.mode("overwrite").option("header", True).partitionBy("user").csv(folder)
+
+
 def read_team_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.csv`` under ``folder`` with a ``user`` column from the file name."""
+    """All exports under ``folder`` with a ``user`` column: from the folders
+    that :func:`export_team` writes, else from the names of ``*.csv`` files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder, "user=*")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+        return (spark.read.schema(f"user string, {DAILY_SCHEMA}").option("header", True).option("basePath", folder)
+                .csv(folder).select("user", *DAILY_COLUMNS))
     df = (spark.read.schema(DAILY_SCHEMA).option("header", True)
           .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(folder))
     user = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")

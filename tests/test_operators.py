@@ -58,6 +58,16 @@ def test_team_daily(spark, tmpdir_path):
     assert got == {("eng", "2026-01-02"): (2, 3, 0.75, 13), ("unassigned", "2026-01-01"): (1, 4, 1.0, 7)}
 
 
+def test_team_export_round_trip(spark, tmpdir_path):
+    from chatlake.sources.team import DAILY_SCHEMA, export_team, read_team_exports
+    rows = [("a b/c=d", "2026-01-02", 2, 1.1, 0.1 + 0.2, 10), ("u1", "2026-01-02", 1, None, 0.25, 3), ("u1", None, 4, 2.0, 1e-9, 7), (None, "2026-01-03", 1, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "user string, day string, sessions long, hours double, cost double, messages long").withColumn("day", F.col("day").cast("date"))
+    export_team(df.withColumn("extra", F.lit(1)), f"{tmpdir_path}/exports")
+    back = read_team_exports(spark, f"{tmpdir_path}/exports")
+    assert back.schema.simpleString() == f"struct<user:string,{DAILY_SCHEMA.replace(', ', ',').replace(' ', ':').replace('long', 'bigint')}>"
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
 def test_periodic_once(spark, tmpdir_path):
     import json
     from chatlake.plans import pipeline

@@ -184,6 +184,14 @@ def test_compaction_keeps_views(spark, layout):
     assert pipeline.TableRoot(spark, root).current_generation() == gen
     assert snap() == before
     assert pipeline.run(spark, src, root).files_extracted == 0   # manifest carried over
+    # nothing is replaced any more: the view is the scan of the batches in the manifest
+    plan = _views(spark, root)["messages"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "batch_id" in plan
+    assert len(pipeline.remove_old_generations(spark, root)) == 1
+    assert pipeline.TableRoot(spark, root).current_generation() == gen and snap() == before
+    assert pipeline.remove_old_generations(spark, root) == [] == pipeline.remove_old_generations(spark, f"{layout}/none")
+    pipeline.run(spark, src, root, mode="full")
+    assert pipeline.TableRoot(spark, root).current_generation() > gen
 
 
 def test_file_names_with_glob_characters(spark, tmpdir_path):
