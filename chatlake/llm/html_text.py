@@ -1,7 +1,11 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree of elements. What never is main text (scripts,
-forms, navigation, notices and the like) is left out. Each element has a
+A page is read into a whole tree of elements, without what is never read as
+text (scripts, buttons and the like). Then what its tag, role or names mark as
+no main text (navigation, forms, notices) is left out, unless it is a wrapper:
+one that holds the page's main element or one of its larger articles, or, if
+marked by a name or as a form, most of the body's text outside links. What is
+marked inside a wrapper is looked at by itself. Each element that is left has a
 density: its characters for each tag, adjusted by how much of it is link text
 compared with the whole body. The element whose children's densities sum
 highest is the target; the least density on its path to the body is the
@@ -30,14 +34,21 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-# Elements, roles, and words of class and id that mark what is not main text.
-ASIDE = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object svg canvas dialog menu search title".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Elements that are never text; elements, roles, and words of class and id that mark what is not main text.
+NO_TEXT = frozenset("head script style noscript template button select input textarea iframe object svg canvas title".split())
+ASIDE = frozenset("nav footer aside dialog menu search".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split())
-CORE = frozenset("html body main article".split())
+CORE = frozenset("main article".split())
+#: Names that say what an element has, or has not, rather than what it is: with-sidebar, no-sidebar, ad-free.
+_HAS = re.compile(r"(?<![a-z])(?:(?:no|non|not|without|with|has|have)[-_]+[a-z]+|[a-z]+[-_]+free)(?![a-z])")
+#: Share of the body's text outside links over which a form, or what a name marks, is a wrapper.
+MOST = 0.5
+#: Share of the longest article's text outside links from which an article makes what holds it a wrapper.
+ARTICLE = 0.1
 _ENDS_P = BLOCK - {"br", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "body", "html", "head", "title", "legend"}
 #: Elements that a start tag of the same group ends, if open within the container.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -50,21 +61,29 @@ _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in CORE:
-        return False
+#: How an element is marked: not at all, by its tag or role, by a name or as a form.
+PLAIN, BY_TAG, BY_NAME = range(3)
+
+
+def _marked(tag: str, attributes: str, inside_article: bool) -> tuple[int, str]:
+    """How the element is marked, and main or article if it is one that no name marks."""
+    if tag in ("html", "body"):
+        return PLAIN, ""
+    core, mark = tag if tag in CORE else "", BY_NAME if tag == "form" else PLAIN
     if tag in ASIDE or tag == "header" and not inside_article:
-        return True
-    if "=" not in attributes:
-        return False
-    for name, *values in _NAMED.findall(attributes):
-        value = html.unescape("".join(values)).lower()
-        if name.lower() == "role":
-            if value.strip() in ASIDE_ROLES:
-                return True
-        elif name.lower() in ("class", "id") and not ASIDE_WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        mark = BY_TAG
+    if "=" in attributes:
+        for name, *values in _NAMED.findall(attributes):
+            value = html.unescape("".join(values)).lower()
+            if name.lower() == "role":
+                value = value.strip()
+                core = value if value in CORE else core
+                mark = mark or (BY_TAG if value in ASIDE_ROLES else BY_NAME if value == "form" else PLAIN)
+            elif name.lower() in ("class", "id") and not ASIDE_WORDS.isdisjoint(_SPLIT.split(_HAS.sub(" ", value))):
+                mark = mark or BY_NAME
+    if tag in CORE:
+        return PLAIN, "" if mark else core
+    return mark, core
 
 
 class Page:
@@ -73,11 +92,13 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.last = ["#page"], [-1], [0]  # last: the last element of the subtree
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
+        self.marks, self.cores = [PLAIN], [""]
         self._read(source)
+        self._leave_out()
 
     def _read(self, source: str) -> None:
         open_, at, size = [0], 0, len(source)
-        out_of, search = 0, _MARKUP.search  # out_of: depth in open_ at which what is left out began
+        out_of, search = 0, _MARKUP.search  # out_of: depth in open_ at which what is never text began
         article = 0
 
         def close(depth: int) -> None:
@@ -132,16 +153,19 @@ class Page:
             if tag in VOID:
                 if not out_of:
                     self.tag.append(tag), self.parent.append(open_[-1]), self.last.append(len(self.tag) - 1)
+                    self.marks.append(PLAIN), self.cores.append("")
                     if tag in BLOCK:
                         self.events.append((open_[-1], None))
                 continue
-            if out_of or _left_out(tag, m[3], article > 0) or raw_end is not None:
+            if out_of or tag in NO_TEXT or raw_end is not None:
                 if not out_of and tag in BLOCK:
                     self.events.append((open_[-1], None))
                 open_.append(-1), names.append(tag)
                 out_of = out_of or len(open_) - 0
                 at = at if raw_end is None else raw_end
                 continue
+            mark, core = _marked(tag, m[3], article > 0)
+            self.marks.append(mark), self.cores.append(core)
             self.tag.append(tag), self.parent.append(open_[-1]), self.last.append(len(self.tag) - 1)
             open_.append(len(self.tag) - 1), names.append(tag)
             article += tag in ("article", "main")
@@ -150,13 +174,57 @@ class Page:
         close(1)
         self.last[0] = len(self.tag) - 1
 
+    def _linked(self) -> list[bool]:
+        linked = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            linked[e] = self.tag[e] == "a" or linked[self.parent[e]]
+        return linked
+
+    def _leave_out(self) -> None:
+        """Takes out what is marked, but for wrappers."""
+        if not any(self.marks):
+            return
+        n, linked = len(self.tag), self._linked()
+        free, chars = [0] * n, [0] * n  # characters outside links, and in all
+        for e, text in self.events:
+            if text is not None and (length := len(" ".join(text.split()))):
+                chars[e] += length
+                free[e] += 0 if linked[e] else length
+        for e in range(n - 1, 0, -1):
+            free[self.parent[e]] += free[e]
+            chars[self.parent[e]] += chars[e]
+        most = MOST * free[self.body()]
+        longest = {c: max((free[e] for e in range(n) if self.cores[e] == c), default=0) for c in CORE}
+        holds = [bool(c) and chars[e] > 0 and free[e] >= ARTICLE * longest[c] for e, c in enumerate(self.cores)]
+        for e in range(n - 1, 0, -1):
+            holds[self.parent[e]] |= holds[e]
+        # new: the element's number among those left; events of an element taken out: where its parent's text is broken
+        new, left, e = [-1] * n, [], 0
+        while e < n:
+            if self.marks[e] and not holds[e] and not (self.marks[e] == BY_NAME and free[e] > most):
+                e = self.last[e] + 1
+                continue
+            new[e] = len(left)
+            left.append(e)
+            e += 1
+        events = []
+        for e, text in self.events:
+            if new[e] >= 0:
+                events.append((new[e], text))
+            elif text is None and self.tag[e] in BLOCK and new[self.parent[e]] >= 0:
+                events.append((new[self.parent[e]], None))
+        count = [0] * (n + 1)  # elements left among the first
+        for e in range(n):
+            count[e + 1] = count[e] + (new[e] >= 0)
+        self.last = [count[self.last[e] + 1] - 1 for e in left]
+        self.parent = [new[self.parent[e]] if e else -1 for e in left]
+        self.tag, self.events = [self.tag[e] for e in left], events
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each element, and the sum of its children's."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        linked = [False] * n
-        for e in range(1, n):
-            linked[e] = self.tag[e] == "a" or linked[self.parent[e]]
+        linked = self._linked()
         for e, text in self.events:
             if text is not None and (length := len(" ".join(text.split()))):
                 chars[e] += length

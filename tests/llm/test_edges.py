@@ -188,3 +188,24 @@ def test_nothing_else_imports_this():
 
     top = pathlib.Path(sys.modules["chatlake"].__file__).parent
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "chatlake.llm" in p.read_text()]
+
+
+def test_html_wrappers_with_marked_names():
+    words = "The old bridge crosses the river near the mill, and boats pass under it in summer. "
+    story, rest = words * 8, '<div class="sidebar">Weather today</div><footer>All rights reserved</footer>'
+    cards = '<div class="related"><article class="card"><a href="/x">Another story</a> in short</article></div>'
+    comments = '<div id="comments"><article class="comment-body">I like it.</article></div>'
+    want = story.strip()
+    for wrapper in ('<div class="site no-sidebar">', '<div class="content with-sidebar">', '<div id="main-menu-page">', '<div class="ad-free-content">',
+                    '<div class="widget">', '<form action="/p.aspx">', '<section role="form">', '<header>'):
+        end = f"</{wrapper[1:].split()[0].rstrip('>')}>"
+        article = f"<article><p>{story}</p></article>{cards}{comments}{rest}"
+        assert html_text.main_text(f"<body>{wrapper}{article}{end}</body>") == want, wrapper
+        if wrapper != "<header>":  # what marks itself by its tag is kept only for an article or main element
+            assert html_text.main_text(f"<body>{wrapper}<div><p>{story}</p></div>{rest}{end}</body>") == want, wrapper
+    # two articles, each in a wrapper of its own
+    both = "".join(f'<div class="share">{x}</div>' for x in (f"<article><p>{story}</p></article>", f"<article><p>{words * 4}</p></article>"))
+    assert html_text.main_text(f"<body>{both}{rest}</body>") == f"{story}{words * 4}".strip()
+    # a part that holds little text still goes, and so do comments that are articles
+    assert html_text.main_text(f'<body><div><p>{story}</p><div class="social">Tell others</div></div>{comments}{rest}</body>') == want
+    assert html_text.main_text("<body><nav>Home</nav><form>Search <input></form><footer>no</footer></body>") == ""
