@@ -2,7 +2,9 @@
 
 Tokens are lower-cased runs of letters. Their log-odds of toxic against other
 documents have a Dirichlet prior centred on what is known of the token's
-prefixes, so that words unseen in training take after their stem. The running
+prefixes, so that words unseen in training take after their stem. Clean words
+count with their own negative log-odds; those near zero, of either sign, count
+as a little clean. The running
 sum of log-odds is cut, in one linear scan, into all maximal-scoring segments
 (disjoint, none can be extended with profit); of each segment the extreme-value
 law gives how likely a segment so high is by chance in a text of that length.
@@ -32,7 +34,7 @@ from chatlake.llm.common import bounded_sample, python_workers, saved
 
 #: Labelled documents that the models are fitted on, at most.
 TRAIN_DOCS = 20_000
-#: A token or prefix must stand in so many toxic training documents to be kept.
+#: A token or prefix must stand in so many training documents to be kept, and in so many toxic ones to speak for toxicity.
 LEAST_DOCS = 3
 #: Tokens and prefixes kept at most: those with the most evidence.
 MAX_TERMS = 200_000
@@ -41,8 +43,9 @@ PRIOR = 4.0
 PREFIXES = range(3, 8)
 #: Expected number of chance segments so high, below which a segment counts.
 SIGNIFICANT = 0.05
-#: Score of a token that no term speaks of.
+#: Score of a token that no term speaks of, and of one whose log-odds are between this and ``EVIDENT``.
 NEUTRAL = -0.25
+EVIDENT = 0.5
 #: A token's log-odds are held within this, so that one token is no proof by itself alone.
 CLIP = 6.0
 
@@ -80,6 +83,12 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic_docs: int, other_docs: in
     return out
 
 
+def evident(counts: dict[str, tuple[int, int]], toxic_docs: int, other_docs: int) -> dict[str, float]:
+    """Log-odds by term; those that speak for toxicity from too few toxic documents are 0."""
+    odds = log_odds(counts, toxic_docs, other_docs)
+    return {k: v if v <= EVIDENT or counts[k][0] >= LEAST_DOCS else 0.0 for k, v in odds.items()}
+
+
 class Scorer:
     """Scores of tokens, and segments of texts. Words are remembered up to a bound."""
 
@@ -91,7 +100,7 @@ class Scorer:
         got = self.odds.get(w + "$")
         if got is None:
             got = next((self.odds[w[:k]] for k in reversed(PREFIXES) if k < len(w) and w[:k] in self.odds), 0.0)
-        return got if got > 0.5 else NEUTRAL
+        return got if got > EVIDENT else min(got, NEUTRAL)
 
     def scores(self, words: list[str]) -> np.ndarray:
         seen = self._seen
@@ -151,20 +160,41 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
-def extreme_value(tables: list[np.ndarray]) -> tuple[float, float]:
-    """(decay, scale) of the law of the highest segment, from the token scores of
+#: Values of decay at which the sums of exp(decay * score) are taken.
+DECAYS = np.linspace(0.01, 2.0, 200)
+#: Texts, sum of their highest segments, of the logarithms of their lengths; tokens, sum of their scores, highest score, and the sums of DECAYS.
+_BEFORE = 6
+
+
+def moments(tables) -> np.ndarray:
+    """What the law needs of the token scores of texts; those of two parts add up, but for the highest score."""
+    out = np.zeros(_BEFORE + len(DECAYS))
+    out[5] = -np.inf
+    for s in tables:
+        if len(s):
+            out[:5] += 1, max((x for *_, x in maximal_segments(s)), default=0.0), math.log(len(s)), len(s), s.sum()
+            out[5] = max(out[5], s.max())
+            value, n = np.unique(s, return_counts=True)
+            out[_BEFORE:] += [np.dot(np.exp(d * value), n) for d in DECAYS]
+    return out
+
+
+def extreme_value(parts: list[np.ndarray]) -> tuple[float, float]:
+    """(decay, scale) of the law of the highest segment, from the moments of
     training documents without toxicity: decay solves mean(exp(decay*s)) = 1."""
-    s = np.concatenate(tables) if tables else np.zeros(0)
-    if not len(s) or not (s > 0).any() or s.mean() >= 0:
+    if not parts:
+        return 1.0, 1.0
+    texts, best, log_length, n, total, _, *sums = np.sum(parts, axis=0)
+    if not n or max(p[5] for p in parts) <= 0 or total >= 0:
         return 1.0, 1.0
-    low, high = 1e-4, 8.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(mid * s).mean() < 1 else (low, mid)
-    decay = min(low, 2.0)
+    mean = np.array(sums) / n
+    under = np.flatnonzero(mean < 1)
+    k = int(under[-1]) if len(under) else 0
+    decay = float(DECAYS[k])
+    if len(under) and k + 1 < len(DECAYS):
+        decay += float((1 - mean[k]) / (mean[k + 1] - mean[k]) * (DECAYS[k + 1] - DECAYS[k]))
     # scale from the mean of decay*highest - log(length), whose law is Gumbel's with mean log(scale) + 0.5772
-    best = [decay * max((x for *_, x in maximal_segments(t)), default=0.0) - math.log(len(t)) for t in tables if len(t)]
-    return decay, max(1e-4, math.exp(float(np.mean(best)) - 0.5772))
+    return decay, max(1e-4, math.exp((decay * best - log_length) / texts - 0.5772))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -204,39 +234,27 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     count = train.where(part > 0)
     n = dict(count.groupBy("y").count().collect())
     counted = count.select("y", "text").mapInArrow(found, "term string, other long, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    rows = counted.where(F.col("t") >= LEAST_DOCS).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
-    odds = {k: v for k, v in log_odds({r["term"]: (r["t"], r["o"]) for r in rows}, n.get(1, 0), n.get(0, 0)).items() if v > 0.5 or k.endswith("$")}
+    rows = counted.where(F.col("t") + F.col("o") >= LEAST_DOCS).orderBy(F.desc("t"), F.desc("o"), "term").limit(MAX_TERMS).collect()
+    odds = evident({r["term"]: (r["t"], r["o"]) for r in rows}, n.get(1, 0), n.get(0, 0))
     plain = Scorer(odds)
 
-    def scored(batches):
-        for batch in batches:
-            scores = [plain.scores(tokens(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "s": scores}, schema=pa.schema([("y", pa.int32()), ("s", pa.list_(pa.float64()))]))
-
-    held = train.where(part == 0).orderBy(F.xxhash64("text"), "y").limit(CALIBRATION_DOCS).select("y", "text").mapInArrow(scored, "y int, s array<double>")
-    scorer, evidence, y = _calibrated(held.collect(), odds)
-    return scorer, logistic(evidence, y) if len(set(y)) == 2 else np.array([0.0, 0.0, 0.0, -2.0])
-
-
-#: Training documents whose token scores come to the driver.
-CALIBRATION_DOCS = 2_000
+    # texts of any length are reduced in tasks: to a row of moments for each task, then to a row of evidence for each text
+    def summed(batches):
+        texts = (plain.scores(tokens(t)) for batch in batches for t in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([moments(texts)], pa.list_(pa.float64()))], names=["m"])
 
+    held = train.where(part == 0)
+    parts = sorted(r["m"] for r in held.where("y = 0").select("text").mapInArrow(summed, "m array<double>").collect())
+    scorer = Scorer(odds, *extreme_value([np.array(m) for m in parts]))
 
-def _calibrated(rows, odds) -> tuple[Scorer, np.ndarray, np.ndarray]:
-    tables = [(r["y"], np.asarray(r["s"], dtype=np.float64)) for r in rows]
-    scorer = Scorer(odds, *extreme_value([s for y, s in tables if y == 0]))
-    holder = _Scored(scorer)
-    return scorer, np.array([holder.evidence(s) for _, s in tables]).reshape(-1, 3), np.array([float(y) for y, _ in tables])
-
-
-class _Scored(Scorer):
-    """A scorer of texts whose token scores are known."""
-
-    def __init__(self, scorer: Scorer):
-        super().__init__({}, scorer.decay, scorer.scale)
+    def judged(batches):
+        for batch in batches:
+            found = [scorer.evidence(tokens(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["y", "e"])
 
-    def segments(self, words):
-        return maximal_segments(words)
+    rows = sorted((r["y"], r["e"]) for r in held.select("y", "text").mapInArrow(judged, "y int, e array<double>").collect())
+    y = np.array([float(r[0]) for r in rows])
+    return scorer, logistic(np.array([r[1] for r in rows]), y) if len(set(y)) == 2 else np.array([0.0, 0.0, 0.0, -2.0])
 
 
 _scorers: dict[str, Scorer] = {}

@@ -209,3 +209,21 @@ def test_html_wrappers_with_marked_names():
     # a part that holds little text still goes, and so do comments that are articles
     assert html_text.main_text(f'<body><div><p>{story}</p><div class="social">Tell others</div></div>{comments}{rest}</body>') == want
     assert html_text.main_text("<body><nav>Home</nav><form>Search <input></form><footer>no</footer></body>") == ""
+
+
+def test_toxicity_learns_clean_words():
+    counts = {"kind$": (0, 400), "the$": (50, 450), "vile$": (40, 2), "rare$": (2, 1)}
+    odds = toxicity.evident(counts, 50, 450)
+    scorer = toxicity.Scorer(odds)
+    # a clean word has its own estimate, a common one and an unknown one the constant; two toxic documents are too few to speak for toxicity
+    assert scorer.token("kind") == odds["kind$"] < -3 and scorer.token("vile") == odds["vile$"] > 3
+    assert scorer.token("the") == scorer.token("unknown") == scorer.token("rare") == toxicity.NEUTRAL
+
+
+def test_extreme_value_from_parts():
+    rng = np.random.default_rng(4)
+    texts = [rng.choice([-1.5, -0.25, 1.0, 2.0], n, p=[0.3, 0.5, 0.15, 0.05]) for n in (5, 300, 1, 40, 0, 900)]
+    whole = toxicity.extreme_value([toxicity.moments(texts)])
+    assert np.allclose(whole, toxicity.extreme_value([toxicity.moments(texts[:2]), toxicity.moments([]), toxicity.moments(texts[2:])]))
+    assert abs(np.exp(whole[0] * np.concatenate(texts)).mean() - 1) < 1e-3
+    assert toxicity.extreme_value([]) == toxicity.extreme_value([toxicity.moments([])]) == (1.0, 1.0)
