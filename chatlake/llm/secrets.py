@@ -5,7 +5,7 @@ characters, of random strings and of ordinary identifiers, are trained on
 labelled samples: what the patterns found in a bounded sample of documents is
 labelled random, other runs of characters there are labelled ordinary. A run
 of ``CANDIDATE`` characters whose log-likelihood ratio is high adds a span of
-kind "markov", unless it overlaps a base span. Everything is DataFrame
+kind "markov", unless base spans cover all of it. Everything is DataFrame
 expressions; the chains come to the driver as counts of pairs of ASCII
 characters, at most 128 x 128.
 
@@ -128,7 +128,9 @@ def with_spans(docs: DataFrame, out_col: str, model: list[float], text_col: str
         lambda a: a["spans"])
     df = docs.withColumn(t, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn(base, base_spans(text))
     df = df.withColumn(runs, F.when(some, placed).otherwise(none))
-    added = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    # base spans are in order of their starts: how far they cover a run from its start on, without a gap
+    reach = lambda r: F.aggregate(base, r["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    added = F.filter(runs, lambda r: reach(r) < r["end"])
     return df.withColumn(out_col, F.array_sort(F.concat(F.col(base), added))).drop(t, base, runs)
 
 
