@@ -201,10 +201,12 @@ def _merged(rows: DataFrame, root: str, name: str, types: dict[str, str], fn, sc
 class Model:
     """What workers need to look up: where the parts are, and a few numbers."""
 
-    def __init__(self, root: str, word_ranges: int, ranges: int, tokens: int, words: int, bigrams: int, discounts: list[float], hot: list[int], texts: int):
+    def __init__(self, root: str, word_ranges: int, ranges: int, tokens: int, words: int, bigrams: int, discounts: list[float], hot: list[int], texts: int,
+                 parts: list[str]):
         self.root, self.word_ranges, self.ranges = root, word_ranges, ranges
         self.tokens, self.words, self.bigrams, self.discounts, self.texts = tokens, words, bigrams, discounts, texts
         self.hot = np.sort(np.array(hot, dtype=np.uint64))
+        self.parts = frozenset(parts)  # those that were stored: any of them that cannot be read is an error
         self._open: dict[str, list[np.ndarray]] = {}
 
     def _part(self, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -217,10 +219,9 @@ class Model:
         out = [np.zeros(len(key), dtype=k) for k in kinds[1:]]
         order = np.argsort(part, kind="stable")
         for k, s in _ranges_of_rows(part[order], self.word_ranges if kind == "words" else self.ranges):
-            try:
-                hashes, *values = self._part(f"{kind}-{k}", kinds)
-            except FileNotFoundError:  # no training text has a key of this range
+            if f"{kind}-{k}" not in self.parts:  # no training text has a key of this range
                 continue
+            hashes, *values = self._part(f"{kind}-{k}", kinds)
             if not len(hashes):
                 continue
             rows = order[s]
@@ -339,10 +340,12 @@ def train(texts: DataFrame, text_col: str = "text", range_tokens: int = RANGE_TO
             [zero(hh), before], [followed[0], zero(ww)], [followed[1], zero(ww)], [followed[2], zero(ww)])))
         levels = [int((n == c).sum()) for c in range(1, _LEVELS + 1)]
         out = [(p, *_pack(k[s], *(v[s].astype(np.uint32) for v in values)), 0, 0, 0, 0, 0) for p, s in _ranges_of_rows(_range_of(k, word_ranges), word_ranges)]
-        return [*out, (-1, b"", b"", b"", b"", b"", len(n), *levels)]
+        return [*out, (-1 - part, b"", b"", b"", b"", b"", len(n), *levels)]
 
     stats = saved(_merged(_counted(texts, ranges, hot), root, "pairs", {"h": "u8", "w": "u8", "n": "u4"}, pairs_merged,
                           "part int, k binary, follows binary, n1 binary, n2 binary, n3 binary, pairs long, l1 long, l2 long, l3 long, l4 long"), "kn-pairs")
+    # a row with a negative part is that of a stored range of bigrams
+    parts = [f"pairs-{-1 - r['part']}" for r in stats.where("part < 0").select("part").collect()]
     level = [int(x or 0) for x in stats.where("part < 0").agg(*[F.sum(c) for c in ("pairs", "l1", "l2", "l3", "l4")]).first()]
 
     both = (stats.where("part >= 0").select("part", "k", "follows", "n1", "n2", "n3", F.lit(b"").alias("w"), F.lit(b"").alias("n"))
@@ -356,12 +359,13 @@ def train(texts: DataFrame, text_col: str = "text", range_tokens: int = RANGE_TO
         _store(root, f"words-{part}", [key, *values, zero(key)])
         f = values[1]
         at = np.flatnonzero(key == START)
-        return [(int(f.sum()), *(int((f == c).sum()) for c in range(1, _LEVELS + 1)), int((f > 2).sum()))]
+        return [(part, int(f.sum()), *(int((f == c).sum()) for c in range(1, _LEVELS + 1)), int((f > 2).sum()))]
 
     last = saved(_merged(both, root, "words", {"k": "u8", "follows": "u4", "n1": "u4", "n2": "u4", "n3": "u4", "w": "u8", "n": "i8"}, stored,
-                         "total long, f1 long, f2 long, f3 long, f4 long, more long"), "kn-last")
+                         "part int, total long, f1 long, f2 long, f3 long, f4 long, more long"), "kn-last")
     total, f1, f2, f3, f4, more = (int(x or 0) for x in last.agg(*[F.sum(c) for c in ("total", "f1", "f2", "f3", "f4", "more")]).first())
-    model = Model(root, word_ranges, ranges, tokens, words, level[0], [*discounts(level[1:]), *discounts([f1, f2, f3, f4]), total, f1, f2, more], hot, n_texts)
+    parts += [f"words-{r['part']}" for r in last.select("part").collect()]
+    model = Model(root, word_ranges, ranges, tokens, words, level[0], [*discounts(level[1:]), *discounts([f1, f2, f3, f4]), total, f1, f2, more], hot, n_texts, parts)
     return model
 
 

@@ -239,3 +239,13 @@ def test_secrets_partly_in_base_spans(spark):
         at = 4 + keys[i].index(found)
         assert got[i] == (f"markov:4:{4 + len(keys[i])},{kind}:{at}:{at + len(found)}", "see [SECRET] there")
         assert got[i + 2] == (f"{kind}:4:{4 + len(found)}", "see [SECRET] there")  # covered whole: only the base span
+
+
+@pytest.mark.parametrize("kind", ["pairs", "words"])
+def test_language_model_lost_part_is_an_error(docs, kind):
+    model = language_model.train(docs)
+    assert model.parts == {"pairs-0", "words-0"}
+    fs, path = language_model._files(model.root)
+    fs.delete_file(f"{path}/{kind}-0")
+    with pytest.raises(FileNotFoundError):
+        model.scores([language_model.word_hashes("the cat sat")])
