@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate, html_text, language_model, outliers, packing, quality, secrets, shards, simhash, toxicity
+from chatlake.llm import decontaminate, html_text, language_model, merkle, outliers, packing, quality, secrets, shards, simhash, toxicity
 from chatlake.llm.common import held_out, table
 
 SHARDS = 16
@@ -75,9 +75,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"overlap.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", merkle.leaf(*fields, "text").alias("leaf"),
+                       F.when(tampered, merkle.leaf(*fields, F.translate("text", upper, upper.lower()))).alias("changed"))
+    out = merkle.manifest(rows, "lang", ["doc_id"], "leaf", ["doc_id", "changed"])
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), "path"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.path_digest("path").alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_simhash_dedup, op3_toxic_segments, op4_external_shuffle, op5_vector_packing, op6_text_density, op7_kneser_ney,
-    op8_secret_scan, op9_robust_outliers, op10_decontaminate)}
+    op8_secret_scan, op9_robust_outliers, op10_decontaminate, op13_merkle_manifest)}
 
 #: Words of the texts, strings of window length at every place, and those that the benchmark has.
 _OP10_SQL = r"""WITH d AS (
