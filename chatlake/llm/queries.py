@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate, html_text, language_model, merkle, outliers, packing, quality, secrets, shards, simhash, spelling, toxicity
+from chatlake.llm import decontaminate, html_text, language_model, merkle, outliers, packing, quality, repeats, secrets, shards, simhash, spelling, toxicity
 from chatlake.llm.common import held_out, table
 
 SHARDS = 16
@@ -75,6 +75,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"overlap.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -94,7 +99,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_simhash_dedup, op3_toxic_segments, op4_external_shuffle, op5_vector_packing, op6_text_density, op7_kneser_ney,
-    op8_secret_scan, op9_robust_outliers, op10_decontaminate, op12_spelling_variants, op13_merkle_manifest)}
+    op8_secret_scan, op9_robust_outliers, op10_decontaminate, op11_substring_dedup, op12_spelling_variants, op13_merkle_manifest)}
 
 #: Words of the texts, strings of window length at every place, and those that the benchmark has.
 _OP10_SQL = r"""WITH d AS (
