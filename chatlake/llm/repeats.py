@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ SHARD_WORDS, STREAM_WORDS = 40_000, 160_000
 #: Rows up to which a table of numbers is broadcast; larger ones are joined by shuffle.
 FEW = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 _SPAN = T.StructType().add("start", "integer").add("end", "integer")
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -53,27 +55,73 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def split(text: str | None) -> list[bytes]:
-    """Words: what stands between the white space of ASCII."""
-    return (text or "").encode().split()
-
-
-def hashed(words: list[bytes], known: dict) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes hashed at once, and the longest word that is hashed by its sum of powers.
+_STEP, _LONG = 1 << 22, 255
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class Words:
+    """The words of a column of texts: ``data`` has their bytes, ``starts`` and ``ends`` the places of each word
+    there, ``edges`` each text's first word, ``sizes`` their numbers. What stands between white space of ASCII is a word."""
+
+    def __init__(self, column: pa.Array):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+        edges = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+        body = column.buffers()[2]
+        self.data = np.frombuffer(body, dtype=np.uint8)[edges[0]:edges[-1]] if body else np.zeros(0, np.uint8)
+        edges = edges - edges[0]
+        letter = np.append(~_SPACE[self.data], False)
+        before = np.append(False, letter[:-1])
+        before[edges] = False  # texts stand one after the other: each begins a word
+        self.starts = np.flatnonzero(letter & ~before)
+        after = np.append(letter[1:], False)
+        after[edges[1:] - 1] = False
+        self.ends = np.flatnonzero(letter & ~after) + 1
+        self.edges = np.searchsorted(self.starts, edges)
+        self.sizes = np.diff(self.edges)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        for at in range(0, len(self.data), _STEP):
+            i, j = np.searchsorted(self.starts, [at, at + _STEP])
+            part = self.data[at:at + _STEP + _LONG]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(part)))])
+            lo = self.starts[i:j] - at
+            out[i:j] = (sums[np.minimum(self.ends[i:j] - at, len(part))] - sums[lo]) * _powers(_BACK, len(part))[lo]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        for k in np.flatnonzero(self.ends - self.starts > _LONG):
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k]:self.ends[k]].tobytes())
+        return out
+
+    def joined(self, stays: np.ndarray) -> pa.Array:
+        """The words that stay, joined by one space, of each text."""
+        starts, ends = self.starts[stays], self.ends[stays]
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[stays]
+        mark = np.zeros(len(self.data) + 1, dtype=np.int8)
+        mark[starts] += 1
+        mark[ends] -= 1
+        inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        spaces = ends[:-1][doc[1:] == doc[:-1]]  # what ends a word that another one of the text follows
+        inside[spaces] = True
+        data = self.data.copy()
+        data[spaces] = 32
+        length = np.bincount(doc, weights=ends - starts + 1, minlength=len(self.sizes)).astype(np.int64)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(length - 1, 0))])
+        return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(data[inside])).cast(pa.string())
+
+
+_made: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base**0 to base**(n - 1), modulo 2**64."""
+    if len(_made.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[:1] = 1
+        _made[base] = np.multiply.accumulate(out)
+    return _made[base][:n]
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -82,7 +130,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)))])
-    out = (sums[size:] - sums[:-size]) * _powers(pow(_BASE, -1, 1 << 64), n)
+    out = (sums[size:] - sums[:-size]) * _powers(_BACK, n)
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -119,14 +167,12 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind) -> pa.ListArray:
 def _scan(docs: DataFrame, least: int) -> DataFrame:
     """id, digest, n_words and the marks (hashes and places) of each document."""
     def run(batches):
-        known = _Hashes()
         for batch in batches:
-            texts = [split(t) for t in batch.column(2).to_pylist()]
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            doc, begin = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
-            words = hashed([w for t in texts for w in t], known)
+            found = Words(batch.column(2))
+            sizes, begin, words = found.sizes, found.edges[:-1], found.hashes()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             at, h = marks(words, doc[:len(words) - least + 1] == doc[least - 1:] if len(words) >= least else np.zeros(0, bool), least)
-            n = np.bincount(doc[at], minlength=len(texts))
+            n = np.bincount(doc[at], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(sizes), _lists(h.view(np.int64), n, pa.int64()),
                 _lists((at - begin[doc[at]]).astype(np.int32), n, pa.int32())], names=["id", "digest", "n_words", "marks", "at"])
@@ -141,25 +187,22 @@ def _homes(places: DataFrame) -> DataFrame:
     return saved(found.where(F.col("home") < F.col("last")).drop("last"), "homes")
 
 
-def _cuts(number: int, begin: int, words: np.ndarray, routes: list[dict], ahead: int, least: int):
+def _cuts(number: int, begin: int, words: np.ndarray, at: np.ndarray, route: np.ndarray, ahead: int, least: int):
     """(route, is reference, first word's place, words) of the stretches of ``words`` around each routed place.
     Those of one route that touch are one, but not beyond two blocks."""
-    end, open_ = begin + len(words), {}
-    for r in sorted(routes, key=lambda r: r["at"]):
-        at, route = r["at"], r["route"]
-        if not begin <= at < end:
-            continue
-        own = (number << PLACE | at) >> BLOCK == route
-        lo, hi = max(begin, at - ahead), min(end, at + least)
-        now = open_.get((route, own))
-        if now and lo <= now[1] and hi - now[0] <= 2 << BLOCK:
-            now[1] = hi
-        else:
-            if now:
-                yield route, own, now[0], words[now[0] - begin:now[1] - begin]
-            open_[route, own] = [lo, hi]
-    for (route, own), (lo, hi) in open_.items():
-        yield route, own, lo, words[lo - begin:hi - begin]
+    mine = (at >= begin) & (at < begin + len(words))
+    at, route = at[mine], route[mine]
+    if not len(at):
+        return
+    order = np.lexsort((at, route))
+    at, route = at[order], route[order]
+    new = (np.diff(route) != 0) | (np.diff(at) > ahead + least) | (np.diff(at >> BLOCK + 1) != 0)
+    heads = np.flatnonzero(np.append(True, new))
+    own = np.logical_or.reduceat((number << PLACE | at) >> BLOCK == route, heads)
+    lo = np.maximum(at[heads] - ahead, begin)
+    hi = np.minimum(at[np.append(heads[1:], len(at)) - 1] + least, begin + len(words))
+    for r, o, a, b in zip(route[heads].tolist(), own.tolist(), lo.tolist(), hi.tolist()):
+        yield r, o, a, words[a - begin:b - begin]
 
 
 def _covered(ends: np.ndarray, least: int) -> list[dict]:
@@ -182,16 +225,16 @@ def _streamed(least: int):
         if refs:
             alphabet, codes = np.unique(np.concatenate([raw[k] for k in refs]), return_inverse=True)
             sizes = np.array([len(raw[k]) for k in refs])
-            lists = [c.tolist() for c in np.split(codes, np.cumsum(sizes)[:-1])]
-            of = np.repeat(np.array([number[k] for k in refs]), sizes)
-            at = np.concatenate([begin[k] + np.arange(len(raw[k])) for k in refs])
-            automaton = SuffixAutomaton(lists)
+            # by place in the automaton's text, which has one more after each sequence
+            of = np.repeat(number[refs], sizes + 1)
+            at = np.concatenate([begin[k] + np.arange(len(raw[k]) + 1) for k in refs])
+            automaton = SuffixAutomaton(np.split(codes, np.cumsum(sizes)[:-1]))
             earliest = automaton.earliest(least)
             for k, words in enumerate(raw):
                 code = np.searchsorted(alphabet, words)
                 code[code == len(alphabet)] = 0
                 code = np.where(alphabet[code] == words, code, -1)
-                first = np.array(automaton.matches(code.tolist(), least, earliest), dtype=np.int64)[least - 1:]
+                first = automaton.matches(code, least, earliest)[least - 1:]
                 end = begin[k] + least - 1 + np.arange(len(first))
                 seen = np.maximum(first, 0)
                 hit = (first >= 0) & ((of[seen] < number[k]) | ((of[seen] == number[k]) & (at[seen] < end)))
@@ -233,16 +276,22 @@ _CUT = "route long, own boolean, number long, begin long, words binary"
 
 
 def _cut_batches(rows, ahead: int, least: int):
-    """Record batches of stretches from (number, begin, words, routes)."""
+    """Record batches of stretches from (number, begin, words, places and routes)."""
     part = []
-    for number, begin, words, routes in rows:
-        part += [(route, own, number, lo, w.tobytes()) for route, own, lo, w in _cuts(number, begin, words, routes, ahead, least)]
+    for number, begin, words, at, route in rows:
+        part += [(r, own, number, lo, w.tobytes()) for r, own, lo, w in _cuts(number, begin, words, at, route, ahead, least)]
         if len(part) > 2000:
             yield _batch(part)
             part = []
     yield _batch(part)
 
 
+def _each(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, as arrays of numbers."""
+    flat, edges = column.values.to_numpy().astype(np.int64), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 def _batch(part: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], t) for k, t in enumerate(kinds)],
@@ -254,15 +303,15 @@ def _from_texts(docs: DataFrame, numbers: DataFrame, least: int):
     ahead = least - GRAM
 
     def run(batches):
-        known = _Hashes()
         for b in batches:
-            numbers_, texts, routes = (c.to_pylist() for c in b.columns)
-            yield from _cut_batches(((n, 0, hashed(split(t), known), r) for n, t, r in zip(numbers_, texts, routes)), ahead, least)
+            found = Words(b.column(1))
+            texts = np.split(found.hashes(), found.edges[1:-1])
+            yield from _cut_batches(zip(b.column(0).to_pylist(), [0] * len(texts), texts, _each(b.column(2)), _each(b.column(3))), ahead, least)
 
     def source(routes: DataFrame) -> DataFrame:
         wanted = routes.join(_few(numbers), "number").select("number", "id", "digest", "routes")
         return docs.join(wanted, [docs["digest"] == wanted["digest"], docs["id"].eqNullSafe(wanted["id"])]).select(
-            "number", "text", "routes").mapInArrow(run, _CUT)
+            "number", "text", "routes.at", "routes.route").mapInArrow(run, _CUT)
 
     return source
 
@@ -271,10 +320,10 @@ def _from_stretches(stretches: DataFrame, least: int):
     """Stretches of the words that the first round left open."""
     def run(batches):
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns))
-            yield from _cut_batches(((n, at, np.frombuffer(w, dtype=np.uint64), r) for n, at, w, r in rows), 0, least)
+            words = [np.frombuffer(w, dtype=np.uint64) for w in b.column(2).to_pylist()]
+            yield from _cut_batches(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words, _each(b.column(3)), _each(b.column(4))), 0, least)
 
-    return lambda routes: stretches.join(routes, "number").select("number", "begin", "words", "routes").mapInArrow(run, _CUT)
+    return lambda routes: stretches.join(routes, "number").select("number", "begin", "words", "routes.at", "routes.route").mapInArrow(run, _CUT)
 
 
 def _window_marks(stretches: DataFrame, least: int) -> DataFrame:
@@ -351,14 +400,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            n, gone, kept = [], [], []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = split(text)
-                n.append(len(words)), gone.append(sum(c["end"] - c["start"] for c in cuts or ()))
-                for c in reversed(cuts or ()):
-                    del words[c["start"]:c["end"]]
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(kept, pa.string())],
+            found = Words(batch.column(1))
+            stays = np.ones(len(found.starts), dtype=bool)
+            for begin, cuts in zip(found.edges, batch.column(2).to_pylist()):
+                for c in cuts or ():
+                    stays[begin + c["start"]:begin + c["end"]] = False
+            gone = np.diff(np.concatenate([[0], np.cumsum(~stays)])[found.edges])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.sizes), pa.array(gone), batch.column(2), found.joined(stays)],
                                              names=[id_col, "n_words", "n_removed", "spans", "kept"])
 
     schema = docs.select(id_col).schema.add("n_words", "long").add("n_removed", "long").add("spans", T.ArrayType(_SPAN)).add("kept", "string")
