@@ -16,52 +16,173 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import saved, python_workers
+from chatlake.llm.hashing import range_hashes
 
 MAX_TOKENS = 2048
 #: Pieces that one task packs together.
 GROUP_PIECES = 8000
-#: Words, and the parts that words are made of, whose ids a worker remembers.
+#: Words that are given to the tokenizer whole, and parts of words, whose ids a worker remembers.
 MAX_WORDS, MAX_PARTS = 600_000, 1_500_000
 END = b"\0\0\0\0"
 
 # Fixed value: how the tokenizer of this vocabulary splits a lower-cased word.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_GAP, _LETTER, _NUMBER, _SIGN, _ODD = range(5)
+_PLAIN = 0x250
 
-_known: dict[str, tuple] = {}
 
+def _kind(c: str) -> int:
+    """How a printable Latin character splits a word. The others, and one whose lower case is two
+    characters, make a word odd: it is given to the tokenizer whole."""
+    if c in " \n":
+        return _GAP
+    if not c.isprintable() or len(c.lower()) != 1 or c.lower() >= chr(_PLAIN):
+        return _ODD
+    return {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _SIGN)
 
-def _encoder(path: str):
-    """(tokenizer, ids by word, ids by part, whether words may be split into
-    parts): one for each worker and path."""
-    if path not in _known:
+
+_KIND = np.array([*[_kind(chr(i)) for i in range(_PLAIN)], _ODD], dtype=np.uint8)
+_LOWER = np.array([ord(chr(i).lower()) if _KIND[i] != _ODD else i for i in range(_PLAIN)] + [0], dtype=np.uint32)
+_ONE, _TWO = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+
+
+class _Encoder:
+    """The ids of words' parts, each asked of the tokenizer once and kept by a hash."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             splits = [x.get("pattern", {}).get("Regex") for x in (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        _known[path] = (Tokenizer.from_file(path), {"": b""}, {}, _PARTS.pattern in splits)
-    return _known[path]
+        self.tokenizer, self.splits = Tokenizer.from_file(path), _PARTS in splits
+        # a digit is a part by itself, so its id parts the ids of other parts in one long text
+        self.between = self._ids(["0"])[0]
+        self.splits &= len(self.between) == 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.whole = 0
+        self.sizes, self.begins, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for i in range(0, len(texts), 4096)
+                for e in self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
 
+    def learn(self, hashes: list[int], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        sizes = np.concatenate(sizes).astype(np.int64)
+        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
+        self.begins = np.append(self.begins, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.concatenate([self.pool, *ids])
 
-def _raw(tokenizer, words: list[str]):
-    for i in range(0, len(words), 4096):
-        for e in tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+    def learn_plain(self, hashes: list[int], parts: list[str]) -> None:
+        """Parts without a digit: many in one text, told apart by the id of a digit between."""
+        for i in range(0, len(parts), 4096):
+            ids, = self._ids([" 0 ".join(parts[i:i + 4096])])
+            between = ids == self.between[0]
+            edges = np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])
+            self.learn(hashes[i:i + 4096], [ids[~between]], [np.diff(edges) - 1])
 
+    def learn_whole(self, hashes: list[int], words: list[str]) -> None:
+        """Words as they are, and digits."""
+        if words:
+            ids = self._ids(words)
+            self.learn(hashes, ids, [np.array([len(x) for x in ids])])
+            self.whole += len(words)
 
-def _plain(word: str) -> bool:
-    """Printable Latin without special tokens: lower-casing and splitting need
-    no look at what Unicode version the tokenizer has."""
-    return max(word) < "\u0250" and word.isprintable() and "<|" not in word
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by 0; where each text's begin and the last one's end)."""
+        text = "\n".join(t or "" for t in texts)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        low = np.minimum(codes, _PLAIN)
+        kind, lower = _KIND[low], _LOWER[low]
+        gap = kind == _GAP
+        odd = kind == _ODD
+        odd[:-1] |= (codes[:-1] == ord("<")) & (codes[1:] == ord("|"))
+        if not self.splits:
+            odd = ~gap
+        begin, end = _parts(kind, lower)
+        hashes = range_hashes(lower, begin, end)
+        n_parts = len(begin)
+        if odd.any():
+            word = np.cumsum(gap)
+            strange = np.zeros(int(word[-1]) + 1, dtype=bool)
+            strange[word[odd]] = True
+            inside = np.append(strange[word] & ~gap, False)
+            a, b = (np.flatnonzero(inside & ~np.append(False, inside[:-1])), np.flatnonzero(~inside & np.append(False, inside[:-1])))
+            stays = ~strange[word[begin]]
+            n_parts = int(stays.sum())
+            begin, end = np.concatenate([begin[stays], a]), np.concatenate([end[stays], b])
+            # not the hash of a part with the same characters
+            hashes = np.concatenate([hashes[stays], ~range_hashes(codes, a, b)])
+        uniq, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > MAX_PARTS or self.whole > MAX_WORDS:
+            self.forget()
+        names = uniq.tolist()
+        new = [k for k, h in enumerate(names) if h not in self.known]
+        if new:
+            lowered = lower.tobytes().decode("utf-32-le")
+            where, of = first[new], np.array(new)
+            plain = (where < n_parts) & (kind[begin[where]] != _NUMBER)
+            self.learn_plain([names[k] for k in of[plain]], [lowered[a:b] for a, b in zip(begin[where[plain]].tolist(), end[where[plain]].tolist())])
+            self.learn_whole([names[k] for k in of[~plain]], [(lowered if f < n_parts else text)[begin[f]:end[f]] for f in where[~plain].tolist()])
+        entry = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[at]
+        if len(begin) > n_parts:
+            order = np.argsort(begin, kind="stable")
+            begin, entry = begin[order], entry[order]
+        stops = np.cumsum([len(t or "") + 1 for t in texts])
+        doc = np.searchsorted(stops, begin, side="right")
+        size = self.sizes[entry]
+        total = int(size.sum())
+        # the k-th id of a part is the k-th after the part's first in the pool
+        source = np.arange(total) + np.repeat(self.begins[entry] - (np.cumsum(size) - size), size)
+        out = np.zeros(total + len(texts), dtype="<u4")
+        out[np.arange(total) + np.repeat(doc, size)] = self.pool[source]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64) + 1)])
+        return out, edges
+
+
+def _parts(kind: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of words begin and end: runs of letters or of signs, single numbers, and what an
+    apostrophe that begins a run of signs contracts."""
+    n = len(kind)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    there = kind != _GAP
+    head = there & (np.append(True, kind[1:] != kind[:-1]) | (kind == _NUMBER))
+    at = np.flatnonzero(head & (lower == ord("'")) & (kind == _SIGN))
+    after = np.append(lower, [0, 0, 0])
+    one = np.isin(after[at + 1], _ONE)
+    two = np.zeros(len(at), dtype=bool)
+    for a, b in _TWO:
+        two |= (after[at + 1] == a) & (after[at + 2] == b)
+    head[at[one | two] + 1] = False
+    beyond = np.concatenate([at[one] + 2, at[two] + 3])
+    beyond = beyond[beyond < n]
+    head[beyond] |= there[beyond]
+    stop = np.append(there, False) & np.append(~there[1:] | head[1:], [True, True])[:n + 1]
+    return np.flatnonzero(head), np.flatnonzero(stop) + 1
+
+
+_known: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each worker and path."""
+    if path not in _known:
+        _known[path] = _Encoder(path)
+    return _known[path]
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
@@ -71,24 +192,8 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     across the parts of a word, so the ids of a text are those of these, which
     repeat. Words that are not plain are given to it whole.
     """
-    tokenizer, ids, by_part, splits = _encoder(path)
-    parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*map(set, parts)).difference(ids)
-    if len(ids) + len(new) > MAX_WORDS:
-        ids.clear()
-        new = set().union(*map(set, parts))
-    whole = [w for w in new if w and not (splits and _plain(w))]
-    ids.update(zip(whole, _raw(tokenizer, whole)))
-    split = {w: _PARTS.findall(w.lower()) for w in new.difference(whole)}
-    units = set().union(*split.values()).difference(by_part)
-    if len(by_part) + len(units) > MAX_PARTS:
-        by_part.clear()
-        units = set().union(*split.values())
-    units = list(units)
-    by_part.update(zip(units, _raw(tokenizer, units)))
-    for word, p in split.items():
-        ids[word] = b"".join(map(by_part.__getitem__, p))
-    return [b"".join(map(ids.__getitem__, p)) for p in parts]
+    ids, edges = _encoder(path).encode(texts)
+    return [ids[a:b - 1].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -104,8 +209,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         size = 4 * max_tokens
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, raw in enumerate(encode(batch.column(1).to_pylist(), tokenizer_path)):
-                raw += END
+            flat, edges = _encoder(tokenizer_path).encode(batch.column(1).to_pylist())
+            for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                raw = flat[a:b].tobytes()  # ends with END
                 for k, i in enumerate(range(0, len(raw), size)):
                     cut = raw[i:i + size]
                     at.append(row), piece.append(k), start.append(i // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate, html_text, language_model, merkle, outliers, packing, quality, repeats, secrets, shards, simhash, spelling, toxicity
+from chatlake.llm import decontaminate, html_text, language_model, merkle, oracle, outliers, packing, quality, repeats, secrets, shards, simhash, spelling, toxicity
 from chatlake.llm.common import held_out, table
 
 SHARDS = 16
@@ -127,4 +127,5 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 
 #: The other operators rest on XXH64, CRC-32, tokenizers, trained models or seeded
 #: shuffles, which SQL does not have: tests/llm compares these with plain Python.
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL, "op11_substring_dedup": oracle.OP11,
+                              "op12_spelling_variants": oracle.OP12, "op13_merkle_manifest": oracle.OP13}

@@ -27,13 +27,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.llm.automaton import SuffixAutomaton
 from chatlake.llm.common import python_workers, saved
+from chatlake.llm.hashing import range_hashes, window_hashes
 from chatlake.llm.ranks import ranked
 
 LEAST = 20
@@ -45,8 +45,6 @@ PLACE, BLOCK = 27, 12
 SHARD_WORDS, STREAM_WORDS = 40_000, 160_000
 #: Rows up to which a table of numbers is broadcast; larger ones are joined by shuffle.
 FEW = 1_000_000
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
 _SPAN = T.StructType().add("start", "integer").add("end", "integer")
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -55,8 +53,6 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-#: Bytes hashed at once, and the longest word that is hashed by its sum of powers.
-_STEP, _LONG = 1 << 22, 255
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -82,18 +78,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        for at in range(0, len(self.data), _STEP):
-            i, j = np.searchsorted(self.starts, [at, at + _STEP])
-            part = self.data[at:at + _STEP + _LONG]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(part)))])
-            lo = self.starts[i:j] - at
-            out[i:j] = (sums[np.minimum(self.ends[i:j] - at, len(part))] - sums[lo]) * _powers(_BACK, len(part))[lo]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        for k in np.flatnonzero(self.ends - self.starts > _LONG):
-            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k]:self.ends[k]].tobytes())
-        return out
+        return range_hashes(self.data, self.starts, self.ends)
 
     def joined(self, stays: np.ndarray) -> pa.Array:
         """The words that stay, joined by one space, of each text."""
@@ -112,29 +97,6 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(data[inside])).cast(pa.string())
 
 
-_made: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n - 1), modulo 2**64."""
-    if len(_made.get(base, ())) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[:1] = 1
-        _made[base] = np.multiply.accumulate(out)
-    return _made[base][:n]
-
-
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every ``size`` consecutive words, by sums of powers modulo 2**64."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)))])
-    out = (sums[size:] - sums[:-size]) * _powers(_BACK, n)
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _sliding(f, a: np.ndarray, width: int) -> np.ndarray:
     """``f`` (minimum or maximum) of every ``width`` consecutive values."""
     out, have = a, 1
