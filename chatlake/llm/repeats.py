@@ -8,9 +8,9 @@ repeated mark is a reference. References are dealt into shards of bounded
 size; the automaton of a shard is built by each task that needs it, and the
 text around the other places of its marks is streamed past it in bounded
 groups, however many they are. Matching statistics of ``least`` or more whose
-first place is earlier are repeats. Windows without such a match go through a
-second round in which a window marks itself, as a mark may stand first in
-another passage. Copies of a text are told by its SHA-256 before all this.
+first place is earlier are repeats. Windows with a repeated mark that have no
+match where their mark is first go through a second round, in which a window
+marks itself: a mark may stand first in another passage. Copies of a text are told by its SHA-256 before all this.
 
 Hashes choose references and routes; what is removed is decided by automata
 over 64-bit hashes of words.
@@ -150,8 +150,8 @@ def _homes(places: DataFrame) -> DataFrame:
 
 
 def _cuts(number: int, begin: int, words: np.ndarray, at: np.ndarray, route: np.ndarray, ahead: int, least: int):
-    """(route, is reference, first word's place, words) of the stretches of ``words`` around each routed place.
-    Those of one route that touch are one, but not beyond two blocks."""
+    """(route, is reference, first word's place, words, the places in it) of the stretches of ``words`` around
+    each routed place. Those of one route that touch are one, but not beyond two blocks."""
     mine = (at >= begin) & (at < begin + len(words))
     at, route = at[mine], route[mine]
     if not len(at):
@@ -163,8 +163,9 @@ def _cuts(number: int, begin: int, words: np.ndarray, at: np.ndarray, route: np.
     own = np.logical_or.reduceat((number << PLACE | at) >> BLOCK == route, heads)
     lo = np.maximum(at[heads] - ahead, begin)
     hi = np.minimum(at[np.append(heads[1:], len(at)) - 1] + least, begin + len(words))
-    for r, o, a, b in zip(route[heads].tolist(), own.tolist(), lo.tolist(), hi.tolist()):
-        yield r, o, a, words[a - begin:b - begin]
+    marks_ = np.split(at, heads[1:])
+    for r, o, a, b, m in zip(route[heads].tolist(), own.tolist(), lo.tolist(), hi.tolist(), marks_):
+        yield r, o, a, words[a - begin:b - begin], (m - a).astype(np.int32)
 
 
 def _covered(ends: np.ndarray, least: int) -> list[dict]:
@@ -176,14 +177,32 @@ def _covered(ends: np.ndarray, least: int) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi)]
 
 
-def _streamed(least: int):
-    """Of one group (a shard's references, and stretches to stream): by stretch the repeated spans, and as
-    rows of their own the stretches of words under windows without an earlier match."""
+def _claimed(words: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """By window: whether its mark is one of those at the places ``at``."""
+    span, grams = least - GRAM + 1, window_hashes(words, GRAM) | np.uint64(1)
+    own = np.full(len(grams), np.uint64(2**64 - 1))
+    own[at] = grams[at]
+    return _sliding(np.minimum, own, span) == _sliding(np.minimum, grams, span)
+
+
+def _streamed(least: int, claim: bool):
+    """Of one group (a shard's references, and stretches to stream): the repeated spans, and with ``claim`` as
+    rows of their own the words under windows that may still repeat elsewhere.
+
+    A window whose first place among the references is earlier is a repeat; if that place is later, the window there
+    is one. Every window with the same mark comes to the same shard. So one that is the first place itself is settled
+    here, and what is left are windows found later or not at all, in the shard of their mark."""
     def run(group: pa.Table) -> pa.Table:
         number, begin = group["number"].to_numpy(), group["begin"].to_numpy()
-        own, raw = group["own"].to_numpy(zero_copy_only=False), [np.frombuffer(w.as_py(), dtype=np.uint64) for w in group["words"]]
+        own, raw = group["own"].to_numpy(zero_copy_only=False), [np.frombuffer(w, dtype=np.uint64) for w in group["words"].to_pylist()]
+        places = [np.frombuffer(m, dtype=np.int32) for m in group["places"].to_pylist()]
         refs = sorted(np.flatnonzero(own).tolist(), key=lambda k: (number[k], begin[k]))
         out = {"number": [], "begin": [], "words": [], "spans": []}
+
+        def say(of, at=None, words=None, spans=None):
+            for name, value in zip(out, (of, at, words, spans)):
+                out[name].append(value)
+
         if refs:
             alphabet, codes = np.unique(np.concatenate([raw[k] for k in refs]), return_inverse=True)
             sizes = np.array([len(raw[k]) for k in refs])
@@ -192,20 +211,25 @@ def _streamed(least: int):
             at = np.concatenate([begin[k] + np.arange(len(raw[k]) + 1) for k in refs])
             automaton = SuffixAutomaton(np.split(codes, np.cumsum(sizes)[:-1]))
             earliest = automaton.earliest(least)
+            every = np.concatenate(raw)
+            coded = np.minimum(np.searchsorted(alphabet, every), len(alphabet) - 1)
+            coded = np.split(np.where(alphabet[coded] == every, coded, -1), np.cumsum([len(w) for w in raw])[:-1])
             for k, words in enumerate(raw):
-                code = np.searchsorted(alphabet, words)
-                code[code == len(alphabet)] = 0
-                code = np.where(alphabet[code] == words, code, -1)
-                first = automaton.matches(code, least, earliest)[least - 1:]
+                first = automaton.matches(coded[k], least, earliest)[least - 1:]
                 end = begin[k] + least - 1 + np.arange(len(first))
                 seen = np.maximum(first, 0)
-                hit = (first >= 0) & ((of[seen] < number[k]) | ((of[seen] == number[k]) & (at[seen] < end)))
-                spans = _covered(end[hit], least)
-                if spans:
-                    out["number"].append(number[k]), out["begin"].append(None), out["words"].append(None), out["spans"].append(spans)
-                for s in _covered(end[~hit], least):
-                    out["number"].append(number[k]), out["begin"].append(s["start"]), out["spans"].append(None)
-                    out["words"].append(words[s["start"] - begin[k]:s["end"] - begin[k]].tobytes())
+                before = (of[seen] < number[k]) | ((of[seen] == number[k]) & (at[seen] < end))
+                itself = (of[seen] == number[k]) & (at[seen] == end)
+                hit = (first >= 0) & before
+                if hit.any():
+                    say(number[k], spans=_covered(end[hit], least))
+                later = np.flatnonzero((first >= 0) & ~before & ~itself)
+                for other in np.unique(of[first[later]]):
+                    say(other, spans=_covered(np.unique(at[first[later][of[first[later]] == other]]), least))
+                if claim:
+                    left = ~hit & ~((first >= 0) & itself) & _claimed(words, places[k], least)
+                    for s in _covered(end[left], least):
+                        say(number[k], s["start"], words[s["start"] - begin[k]:s["end"] - begin[k]].tobytes())
         return pa.table(out, schema=_STREAMED)
 
     return run
@@ -215,7 +239,7 @@ _STREAMED = pa.schema([("number", pa.int64()), ("begin", pa.int64()), ("words",
                        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def _round(places: DataFrame, homes: DataFrame, source, ahead: int, least: int, step: int) -> DataFrame:
+def _round(places: DataFrame, homes: DataFrame, source, least: int, step: int, claim: bool) -> DataFrame:
     """number, begin, words, spans: what ``_streamed`` finds when the stretches around ``places`` of repeated
     marks go to the shards of their marks. ``source`` gives the stretches of (number, routes)."""
     n = homes.count()
@@ -226,22 +250,22 @@ def _round(places: DataFrame, homes: DataFrame, source, ahead: int, least: int,
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")
     load = routed.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) * step / STREAM_WORDS).alias("parts"))
     cut = source(routed.groupBy("number").agg(F.collect_list(F.struct("at", "route")).alias("routes")))
-    cut = cut.select(shard, "own", "number", "begin", "words").join(_few(saved(load, "load")), "shard")
+    cut = cut.select(shard, "own", "number", "begin", "words", "places").join(_few(saved(load, "load")), "shard")
     # references go to all parts of their shard, other stretches to one
     part = F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("number", "begin"), F.col("parts"))))
-    cut = cut.select("shard", F.explode(part).alias("part"), (F.col("own")).alias("own"), "number", "begin", "words")
-    return saved(cut.groupBy("shard", "part").applyInArrow(_streamed(least), "number long, begin long, words binary, spans " + _SPANS), "streamed")
+    cut = cut.select("shard", F.explode(part).alias("part"), "own", "number", "begin", "words", "places")
+    return saved(cut.groupBy("shard", "part").applyInArrow(_streamed(least, claim), "number long, begin long, words binary, spans " + _SPANS), "streamed")
 
 
-_CUT = "route long, own boolean, number long, begin long, words binary"
+_CUT = "route long, own boolean, number long, begin long, words binary, places binary"
 
 
 def _cut_batches(rows, ahead: int, least: int):
     """Record batches of stretches from (number, begin, words, places and routes)."""
     part = []
     for number, begin, words, at, route in rows:
-        part += [(r, own, number, lo, w.tobytes()) for r, own, lo, w in _cuts(number, begin, words, at, route, ahead, least)]
+        part += [(r, own, number, lo, w.tobytes(), m.tobytes()) for r, own, lo, w, m in _cuts(number, begin, words, at, route, ahead, least)]
         if len(part) > 2000:
             yield _batch(part)
             part = []
@@ -255,9 +279,9 @@ def _each(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _batch(part: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], t) for k, t in enumerate(kinds)],
-                                      names=["route", "own", "number", "begin", "words"])
+                                      names=["route", "own", "number", "begin", "words", "places"])
 
 
 def _from_texts(docs: DataFrame, numbers: DataFrame, least: int):
@@ -326,10 +350,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = marked.select("number", F.explode(F.arrays_zip("marks", "at")).alias("m")).select(
         F.col("m.marks").alias("mark"), "number", F.col("m.at").cast("long").alias("at"))
     places = places.withColumn("place", F.shiftleft("number", PLACE).bitwiseOR(F.col("at")))
-    found = _round(places, _homes(places), _from_texts(docs, numbers, least), least - GRAM, least, GRAM)
+    found = _round(places, _homes(places), _from_texts(docs, numbers, least), least, GRAM, True)
     left = found.where("words is not null")
     again = _window_marks(left, least)
-    more = _round(again, _homes(again), _from_stretches(left, least), 0, least, 1)
+    more = _round(again, _homes(again), _from_stretches(left, least), least, 1, False)
     spans = copies.unionByName(found.where("spans is not null").select("number", "spans")).unionByName(
         more.where("spans is not null").select("number", "spans"))
     spans = spans.groupBy("number").agg(F.flatten(F.collect_list("spans")).alias("spans"))
