@@ -10,9 +10,9 @@ into *blocks* (a monotone, coarse function of the order key, e.g.
 The first term comes from a per-(group, block) count (map-side combined,
 one row per block) and a running sum over the blocks of a group, which
 holds ``#blocks`` rows per group, not ``#rows``. The second term is a
-window over (group, block), bounded by the block size. The join back on
-(group, block) reuses the window's hash partitioning, so the wide side is
-shuffled once. Everything is deterministic; no nondeterministic ids.
+window over (group, block), bounded by the block size. Group and block are
+one struct column, in which nulls are values like others: the join back on it
+reuses the window's hash partitioning, so the rows are shuffled once. Everything is deterministic; no nondeterministic ids.
 """
 
 from __future__ import annotations
@@ -33,18 +33,16 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     """
     keys = list(keys)
     b = "__blk"
+    k = "__key"
     with_blk = df.withColumn(b, block)
     counts = with_blk.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, b, F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__off"))
-    in_block = Window.partitionBy(*keys, b).orderBy(*order)
-    ranked = with_blk.withColumn("__rk", F.row_number().over(in_block) - 1)
-    # null keys and blocks are groups like any other
-    offsets = offsets.withColumnsRenamed({c: f"__{c}" for c in [*keys, b]})
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*keys, b]]
-    return (ranked.join(offsets, same).drop(*[f"__{c}" for c in [*keys, b]])
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).select(F.struct(*keys, b).alias(k), "__off")
+    ranked = with_blk.withColumn(k, F.struct(*keys, b)).withColumn(
+        "__rk", F.row_number().over(Window.partitionBy(k).orderBy(*order)) - 1)
+    return (ranked.join(offsets, k)
             .withColumn(out, (F.col("__off") + F.col("__rk")).cast("long"))
-            .drop(b, "__off", "__rk"))
+            .drop(k, b, "__off", "__rk"))
 
 
 def line_position(df: DataFrame, keys: Sequence[str], line_col: str = "line_num",

@@ -9,11 +9,14 @@ Parsing recipe (why it is shaped like this):
 * The envelope is read with an explicit schema whose polymorphic or numeric
   fields are STRING; a type mismatch inside ``from_json`` turns the whole
   record corrupt, so typing happens afterwards with ``try_cast``.
-* ``message.content`` is a string or an array of blocks. Only lines whose
-  content is an array parse again with ``content array<string>`` (each
-  element stays raw JSON); string content is read as such. These reads sit
-  in lazy CASE branches, in this order, each only where the one before it
-  found nothing.
+* ``message.content`` is a string or an array of blocks. It is read as typed
+  blocks, else as text, and only where that text begins with ``[`` again with
+  ``content array<string>`` (each element stays raw JSON). Content that cannot
+  be copied as text, as it is nested too deep, is read without its tool
+  inputs' text and named ``unread_input`` in the quarantine, beside its rows.
+  These reads sit in lazy CASE branches, each only where it is needed.
+* ``from_json`` stops after the first object of a line. Whether the line ends
+  there is told by a read that skips all fields, with a mark behind the line.
 * A numeric ``timestamp`` is told from a numeric-looking *string* by a
   second typed read, again only for numeric-looking values.
 """
@@ -68,17 +71,48 @@ def _raw_block(raw):
     return _with_content(b, F.when(items.isNull(), b["content"]), b["content"].isNull(), items)
 
 
+END_KEY = "chatlake_end"
+_END = f'{{"{END_KEY}":1}}'
+
+
+def _one_value(v, elements: str):
+    """``v`` and a mark as the two elements of a JSON array (NULL if they are not): text behind the first
+    value of ``v`` makes the array invalid, or one of another length."""
+    both = F.from_json(F.concat(F.lit("["), v, F.lit("," + _END + "]")), elements, ONE_PARSE)
+    return F.when(F.size(both) == 2, both)
+
+
+def ends_after_object(v):
+    """Whether the line is one JSON object and nothing else. No field is kept, so this only walks the text."""
+    marked = F.coalesce(_one_value(v, f"array<struct<{END_KEY}:int>>")[1][END_KEY] == 1, F.lit(False))
+    # a line that has the mark's name itself is walked in two frames, which no text behind an object fits both
+    framed = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v struct<_:string>, _corrupt_record string", JSON_OPTS)
+    listed = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<struct<_:string>>", ONE_PARSE)
+    return F.when(v.contains(END_KEY), framed["_corrupt_record"].isNull() & F.coalesce(F.size(listed) == 1, F.lit(False))).otherwise(marked)
+
+
 def _bad_reason():
     """Why a line is not an entry (evaluated for those lines only): blank,
     valid JSON that is not an object ('not_object', a file error for the
-    reference, Q9), or invalid JSON ('malformed_json', skipped silently)."""
+    reference, Q9), an object with more text behind it ('trailing_content'),
+    an object with a value of a type that no entry has, such as a message that is
+    a number ('unread_object'), or invalid JSON ('malformed_json', skipped silently)."""
     v = F.col("value")
-    trimmed = F.regexp_replace(v, r"(?U)^\s+", "")
+    is_object = F.regexp_replace(v, r"(?U)^\s+", "").startswith("{")
+    framed = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("," + _END[1:])), f"{END_KEY} int", ONE_PARSE)
+    valid = F.when(is_object, ends_after_object(v)).otherwise(F.coalesce(framed[END_KEY] == 1, F.lit(False)))
+    first = F.from_json(v, "_ string, _corrupt_record string", JSON_OPTS)
     return (F.when(v.rlike(r"(?U)^\s*$"), F.lit("blank"))
-            .when(~trimmed.startswith("{") & F.try_parse_json(v).isNotNull(), F.lit("not_object"))
+            .when(valid, F.when(is_object, F.lit("unread_object")).otherwise(F.lit("not_object")))
+            .when(is_object & first["_corrupt_record"].isNull(), F.lit("trailing_content"))
             .otherwise(F.lit("malformed_json")))
 
 
+def _is_entry(e):
+    """Whether the line is one JSON object that the envelope reads."""
+    return F.when(e.isNotNull() & e["_corrupt_record"].isNull(), ends_after_object(F.col("value"))).otherwise(F.lit(False))
+
+
 def _envelope():
     return F.from_json("value", schemas.ENVELOPE_DDL, JSON_OPTS)
 
@@ -86,7 +120,7 @@ def _envelope():
 def quarantine(lines: DataFrame) -> DataFrame:
     """D-1: lines the parse skips (blank, or not one JSON object), with a reason."""
     e = _envelope()
-    reason = F.when(e.isNull() | e["_corrupt_record"].isNotNull(), _bad_reason())
+    reason = F.when(~_is_entry(e), _bad_reason())
     return (lines.select("file_path", "session_id", "line_num", reason.alias("reason"), "value")
             .filter(F.col("reason").isNotNull()))
 
@@ -101,10 +135,10 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     # nothing to any table. No filter here on purpose: Catalyst would push
     # it below the projection and parse every line twice.
     raw = F.col("e_raw")
-    valid = lines.withColumn("e_raw", _envelope()).select(
-        "*", F.when(raw["_corrupt_record"].isNull(), raw).alias("e"),
-        F.when(raw.isNull() | raw["_corrupt_record"].isNotNull(), _bad_reason()).alias("parse_error"),
-    ).drop("e_raw")
+    valid = lines.withColumn("e_raw", _envelope()).withColumn("is_entry", _is_entry(raw)).select(
+        "*", F.when(F.col("is_entry"), raw).alias("e"),
+        F.when(~F.col("is_entry"), _bad_reason()).alias("parse_error"),
+    ).drop("e_raw", "is_entry")
     e = F.col("e")
     etype = e["type"]
     is_msg = etype.isin("user", "assistant")
@@ -135,18 +169,25 @@ def parse_lines(lines: DataFrame, with_quarantine: bool = False):
     )
     # Arrays the typed read rejects (e.g. a bare string element) take the
     # exact, slower path: elements as raw JSON, parsed one by one.
+    untyped = F.col("is_message") & F.col("typed").isNull()
+    out = out.withColumn("content_raw", F.when(
+        untyped, F.from_json("value", schemas.CONTENT_STRING_DDL, ONE_PARSE)["message"]["content"]))
     out = out.withColumn("content_arr", F.when(
-        F.col("is_message") & F.col("typed").isNull(),
+        untyped & F.col("content_raw").startswith("["),
         F.transform(F.from_json("value", schemas.CONTENT_ARRAY_DDL, ONE_PARSE)["message"]["content"],
                     _raw_block)))
-    # Second stage: string content by path (only when not an array), blocks.
+    out = out.withColumn("deep", F.when(
+        untyped & F.col("content_raw").isNull(),
+        F.transform(F.from_json("value", schemas.CONTENT_DEEP_DDL, ONE_PARSE)["message"]["content"],
+                    lambda b: _typed_block(b.withField("input", F.to_json(b["input"]))))))
+    # Second stage: string content (only when not an array), blocks.
     out = out.select(
         "*",
-        F.when(F.col("is_message") & F.col("typed").isNull() & F.col("content_arr").isNull(),
-               F.from_json("value", schemas.CONTENT_STRING_DDL, ONE_PARSE)["message"]["content"]).alias("content_str"),
-        F.coalesce(F.transform("typed", _typed_block), F.col("content_arr")).alias("blocks"),
+        F.when(F.col("typed").isNull() & F.col("content_arr").isNull(), F.col("content_raw")).alias("content_str"),
+        F.coalesce(F.transform("typed", _typed_block), F.col("content_arr"), F.col("deep")).alias("blocks"),
+        F.coalesce("parse_error", F.when(F.col("deep").isNotNull(), F.lit("unread_input"))).alias("error"),
         F.from_json("usage_raw", schemas.USAGE_DDL, ONE_PARSE).alias("u"),
-    ).drop("content_arr", "typed")
+    ).drop("content_arr", "typed", "content_raw", "deep", "parse_error").withColumnRenamed("error", "parse_error")
     out = out.withColumn("text", F.when(F.col("is_message"), C.content_text("content_str", "blocks")))
     usage_present = F.col("usage_raw").isNotNull() & (F.col("usage_raw") != "{}")
 

@@ -34,15 +34,14 @@ LOAD_ORDER = "load_order"
 def build_messages(entries: DataFrame) -> DataFrame:
     """P3 + W1: one row per user/assistant entry; sequence numbers are 0-based.
 
-    Of lines of one session with the same message id the first counts. The
-    repeated ids are found on narrow rows; texts are not shuffled for it."""
-    said = entries.filter(F.col("is_message")).withColumn("message_id", message_id())
-    repeated = (said.filter(F.col("uuid").isNotNull()).groupBy("session_id", "message_id")
-                .agg(F.min("line_num").alias("_first"), F.count(F.lit(1)).alias("_times")).filter("_times > 1").drop("_times"))
-    said = (said.join(repeated, ["session_id", "message_id"], "left")
-            .filter(F.col("_first").isNull() | (F.col("line_num") == F.col("_first"))))
+    Of lines of one session with the same message id the first counts. Which
+    lines count, and their places, are found on rows of ids and line numbers;
+    the rows with texts are shuffled once, to join these on (session, line)."""
+    said = entries.filter(F.col("is_message"))
+    first = said.groupBy("session_id", message_id().alias("message_id")).agg(F.min("line_num").alias("line_num"))
+    places = line_position(first, ["session_id"], "line_num", out="sequence_number")
     msgs = said.select(
-        "message_id", "session_id", "parent_uuid", "role",
+        "session_id", "parent_uuid", "role",
         F.col("ts").alias("timestamp"), "line_num",
         truncate("text", MAX_CONTENT_TEXT).alias("content_text"),
         "has_thinking", truncate("thinking_text", MAX_CONTENT_TEXT).alias("thinking_text"),
@@ -52,8 +51,7 @@ def build_messages(entries: DataFrame) -> DataFrame:
           ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")],
         "service_tier", "inference_geo",
     )
-    ranked = line_position(msgs, ["session_id"], "line_num", out="sequence_number")
-    return ranked.select(*[F.col(f.name).cast(f.dataType) for f in schemas.MESSAGES.fields])
+    return msgs.join(places, ["session_id", "line_num"]).select(*[F.col(f.name).cast(f.dataType) for f in schemas.MESSAGES.fields])
 
 
 def _tool_use_rows(entries: DataFrame) -> DataFrame:

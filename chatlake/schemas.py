@@ -30,8 +30,10 @@ FILE_COLS = ["source", "file_path", "session_id", "is_agent", "project_dir_name"
 # cast with try_* functions: a type mismatch inside from_json turns the whole
 # record corrupt, and ANSI casts would fail the job on bad input.
 # ---------------------------------------------------------------------------
-# Strings of any length: the reader's own limit is 20,000,000 characters.
-ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+# JSON as RFC 8259 has it, without the reader's own limits on the length of
+# strings and numbers and on nesting, and without quotes that are not JSON's.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "maxNestingDepth": str(2**31 - 1),
+              "allowSingleQuotes": "false"}
 ENVELOPE_DDL = (
     "type string, timestamp string, uuid string, parentUuid string, "
     "isSidechain string, gitBranch string, cwd string, version string, "
@@ -46,9 +48,13 @@ CONTENT_BLOCKS_DDL = (
     "id string, name string, input string, tool_use_id string, is_error string, "
     "content variant>>>"
 )
+CONTENT_STRING_DDL = "message struct<content string>"
 # Fallback for arrays the typed read rejects: elements kept as raw JSON.
 CONTENT_ARRAY_DDL = "message struct<content array<string>>"
-CONTENT_STRING_DDL = "message struct<content string>"
+# Last: JSON nested beyond 1,000 levels is read, but not copied as text. Of a
+# tool's input these blocks have the fields that the tables use.
+CONTENT_DEEP_DDL = CONTENT_BLOCKS_DDL.replace("input string", "input struct<file_path string, path string, "
+                                              "notebook_path string, command string, description string>")
 BLOCK_DDL = (
     "type string, text string, thinking string, id string, name string, "
     "input string, tool_use_id string, is_error string, content string"
