@@ -70,7 +70,9 @@ class DiskSource:
                          .withColumn("cowork_dir_id", F.lit(None).cast("string"))
                          .withColumn("sidecar_path", F.lit(None).cast("string")))
         if self.cowork_dir and not self.code_only:
-            parts.append(T.discover_cowork_files(spark, self.cowork_dir))
+            # listed once for transcripts and sidecars
+            self._tree = T.list_cowork(spark, self.cowork_dir)
+            parts.append(T.discover_cowork_files(spark, self.cowork_dir, self._tree))
         if not parts:
             return spark.createDataFrame([], _FILES_SCHEMA)
         out = parts[0]
@@ -84,12 +86,11 @@ class DiskSource:
             code = T.read_all_code_lines(spark, chosen.filter(F.col("source") == T.CODE), self.claude_dir)
             rest = chosen.filter(F.col("source") != T.CODE)
             return code.unionByName(self.lines(spark, rest)) if self.cowork_dir and not self.code_only else code
-        rows = chosen.select("file_path").collect()   # file list only, as the reader needs
-        return T.read_lines(spark, chosen, [r[0] for r in rows])
+        return T.read_lines(spark, chosen, root=self.claude_dir or self.cowork_dir or "/")
 
     def sidecars(self, spark: SparkSession) -> DataFrame | None:
         if self.cowork_dir and not self.code_only:
-            return T.read_sidecars(spark, self.cowork_dir)
+            return T.read_sidecars(spark, self.cowork_dir, getattr(self, "_tree", None))
         return None
 
 

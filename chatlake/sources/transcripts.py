@@ -1,8 +1,10 @@
 """Transcript files on any Hadoop file system -> the LINES contract.
 
-Listing uses Spark's file index (``binaryFile`` with only metadata columns,
-so no content is read). Reading uses ``spark.read.text`` over the chosen
-paths only, so unchanged files are never opened (J3 runs first).
+Code folders are listed with Spark's file index (``binaryFile`` with only
+metadata columns, so no content is read), cowork trees in tasks, level by
+level (:mod:`chatlake.sources.files`). A full run reads the code folders by
+their pattern; chosen files are read as byte ranges in tasks, so unchanged
+files are never opened (J3 runs first) and no path passes the driver.
 
 Line numbers (S8) come from the scan itself: each split of a file is read
 in order by one task, so ``monotonically_increasing_id`` taken right on the
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import files
 
 CODE = "claude-code"
 COWORK = "cowork"
@@ -49,13 +52,19 @@ def _list(spark: SparkSession, path: str, recursive: bool = False,
                      F.col("modificationTime").alias("file_mtime"))
 
 
-def _list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` at any depth, hidden folders included.
+def list_cowork(spark: SparkSession, cowork_dir: str) -> DataFrame:
+    """Every file under ``cowork_dir`` at any depth, hidden folders included
+    (path, file_size, file_mtime), for transcripts and sidecars alike.
 
     Spark's file index skips names starting with '.' or '_', but transcripts
-    sit under ``.claude`` folders, so the tree is listed with the Hadoop
-    FileSystem API (metadata only, like any file index listing).
+    sit under ``.claude`` folders, so the tree is listed level by level in tasks.
     """
+    root = cowork_dir.rstrip("/")
+    return files.list_tree(spark, root) if files.reachable(root) else _list_tree(spark, root)
+
+
+def _list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The same by Hadoop's API on the driver, for file systems that only it can open."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -88,13 +97,14 @@ def discover_code_files(spark: SparkSession, claude_dir: str) -> DataFrame:
         "file_size", "file_mtime", F.lit(0).alias("load_rank"))
 
 
-def discover_cowork_files(spark: SparkSession, cowork_dir: str) -> DataFrame:
+def discover_cowork_files(spark: SparkSession, cowork_dir: str, tree: DataFrame | None = None) -> DataFrame:
     """Any depth; skip ``cowork_plugins`` folders and ``audit.jsonl``.
 
     Adds ``cowork_dir_id`` (nearest ``local_*`` ancestor) and ``sidecar_path``.
+    ``tree``: what ``list_cowork`` has found, if it ran before.
     """
-    tree = _list_tree(spark, cowork_dir.rstrip("/"))
-    files = tree.filter(F.col("path").endswith(".jsonl"))
+    tree = list_cowork(spark, cowork_dir) if tree is None else tree
+    found = tree.filter(F.col("path").endswith(".jsonl"))
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     dir_path = F.regexp_replace("path", r"/[^/]*$", "")
@@ -102,7 +112,7 @@ def discover_cowork_files(spark: SparkSession, cowork_dir: str) -> DataFrame:
     local = F.regexp_extract(dir_path, r"^(.*/)(local_[^/]*)(?:/.*)?$", 2)
     local_parent = F.regexp_extract(dir_path, r"^(.*/)(local_[^/]*)(?:/.*)?$", 1)
     proj = F.regexp_extract(dir_path, r"/\.claude/projects/([^/]+)", 1)
-    out = files.filter(~F.array_contains(dir_parts, "cowork_plugins") & (name != "audit.jsonl"))
+    out = found.filter(~F.array_contains(dir_parts, "cowork_plugins") & (name != "audit.jsonl"))
     return out.select(
         F.lit(COWORK).alias("source"), F.col("path").alias("file_path"),
         _stem(name).alias("session_id"), name.startswith("agent-").alias("is_agent"),
@@ -113,10 +123,13 @@ def discover_cowork_files(spark: SparkSession, cowork_dir: str) -> DataFrame:
         F.when(local != "", F.concat(local_parent, local, F.lit(".json"))).alias("sidecar_path"))
 
 
-def read_sidecars(spark: SparkSession, cowork_dir: str) -> DataFrame:
-    """S3: every ``local_*.json`` under the cowork folder, as whole text."""
-    tree = _list_tree(spark, cowork_dir.rstrip("/"))
-    names = [r[0] for r in tree.filter(F.col("path").rlike(r"/local_[^/]*\.json$")).select("path").collect()]
+def read_sidecars(spark: SparkSession, cowork_dir: str, tree: DataFrame | None = None) -> DataFrame:
+    """S3: every ``local_*.json`` under the cowork folder, as whole text. ``tree`` as above."""
+    tree = list_cowork(spark, cowork_dir) if tree is None else tree
+    found = tree.filter(F.col("path").rlike(r"/local_[^/]*\.json$"))
+    if files.reachable(cowork_dir):
+        return files.read_whole(found).select(F.col("path").alias("sidecar_path"), F.col("text").alias("sidecar_text"))
+    names = [r[0] for r in found.select("path").collect()]
     if not names:
         return spark.createDataFrame([], "sidecar_path string, sidecar_text string")
     df = spark.read.option("wholetext", "true").text([_glob_escape(p) for p in names])
@@ -124,11 +137,11 @@ def read_sidecars(spark: SparkSession, cowork_dir: str) -> DataFrame:
                      F.col("value").alias("sidecar_text"))
 
 
-def read_all_code_lines(spark: SparkSession, files: DataFrame, claude_dir: str,
+def read_all_code_lines(spark: SparkSession, chosen: DataFrame, claude_dir: str,
                         max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """S8 for a full run over code transcripts: the folders are read by their
-    pattern and joined to ``files``, so no list of paths passes the driver."""
-    n = files.count()
+    pattern and joined to ``chosen``, so no list of paths passes the driver."""
+    n = chosen.count()
     if not n:
         return spark.createDataFrame([], schemas.LINES)
     try:
@@ -137,32 +150,42 @@ def read_all_code_lines(spark: SparkSession, files: DataFrame, claude_dir: str,
         if "PATH_NOT_FOUND" in str(exc):
             return spark.createDataFrame([], schemas.LINES)
         raise
-    return _numbered(spark, text, files, n, max_broadcast_splits)
+    return _numbered(spark, _scanned(text), chosen, n, max_broadcast_splits)
 
 
-def read_lines(spark: SparkSession, files: DataFrame, paths: list[str],
-               max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
-    """The lines of ``paths`` with 0-based line numbers, joined to ``files``.
+def read_lines(spark: SparkSession, chosen: DataFrame, paths: list[str] | None = None,
+               max_broadcast_splits: int = MAX_BROADCAST_SPLITS, root: str = "/", range_bytes: int = files.RANGE_BYTES) -> DataFrame:
+    """The lines of the ``chosen`` files (FILE_COLS), with 0-based line numbers.
 
-    ``paths`` are the chosen files (driver-side list from the listing);
-    ``files`` carries their FILE_COLS.
+    The table of chosen files is all that is needed: each is cut into byte
+    ranges, which tasks read. Files that went meanwhile are left out. With a list
+    of ``paths``, or where only Hadoop's API opens the file system of ``root``,
+    Spark's own reader takes these.
     """
-    if not paths:
-        return spark.createDataFrame([], schemas.LINES)
+    if paths is None and files.reachable(root):
+        parts = files.ranges(chosen.filter("file_size > 0"), range_bytes)
+        # ranges know the places of their lines, so the ids of the scan are these
+        raw = files.read_ranges(parts).withColumnRenamed("nth", "mid")
+        return _numbered(spark, raw, chosen, chosen.count(), max_broadcast_splits)
+    paths = [r[0] for r in chosen.select("file_path").collect()] if paths is None else paths
     # only here a missing file is left out: it went after it was listed
     paths = _there(spark, paths)
     if not paths:
         return spark.createDataFrame([], schemas.LINES)
     text = spark.read.option("ignoreMissingFiles", "true").text([_glob_escape(p) for p in paths])
-    return _numbered(spark, text, files, len(paths), max_broadcast_splits)
+    return _numbered(spark, _scanned(text), chosen, len(paths), max_broadcast_splits)
 
 
-def _numbered(spark: SparkSession, text: DataFrame, files: DataFrame, n_files: int, max_broadcast_splits: int) -> DataFrame:
-    """The scanned lines of ``files`` (``n_files`` of them) with their line numbers."""
-    raw = text.select(
+def _scanned(text: DataFrame) -> DataFrame:
+    """A scan's lines with their file, split and place among the lines of the split."""
+    return text.select(
         "value", decode_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"))
+
+
+def _numbered(spark: SparkSession, raw: DataFrame, files: DataFrame, n_files: int, max_broadcast_splits: int) -> DataFrame:
+    """The lines of ``files`` (``n_files`` of them) with their numbers."""
     splits = raw.groupBy("file_path", "blk").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file_path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file_path", "blk", "first",
