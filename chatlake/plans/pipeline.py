@@ -6,6 +6,7 @@ Storage (plain Parquet, no MERGE needed)::
     <root>/<gen>/bronze/batch_id=<b>/     parsed entries of batch b
     <root>/<gen>/<table>/batch_id=<b>/    rows of the 8 tables written by b
     <root>/<gen>/quarantine/batch_id=<b>/ skipped lines with a reason
+    <root>/<gen>/shared_calls/batch_id=<b>/ tool-call ids that b found in several sessions
 
 Every batch only *appends* its own partition (written with overwrite, so a
 retried batch replaces exactly its own files). ``etl_state`` (the manifest)
@@ -20,6 +21,8 @@ pointers are never changed, and the one with the latest name is in use, so
 readers never see a half-built generation. Tool-call ids that several sessions
 have, and project folders whose path another batch has seen, are resolved in
 the view, so that its rows do not depend on how files were dealt to batches.
+Which ids these are each batch writes down, so that the view need not shuffle
+the other calls.
 """
 
 from __future__ import annotations
@@ -234,7 +237,19 @@ class TableRoot:
 
         def tool_calls_view():
             rows = session_view("tool_calls")()
-            return first_call_wins(rows) if LOAD_ORDER in rows.columns else rows
+            if LOAD_ORDER not in rows.columns:
+                return rows
+            shared = self.read(gen, "shared_calls")
+            if "tool_call_id" not in shared.columns:  # written before these were kept
+                return first_call_wins(rows)
+            ids = shared.select("tool_call_id").distinct()
+            n = ids.count()
+            ids = F.broadcast(ids) if n <= FEW_REPLACED else ids
+            columns = [f.name for f in schemas.TOOL_CALLS.fields]
+            if n == 0:
+                return rows.select(*columns)
+            alone = rows.join(ids, "tool_call_id", "left_anti").select(*columns)
+            return alone.unionByName(first_call_wins(rows.join(ids, "tool_call_id", "left_semi")))
 
         def sessions_view():
             rows = session_view("sessions")()
@@ -264,6 +279,22 @@ class RunResult:
     summary: dict = field(default_factory=dict)
 
 
+def _shared_calls(store: TableRoot, gen: str, batch: str) -> DataFrame:
+    """The tool-call ids of a batch that several sessions have, in it or in the batches before it.
+
+    Narrow: ids and sessions only. Ids of sessions that were replaced since may be
+    among them, which costs the view a few rows and changes none."""
+    new = store.spark.read.parquet(store.path(gen, "tool_calls", batch)).select("tool_call_id", "session_id")
+    here = (new.groupBy("tool_call_id").agg(F.min("session_id").alias("a"), F.max("session_id").alias("b"))
+            .filter("a < b").select("tool_call_id"))
+    before = store.read(gen, "tool_calls")
+    if "tool_call_id" not in before.columns:
+        return here
+    before = before.filter(F.col("batch_id") != batch).select("tool_call_id", F.col("session_id").alias("other"))
+    across = before.join(new, "tool_call_id").filter("other <> session_id").select("tool_call_id")
+    return here.unionByName(across).distinct()
+
+
 def _seen_paths(entries: DataFrame) -> DataFrame:
     """For each project folder the least ``cwd`` that its name encodes."""
     enc = F.regexp_replace("cwd", r"[/\\.]", "-")
@@ -383,6 +414,7 @@ def run(spark: SparkSession, source, root: str, mode: str = "incremental",
             df = df.sortWithinPartitions(*sort_keys[t])
         df.write.mode("overwrite").parquet(store.path(gen, t, batch))
         clock(t)
+    _shared_calls(store, gen, batch).write.mode("overwrite").parquet(store.path(gen, "shared_calls", batch))
     if links is not None:
         build_cowork_sessions(links.select("cowork_dir_id", "session_id", "load_rank", "file_path",
                                            "sidecar_text")) \
@@ -483,6 +515,7 @@ def compact(spark: SparkSession, root: str, now: _dt.datetime | None = None) ->
     store.project_paths(gen).write.mode("overwrite").parquet(store.path(new_gen, "project_dirs", batch))
     for t in SESSION_TABLES + ["cowork_sessions", "quarantine"]:
         views[t].write.mode("overwrite").parquet(store.path(new_gen, t, batch))
+    _shared_calls(store, new_gen, batch).write.mode("overwrite").parquet(store.path(new_gen, "shared_calls", batch))
     state = store.state(gen).drop("batch_id")
     state.write.mode("overwrite").parquet(store.path(new_gen, "etl_state", batch))
     store.set_generation(new_gen)
