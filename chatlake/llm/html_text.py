@@ -1,19 +1,23 @@
 """Main text of web pages by composite text density.
 
 A page is read into a whole tree of elements, without what is never read as
-text (scripts, buttons and the like). Then what its tag, role or names mark as
-no main text (navigation, forms, notices) is left out, unless it is a wrapper:
-one that holds the page's main element or one of its larger articles, or, if
-marked by a name or as a form, most of the body's text outside links. What is
-marked inside a wrapper is looked at by itself. Each element that is left has a
-density: its characters for each tag, adjusted by how much of it is link text
-compared with the whole body. The element whose children's densities sum
-highest is the target; the least density on its path to the body is the
+text (scripts, buttons and the like). Then what its tag or role marks as no
+main text (navigation, asides) is left out, unless it is a wrapper that holds
+the page's main element or one of its larger articles. Each element that is
+left has a density: its characters for each tag, adjusted by how much of it is
+link text compared with the whole body. The element whose children's densities
+sum highest is the target; the least density on its path to the body is the
 threshold. From the body down, in each element as dense as that, the subtree
-with the highest sum is main text.
+with the highest sum is main text. In these subtrees, what names mark (notices,
+forms, comments) goes too, as dense as it may be, but for wrappers: also those
+that hold most of the body's text outside links. What is marked inside a
+wrapper is looked at by itself. All steps take time linear in the page.
 
 Null and empty pages give an empty text; repeated rows give equal texts. A
 page that ends within a tag, comment or element is read as if it were closed.
+Very long and very deep pages are read whole. Of subtrees with equal sums the
+first counts. An empty table gives no row. Other columns stay; ``out_col``
+replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -94,7 +98,7 @@ class Page:
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self.marks, self.cores = [PLAIN], [""]
         self._read(source)
-        self._leave_out()
+        self.inside = [True] * len(self.tag)
 
     def _read(self, source: str) -> None:
         open_, at, size = [0], 0, len(source)
@@ -113,15 +117,22 @@ class Page:
                     if self.tag[e] in BLOCK:
                         self.events.append((e, None))
 
-        names = ["#page"]  # of open_
+        names, depths = ["#page"], {}  # of open_, and by name where in it
+
+        def opened(name: str) -> None:
+            depths.setdefault(name, []).append(len(names))
+            names.append(name)
+
+        def cut(depth: int) -> None:
+            close(depth)
+            while len(names) > depth:
+                depths[names.pop()].pop()
 
         def find(wanted, within=()) -> int:
-            for d in range(len(names) - 1, 0, -1):
-                if names[d] in wanted:
-                    return d
-                if names[d] in within:
-                    return 0
-            return 0
+            """The innermost open element of a wanted name, if none of the others stands within it."""
+            deepest = lambda of: max((d[-1] for n in of if (d := depths.get(n))), default=0)
+            d = deepest(wanted)
+            return d if d >= deepest(within) else 0
 
         while at < size:
             m = search(source, at)
@@ -135,17 +146,14 @@ class Page:
             tag = m[2].lower()
             if m[1]:
                 if d := find((tag,)):
-                    close(d)
-                    del names[d:]
+                    cut(d)
                 continue
             if tag in _ENDS_P and (d := find(("p",), ("table", "td", "th", "button", "object"))):
-                close(d)
-                del names[d:]
+                cut(d)
             if tag in _SIBLINGS and (d := find(*_SIBLINGS[tag])):
                 while d > 1 and names[d - 1] in _SIBLINGS[tag][0]:
                     d -= 1
-                close(d)
-                del names[d:]
+                cut(d)
             raw_end = None
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
@@ -160,14 +168,14 @@ class Page:
             if out_of or tag in NO_TEXT or raw_end is not None:
                 if not out_of and tag in BLOCK:
                     self.events.append((open_[-1], None))
-                open_.append(-1), names.append(tag)
+                opened(tag), open_.append(-1)
                 out_of = out_of or len(open_) - 0
                 at = at if raw_end is None else raw_end
                 continue
             mark, core = _marked(tag, m[3], article > 0)
             self.marks.append(mark), self.cores.append(core)
             self.tag.append(tag), self.parent.append(open_[-1]), self.last.append(len(self.tag) - 1)
-            open_.append(len(self.tag) - 1), names.append(tag)
+            open_.append(len(self.tag) - 1), opened(tag)
             article += tag in ("article", "main")
             if tag in BLOCK:
                 self.events.append((open_[-1], None))
@@ -180,9 +188,10 @@ class Page:
             linked[e] = self.tag[e] == "a" or linked[self.parent[e]]
         return linked
 
-    def _leave_out(self) -> None:
-        """Takes out what is marked, but for wrappers."""
-        if not any(self.marks):
+    def _leave_out(self, by_name: bool) -> None:
+        """Takes out what is marked, by tag or role or else by a name, but for wrappers."""
+        marked = [bool(m) and (m == BY_NAME) == by_name for m in self.marks]
+        if by_name and not any(marked):
             return
         n, linked = len(self.tag), self._linked()
         free, chars = [0] * n, [0] * n  # characters outside links, and in all
@@ -193,7 +202,8 @@ class Page:
         for e in range(n - 1, 0, -1):
             free[self.parent[e]] += free[e]
             chars[self.parent[e]] += chars[e]
-        most = MOST * free[self.body()]
+        if not by_name:
+            self.most = MOST * free[self.body()]  # of the whole page
         longest = {c: max((free[e] for e in range(n) if self.cores[e] == c), default=0) for c in CORE}
         holds = [bool(c) and chars[e] > 0 and free[e] >= ARTICLE * longest[c] for e, c in enumerate(self.cores)]
         for e in range(n - 1, 0, -1):
@@ -201,7 +211,7 @@ class Page:
         # new: the element's number among those left; events of an element taken out: where its parent's text is broken
         new, left, e = [-1] * n, [], 0
         while e < n:
-            if self.marks[e] and not holds[e] and not (self.marks[e] == BY_NAME and free[e] > most):
+            if marked[e] and not holds[e] and not (by_name and free[e] > self.most):
                 e = self.last[e] + 1
                 continue
             new[e] = len(left)
@@ -219,6 +229,7 @@ class Page:
         self.last = [count[self.last[e] + 1] - 1 for e in left]
         self.parent = [new[self.parent[e]] if e else -1 for e in left]
         self.tag, self.events = [self.tag[e] for e in left], events
+        self.marks, self.cores, self.inside = ([x[e] for e in left] for x in (self.marks, self.cores, self.inside))
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each element, and the sum of its children's."""
@@ -262,19 +273,24 @@ class Page:
         for e in range(1, len(self.tag)):
             holds[self.parent[e]] |= self.tag[e] in BLOCK and self.tag[e] not in VOID
 
-        def best(top: int) -> int:
-            return max((e for e in range(top, self.last[top] + 1) if holds[e] or e == top), key=lambda e: (holds[e], sums[e], -e))
-
-        target = best(body)
+        # of each subtree the best that holds blocks, from the leaves up; without one the subtree itself
+        best = [e if holds[e] else -1 for e in range(len(self.tag))]
+        for e in range(len(self.tag) - 1, 0, -1):
+            p, own = self.parent[e], best[e]
+            if own >= 0 and (best[p] < 0 or (sums[own], -own) > (sums[best[p]], -best[p])):
+                best[p] = own
+        best = [e if own < 0 else own for e, own in enumerate(best)]
+        target = best[body]
         threshold, e = density[target], target
         while e != body and e > 0:
             e = self.parent[e]
             threshold = min(threshold, density[e])
         out, e = [], body
         while e <= self.last[body]:
-            if density[e] >= threshold > 0 and (top := best(e)) >= e and density[top] > 0:
+            if density[e] >= threshold > 0 and density[top := best[e]] > 0:
                 # what stands before the best subtree, inside this element, is looked at by itself
-                out.append((top, self.last[top]))
+                if not out or out[-1][0] != top:
+                    out.append((top, self.last[top]))
                 e = self.last[top] + 1 if top == e else e + 1
                 while out and e <= out[-1][1] and e >= out[-1][0]:
                     e = out[-1][1] + 1
@@ -283,10 +299,13 @@ class Page:
         return out
 
     def text(self) -> str:
-        inside = [False] * len(self.tag)
+        self._leave_out(by_name=False)
+        self.inside = [False] * len(self.tag)
         for a, b in self.main():
-            inside[a:b + 1] = [True] * (b - a + 1)
-        blocks, part = [], []
+            self.inside[a:b + 1] = [True] * (b - a + 1)
+        # inside the main subtrees, what a name marks and density does not part from the article
+        self._leave_out(by_name=True)
+        inside, blocks, part = self.inside, [], []
         for e, text in self.events:
             if text is None:
                 if part:
