@@ -11,9 +11,13 @@ law gives how likely a segment so high is by chance in a text of that length.
 The evidence of a text is that of its significant segments together; a
 logistic fit on training documents turns it into a probability.
 
-The models are fitted on a bounded sample of labelled rows. Only the text of a
-document is an input of its score. Null and empty texts have no segments and
-get the score of a text without evidence. Repeated rows get equal scores.
+The models are fitted on a bounded sample of labelled rows (``TRAIN_DOCS``);
+every term of it that ``LEAST_DOCS`` of its documents have is used. Only the
+text of a document is an input of its score, and the whole of it: a very long
+text takes time and memory in proportion, in one task. Null and empty texts have no segments and
+get the score of a text without evidence. Repeated rows get equal scores, and
+so do tied terms, whatever their order. An empty table gives no rows; without
+labels of both kinds every document has the same small score.
 """
 
 from __future__ import annotations
@@ -35,9 +39,8 @@ from chatlake.llm.common import bounded_sample, python_workers, saved
 #: Labelled documents that the models are fitted on, at most.
 TRAIN_DOCS = 20_000
 #: A token or prefix must stand in so many training documents to be kept, and in so many toxic ones to speak for toxicity.
-LEAST_DOCS = 3
-#: Tokens and prefixes kept at most: those with the most evidence.
-MAX_TERMS = 200_000
+#: This, ``EVIDENT`` and ``NEUTRAL`` have the least log loss on folds of the training labels (tests/llm/toxic_folds.py).
+LEAST_DOCS = 5
 #: Weight of a Dirichlet prior, in documents.
 PRIOR = 4.0
 PREFIXES = range(3, 8)
@@ -45,7 +48,7 @@ PREFIXES = range(3, 8)
 SIGNIFICANT = 0.05
 #: Score of a token that no term speaks of, and of one whose log-odds are between this and ``EVIDENT``.
 NEUTRAL = -0.25
-EVIDENT = 0.5
+EVIDENT = 1.5
 #: A token's log-odds are held within this, so that one token is no proof by itself alone.
 CLIP = 6.0
 
@@ -89,6 +92,36 @@ def evident(counts: dict[str, tuple[int, int]], toxic_docs: int, other_docs: int
     return {k: v if v <= EVIDENT or counts[k][0] >= LEAST_DOCS else 0.0 for k, v in odds.items()}
 
 
+def effective(value: float) -> float:
+    """The score of a token with these log-odds."""
+    return value if value > EVIDENT else min(value, NEUTRAL)
+
+
+def needed(odds: dict[str, float]) -> dict[str, float]:
+    """``odds`` without the terms whose score a token gets from a shorter prefix, or from none, as well."""
+    out: dict[str, float] = {}
+    for term in sorted(odds, key=lambda t: (len(t) - t.endswith("$"), not t.endswith("$"), t)):
+        stem = term.removesuffix("$")
+        shorter = next((out[stem[:k]] for k in reversed(PREFIXES) if k < len(stem) and stem[:k] in out), 0.0)
+        if effective(odds[term]) != effective(shorter):
+            out[term] = odds[term]
+    return out
+
+
+def term_odds(counted: DataFrame, toxic_docs: int, other_docs: int) -> DataFrame:
+    """Term and log-odds of all terms that a scorer needs, from the toxic (t) and
+    other (o) documents of each ``term``. A term takes after its prefixes alone,
+    so those that begin alike are judged together, in tasks."""
+
+    def judged(group: pa.Table) -> pa.Table:
+        counts = {k: (t, o) for k, t, o in zip(*(group.column(c).to_pylist() for c in ("term", "t", "o")))}
+        odds = needed(evident(counts, toxic_docs, other_docs))
+        return pa.table({"term": pa.array(list(odds), pa.string()), "odds": pa.array(list(odds.values()), pa.float64())})
+
+    kept = counted.where(F.col("t") + F.col("o") >= LEAST_DOCS).select("term", "t", "o")
+    return kept.groupBy(F.substring("term", 1, PREFIXES[0])).applyInArrow(judged, "term string, odds double")
+
+
 class Scorer:
     """Scores of tokens, and segments of texts. Words are remembered up to a bound."""
 
@@ -100,7 +133,7 @@ class Scorer:
         got = self.odds.get(w + "$")
         if got is None:
             got = next((self.odds[w[:k]] for k in reversed(PREFIXES) if k < len(w) and w[:k] in self.odds), 0.0)
-        return got if got > EVIDENT else min(got, NEUTRAL)
+        return effective(got)
 
     def scores(self, words: list[str]) -> np.ndarray:
         seen = self._seen
@@ -234,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     count = train.where(part > 0)
     n = dict(count.groupBy("y").count().collect())
     counted = count.select("y", "text").mapInArrow(found, "term string, other long, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    rows = counted.where(F.col("t") + F.col("o") >= LEAST_DOCS).orderBy(F.desc("t"), F.desc("o"), "term").limit(MAX_TERMS).collect()
-    odds = evident({r["term"]: (r["t"], r["o"]) for r in rows}, n.get(1, 0), n.get(0, 0))
+    # a model of a bounded sample: its terms are those of LEAST_DOCS of its documents or more
+    odds = dict(sorted(map(tuple, term_odds(counted, n.get(1, 0), n.get(0, 0)).collect())))
     plain = Scorer(odds)
 
     # texts of any length are reduced in tasks: to a row of moments for each task, then to a row of evidence for each text
@@ -263,7 +296,7 @@ _scorers: dict[str, Scorer] = {}
 def with_score(docs: DataFrame, out_col: str, scorer: Scorer, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct: score, n_passages, passages (start, end token, score, log10 expected)."""
     python_workers(docs.sparkSession)
-    odds = docs.sparkSession.sparkContext.broadcast(scorer.odds)  # at most MAX_TERMS terms
+    odds = docs.sparkSession.sparkContext.broadcast(scorer.odds)  # the terms of a bounded sample
     key = uuid.uuid4().hex
     decay, scale, w = scorer.decay, scorer.scale, [float(x) for x in weights]
 

@@ -220,6 +220,96 @@ def test_toxicity_learns_clean_words():
     assert scorer.token("the") == scorer.token("unknown") == scorer.token("rare") == toxicity.NEUTRAL
 
 
+def toxic_texts(n, seed=11):
+    rng = np.random.default_rng(seed)
+    clean = ["kind", "kinder", "kindness", "table", "tables", "the", "of", "it", "garden", "gardener", "ab", "wort", "wörter"]
+    toxic = ["vile", "vilest", "vileness", "scum", "scummy"]
+    rows = []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = list(rng.choice(clean, 30)) + (list(rng.choice(toxic, 4)) if bad or i % 17 == 0 else [])
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+def test_toxicity_terms_in_groups_equal_all_at_once(spark):
+    rows = toxic_texts(300)
+    counts = {}
+    for _, text, y in rows:
+        for term in {x for w in toxicity.tokens(text) for x in toxicity.terms(w)}:
+            t, o = counts.get(term, (0, 0))
+            counts[term] = (t + y, o + 1 - y)
+    counts["few$"] = (toxicity.LEAST_DOCS - 1, 0)
+    df = spark.createDataFrame([(k, t, o) for k, (t, o) in counts.items()], "term string, t long, o long")
+    got = dict(map(tuple, toxicity.term_odds(df, 75, 225).collect()))
+    del counts["few$"]
+    every = toxicity.evident(counts, 75, 225)
+    assert got == toxicity.needed(every) and 0 < len(got) < len(every)
+    # what is left out changes no token's score, known or not
+    full, least = toxicity.Scorer(every), toxicity.Scorer(got)
+    words = {w for _, text, _ in rows for w in toxicity.tokens(text)} | {w + e for w in ("vil", "kin", "kindn", "scu", "tab", "x", "wör") for e in ("", "e", "s", "est", "xyz", "nessless")}
+    assert {w: full.token(w) for w in words} == {w: least.token(w) for w in words}
+
+
+def test_toxicity_odds_by_definition():
+    counts = {"vil": (40, 4), "vile": (30, 2), "vile$": (20, 1), "vilest$": (6, 0), "of$": (50, 150)}
+    even, prior = 50 / 200, toxicity.PRIOR
+    vil = (40 + prior * even) / (44 + prior)
+    vile = (30 + prior * vil) / (32 + prior)
+    share = {"vil": vil, "vile": vile, "vile$": (20 + prior * vil) / (21 + prior), "vilest$": (6 + prior * vile) / (6 + prior), "of$": (50 + prior * even) / (200 + prior)}
+    logit = lambda p: np.log(p / (1 - p))
+    want = {k: np.clip(logit(p) - logit(even), -toxicity.CLIP, toxicity.CLIP) for k, p in share.items()}
+    got = toxicity.log_odds(counts, 50, 150)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_toxicity_whole_query_against_plain_python(spark):
+    """Scores and passages of the whole chain, with segments found by trying all."""
+    import math
+
+    import xxhash
+
+    rows = toxic_texts(240) + [(900, None, 1), (901, "", 0), (902, "vile scum " * 2500 + "garden", 1), (903, "vile " * 5000, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["s"] for r in toxicity.with_score(docs, "s", *toxicity.fit(docs, labels)).collect()}
+
+    part = {i: 42 % 3 if t is None else (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest()) % 3 for i, t, _ in rows}
+    counts, n = {}, [0, 0]
+    for i, text, y in rows:
+        if part[i]:
+            n[y] += 1
+            for term in {x for w in toxicity.tokens(text) for x in toxicity.terms(w)}:
+                t, o = counts.get(term, (0, 0))
+                counts[term] = (t + y, o + 1 - y)
+    odds = toxicity.evident({k: v for k, v in counts.items() if sum(v) >= toxicity.LEAST_DOCS}, n[1], n[0])
+    plain = toxicity.Scorer(odds)
+    held = [(text, y) for i, text, y in rows if not part[i]]
+    scorer = toxicity.Scorer(odds, *toxicity.extreme_value([toxicity.moments(plain.scores(toxicity.tokens(t)) for t, y in held if not y)]))
+    weights = toxicity.logistic(np.array([scorer.evidence(toxicity.tokens(t)) for t, _ in held]), np.array([float(y) for _, y in held]))
+
+    def every_maximal(scores):
+        """By definition: the best segment, then the same left and right of it."""
+        best = max(((sum(scores[a:b]), a - b, -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        a = -best[2]
+        b = a - best[1]
+        return every_maximal(scores[:a]) + [(a, b)] + [(x + b, y + b) for x, y in every_maximal(scores[b:])]
+
+    for i, text, _ in rows:
+        words = toxicity.tokens(text)
+        z = float(np.dot(scorer.evidence(words), weights[:3]) + weights[3])
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-np.clip(z, -30, 30)))) < 1e-6
+        if len(words) < 100:
+            scores = [round(float(x), 9) for x in scorer.scores(words)]
+            want = [(a, b) for a, b in every_maximal(scores) if scorer.scale * len(words) * math.exp(-scorer.decay * sum(scores[a:b])) < toxicity.SIGNIFICANT]
+            assert [(p["start"], p["end"]) for p in got[i]["passages"]] == want
+    assert got[900]["score"] == got[901]["score"] and got[902]["n_passages"] == 1
+    found = [got[i]["score"] >= 0.5 for i, _, y in toxic_texts(240) if y]
+    assert sum(found) > 0.8 * len(found)
+
+
 def test_extreme_value_from_parts():
     rng = np.random.default_rng(4)
     texts = [rng.choice([-1.5, -0.25, 1.0, 2.0], n, p=[0.3, 0.5, 0.15, 0.05]) for n in (5, 300, 1, 40, 0, 900)]
