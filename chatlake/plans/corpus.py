@@ -17,6 +17,7 @@ from ..operators.parse import parse_lines
 from ..operators.tables import build_tables
 from ..session import scratch_path
 from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_files, corpus_lines
+from ..sources.synth_rules import rule_lines
 
 _BRONZE: dict[tuple, str] = {}
 
@@ -27,7 +28,9 @@ def corpus_entries(spark: SparkSession, sf_dir: str, which: str = "all") -> Data
     path = _BRONZE.get(key)
     if path is None:
         path = scratch_path(spark, "bronze-entries")
-        parse_lines(corpus_lines(spark, sf_dir, which)).write.mode("overwrite").parquet(path)
+        rules = which == "rules"
+        lines = rule_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")) if rules else corpus_lines(spark, sf_dir, which)
+        parse_lines(lines).write.mode("overwrite").parquet(path)
         _BRONZE[key] = path
     return spark.read.parquet(path)
 
@@ -36,6 +39,8 @@ def corpus_tables(spark: SparkSession, sf_dir: str, which: str = "all",
                   extracted_at=None) -> dict[str, DataFrame]:
     """Tables of the corpus rendered from ``sf_dir`` (lazy, over bronze entries)."""
     entries = corpus_entries(spark, sf_dir, which)
+    if which == "rules":
+        return build_tables(entries, price_table(spark, CORPUS_PRICES), extracted_at=extracted_at)
     tables = build_tables(entries, price_table(spark, CORPUS_PRICES),
                           files=corpus_files(spark, sf_dir, which), extracted_at=extracted_at)
     if which in ("all", "conversations"):

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timestamps import iso_text
 
+# The usual CSV form: fields in double quotes, a quote in one doubled.
+CSV_FORM = {"quote": '"', "escape": '"'}
+
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> bool:
     """Write ``df`` as CSV with a header; returns False (and writes nothing)
     when the result is empty, as the reference does. Timestamps are written
-    as ISO-8601 text, arrays as JSON text (F2, F13).
+    as ISO-8601 text, arrays as JSON text (F2, F13). Values are whole: quotes in
+    them are doubled, and white space at their ends and line ends stay.
 
     ``single_file=True`` coalesces to one task: only for small report results.
     """
@@ -29,5 +33,10 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> bool:
     out = df.select(*cols)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(header=True, **CSV_FORM, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return True
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """An exported report as text columns. The form has no mark for NULL: an empty field, quoted or not, reads as NULL."""
+    return spark.read.options(header=True, **CSV_FORM, multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
