@@ -9,7 +9,8 @@ turn: shard sizes in rows differ by one at most (law ``rows``).
 
 Everything is DataFrame operations. Null texts have size 1, null ids are
 dealt like others, and an empty table gives no rows. Equal texts have no
-bearing on where records go.
+bearing on where records go. A very long text makes its own bucket as much
+larger; ties of the seeded hash keep whole records, ordered by their columns.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from chatlake.llm.common import fresh, saved
 SEED = 17
 #: Bytes of text that a bucket holds on average. A task keeps one bucket in memory.
 BUCKET_BYTES = 16 << 20
+#: Tasks that buckets are dealt to, at most (bucket modulo tasks, so that all have as many, or one less).
+MOST_TASKS = 100_000
 #: Buckets up to which the table of their first places (16 bytes each) is broadcast.
 FEW_BUCKETS = 2_000_000
 
@@ -38,7 +41,9 @@ def external_shuffle(docs: DataFrame, shards: int, id_col: str = "doc_id", text_
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id())
     dealt = docs.select(F.struct(order.alias("o"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")).alias(row))
     # pass one: the high bits of the hash choose a bucket; the whole hash orders it before it is shuffled
-    dealt = dealt.withColumn(bucket, F.pmod(F.shiftright(F.col(f"{row}.o"), 8), F.lit(buckets)).cast("int")).repartition(buckets, bucket)
+    dealt = dealt.withColumn(bucket, F.pmod(F.shiftright(F.col(f"{row}.o"), 8), F.lit(buckets)).cast("int"))
+    # each bucket has a task of its own, or, beyond MOST_TASKS, each task buckets of its own
+    dealt = dealt.repartitionById(min(buckets, MOST_TASKS), bucket)
     # pass two; sorted by bucket in each task, so that a task that runs again draws the same numbers
     whole = dealt.groupBy(bucket).agg(F.array_sort(F.collect_list(row)).alias(row)).sortWithinPartitions(bucket)
     mixed = whole.select(bucket, F.posexplode(F.shuffle(F.transform(row, lambda x: x["r"]), seed)).alias(place, row))

@@ -331,6 +331,19 @@ def test_secrets_partly_in_base_spans(spark):
         assert got[i + 2] == (f"{kind}:4:{4 + len(found)}", "see [SECRET] there")  # covered whole: only the base span
 
 
+@pytest.mark.parametrize("tasks", [100_000, 3])
+def test_shards_buckets_have_their_own_task(spark, monkeypatch, tasks):
+    monkeypatch.setattr(shards, "MOST_TASKS", tasks)
+    seen = []
+    monkeypatch.setattr(shards, "saved", lambda df, name: seen.append(df.withColumn("task", F.spark_partition_id())) or df)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    rows = shards.external_shuffle(docs, 7, bucket_bytes=20_000).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((i % 7, i // 7) for i in range(600))
+    assert sorted(r["doc_id"] for r in rows) == list(range(600))
+    buckets = {r["bucket0"]: r["task"] for r in seen[0].select("bucket0", "task").distinct().collect()}
+    assert len(buckets) == 11 and buckets == {b: b % min(tasks, 11) for b in range(11)}
+
+
 @pytest.mark.parametrize("kind", ["pairs", "words"])
 def test_language_model_lost_part_is_an_error(docs, kind):
     model = language_model.train(docs)
