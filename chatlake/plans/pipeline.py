@@ -7,6 +7,8 @@ Storage (plain Parquet, no MERGE needed)::
     <root>/<gen>/<table>/batch_id=<b>/    rows of the 8 tables written by b
     <root>/<gen>/quarantine/batch_id=<b>/ skipped lines with a reason
     <root>/<gen>/shared_calls/batch_id=<b>/ tool-call ids that b found in several sessions
+    <root>/<gen>/merged/batch_id=<b>/     the batches whose rows b has taken over (plans/tiers.py)
+    <root>/<gen>/partials/<part>/…        stored sums for the reports (plans/partials.py)
 
 Every batch only *appends* its own partition (written with overwrite, so a
 retried batch replaces exactly its own files). ``etl_state`` (the manifest)
@@ -181,6 +183,20 @@ class TableRoot:
         return (st.groupBy("file_path").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
                 .select("file_path", "s.*"))
 
+    def live_batches(self, gen: str) -> list[str]:
+        """Batches in the manifest, oldest first, without those that a merge took over.
+
+        A name for each run of the job. A merge counts once its own manifest is there."""
+        done = {r[0] for r in self.read(gen, "etl_state").select("batch_id").distinct().collect()}
+        merged = self.read(gen, "merged")
+        if "input" in merged.columns:
+            done -= {r["input"] for r in merged.collect() if r["batch_id"] in done}
+        return sorted(done)
+
+    def manifest(self, gen: str) -> DataFrame:
+        """The manifest rows of the live batches that hold their session's rows."""
+        return self.read(gen, "etl_state").filter(~F.col("is_loser") & F.col("batch_id").isin(self.live_batches(gen)))
+
     def project_paths(self, gen: str) -> DataFrame:
         """The path seen for each project folder, over all batches."""
         rows = self.read(gen, "project_dirs")
@@ -204,8 +220,7 @@ class TableRoot:
             # manifest row for it, so the latest such batch is the session's
             # current one; no per-file reduction of the manifest is needed.
             if "w" not in memo:
-                st = self.read(gen, "etl_state").filter(~F.col("is_loser"))
-                memo["w"] = st.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
+                memo["w"] = self.manifest(gen).groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
             return memo["w"]
 
         def session_view(t):
@@ -216,9 +231,8 @@ class TableRoot:
             batch) pairs that a later batch replaced: the rows themselves stay
             where they are, and partitions of unfinished batches are pruned."""
             if "old" not in memo:
-                st = self.read(gen, "etl_state").filter(~F.col("is_loser"))
-                # a name for each run of the job
-                memo["batches"] = [r[0] for r in st.select("batch_id").distinct().collect()]
+                memo["batches"] = self.live_batches(gen)
+                st = self.read(gen, "etl_state").filter(~F.col("is_loser") & F.col("batch_id").isin(memo["batches"]))
                 pairs = (st.groupBy("session_id").agg(F.max("batch_id").alias("latest"), F.collect_set("batch_id").alias("seen"))
                          .filter(F.size("seen") > 1)
                          .select("session_id", F.explode(F.array_remove("seen", F.col("latest"))).alias("batch_id")))
@@ -279,6 +293,14 @@ class RunResult:
     summary: dict = field(default_factory=dict)
 
 
+def shared_ids(store: TableRoot, gen: str) -> DataFrame:
+    """The tool-call ids that batches so far have found in several sessions."""
+    shared = store.read(gen, "shared_calls")
+    if "tool_call_id" not in shared.columns:
+        return store.spark.createDataFrame([], "tool_call_id string")
+    return shared.select("tool_call_id").distinct()
+
+
 def _shared_calls(store: TableRoot, gen: str, batch: str) -> DataFrame:
     """The tool-call ids of a batch that several sessions have, in it or in the batches before it.
 
