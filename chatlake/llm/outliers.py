@@ -3,13 +3,15 @@
 Every statistic is a DataFrame expression; no Python runs on the executors.
 For each (language, source) the location and scatter of the transformed
 statistic vectors come from minimum-covariance-determinant steps: from
-median and MAD, keep the fraction ``core`` of the rows with the least
-Mahalanobis distance, take their mean and covariance, and again. Documents
+three starts about the medians, keep the fraction ``core`` of the rows with the least
+Mahalanobis distance, take their mean and covariance, and again until the
+determinant stops falling; the start that ends with the least one is used. Documents
 farther than ``cutoff`` are rejected. Sources with few documents take the
 estimate of their language, and languages with few that of all documents.
 
 Null texts have no words and fail the base rule; null languages or sources
-are groups of their own. Repeated rows count each.
+are groups of their own. Repeated rows count each, and rows tied at the core's edge
+are all in it. Texts are taken whole, however long; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from chatlake.llm.common import SPACE, fresh, saved
 
 MIN_WORDS = 50
 CORE = 0.75
-STEPS = 3
+#: Starts, and steps from each at most; a group stops earlier, once the logarithm of its
+#: determinant falls by less than LEAST_FALL.
+STARTS = 3
+STEPS = 30
+LEAST_FALL = 1e-3
 #: Squared distance beyond which a document is rejected: far out in the tail
 #: of the chi-squared law, as honest statistics have heavier tails than it.
 CUTOFF = 60.0
@@ -138,14 +144,76 @@ def _start(rows: DataFrame) -> DataFrame:
         (F.pow(F.lit(_MAD) * F.col(f"mad_{i}"), 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)])
 
 
+def _starts(rows: DataFrame, plain: DataFrame) -> DataFrame:
+    """Deterministic starts, all about the medians: the MADs alone (0), and with the
+    correlations of the hyperbolic tangents (1) and of the directions (2) of the standardised rows."""
+    p = range(len(VECTOR))
+    z = rows.join(plain, "grp").select("grp", *[((F.col(v) - F.col(f"mu_{i}")) / F.sqrt(F.col(f"s_{i}_{i}"))).alias(f"z_{i}") for i, v in enumerate(VECTOR)])
+    norm = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in p), F.lit(0.0)))
+    z = z.select("grp", *[F.tanh(f"z_{i}").alias(f"a1_{i}") for i in p], *[F.when(norm > 0, F.col(f"z_{i}") / norm).otherwise(0.0).alias(f"a2_{i}") for i in p])
+    cov = z.groupBy("grp").agg(*[F.covar_pop(f"a{k}_{i}", f"a{k}_{j}").alias(f"c{k}_{i}_{j}") for k in (1, 2) for i in p for j in range(i + 1)])
+    both = plain.join(_by_group(cov), "grp")
+
+    def scatter(k: int, i: int, j: int) -> Column:
+        if i == j or k == 0:
+            return F.col(f"s_{i}_{j}")
+        spread = F.col(f"c{k}_{i}_{i}") * F.col(f"c{k}_{j}_{j}")
+        return F.when(spread > 0, F.col(f"c{k}_{i}_{j}") / F.sqrt(spread)).otherwise(0.0) * F.sqrt(F.col(f"s_{i}_{i}") * F.col(f"s_{j}_{j}"))
+
+    return both.select("grp", *[f"mu_{i}" for i in p], F.explode(F.array(*[
+        F.struct(F.lit(k).alias("start"), *[scatter(k, i, j).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)]) for k in range(STARTS)])).alias("s")
+        ).select("grp", *[f"mu_{i}" for i in p], "s.*")
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     """Mean and covariance of the core rows, the latter with the floor on its diagonal."""
     p = range(len(VECTOR))
-    return rows.groupBy("grp").agg(
+    return rows.groupBy("grp", "start").agg(
         *[F.avg(v).alias(f"mu_{i}") for i, v in enumerate(VECTOR)],
         *[(F.covar_pop(VECTOR[i], VECTOR[j]) * _CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)])
 
 
+def _fitted(model: DataFrame) -> DataFrame:
+    """The model with its factor and the logarithm of its determinant."""
+    model = _factor(model)
+    return model.withColumn("logdet", sum((2 * F.log(f"l_{j}_{j}") for j in range(1, len(VECTOR))), 2 * F.log("l_0_0")))
+
+
+def _edges(fit: DataFrame, model: DataFrame, core: float) -> DataFrame:
+    """The distance that holds the fraction ``core`` of each group's rows, up to the next of
+    fixed steps of 1/64 in its logarithm: counts, so the order of the rows does not matter."""
+    step = F.ceil(F.log(F.greatest(_distance(), F.lit(1e-12))) * 64).cast("int")
+    counts = fit.join(model, "grp").groupBy("grp", "start", step.alias("b")).agg(F.count("*").alias("n"))
+    steps = counts.groupBy("grp", "start").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"), F.sum("n").alias("all"))
+    # at most a few thousand steps for each, from 1e-12 up
+    found = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("b")), lambda a, x: F.struct(
+        (a["n"] + x["n"]).alias("n"), F.coalesce(a["b"], F.when(a["n"] + x["n"] >= F.lit(core) * F.col("all"), x["b"])).alias("b")))
+    return steps.select("grp", "start", found["b"].alias("edge"))
+
+
+def _determinants(fit: DataFrame, core: float, steps: int) -> DataFrame:
+    """Steps from every start until no determinant falls any more, all groups in the
+    same aggregations; each group's fit of least determinant (ties: the first start)."""
+    step = F.ceil(F.log(F.greatest(_distance(), F.lit(1e-12))) * 64).cast("int")
+    model = _by_group(_fitted(_starts(fit, _by_group(_start(fit)))))
+    best = None
+    for _ in range(steps):
+        edges = _by_group(_edges(fit, model, core))
+        near = fit.join(model, "grp").join(edges, ["grp", "start"]).where(step <= F.col("edge"))
+        new = _by_group(_fitted(_moments(near.select("grp", "start", *VECTOR))))
+        if best is None:
+            best, model = new, new
+            continue
+        was = best.select("grp", "start", F.col("logdet").alias("was"))
+        falls = new.join(was, ["grp", "start"]).where(F.col("logdet") < F.col("was") - LEAST_FALL)
+        model = _by_group(falls.select(*new.columns))
+        if model.isEmpty():
+            break
+        best = _by_group(best.join(model.select("grp", "start"), ["grp", "start"], "left_anti").unionByName(model))
+    cols = [c for c in best.columns if c != "grp"]
+    return best.groupBy("grp").agg(F.min_by(F.struct(*cols), F.struct("logdet", "start")).alias("m")).select("grp", "m.*")
+
+
 def _grouped(rows: DataFrame, lang_col: str, source_col: str, min_group: int) -> DataFrame:
     """Adds grps, the names of the (language, source), the language and all rows,
     and grp, the first of these with enough rows."""
@@ -173,11 +241,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     # each estimate in use is fitted on all rows of its language, or of the table, not on those of small sources alone
     fit = (rows.where(~F.col("base_failed")).select(F.explode("grps").alias("grp"), *VECTOR)
            .join(_by_group(rows.select("grp").distinct()), "grp", "left_semi"))
-    model = _by_group(_factor(_start(fit)))
-    for _ in range(steps):
-        near = saved(fit.join(model, "grp").select("grp", *VECTOR, _distance().alias("d2")), "rules-near")
-        edge = _by_group(near.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("edge")))
-        model = _by_group(_factor(_moments(near.join(edge, "grp").where("d2 <= edge"))))
+    model = _by_group(_determinants(saved(fit, "rules-fit"), core, steps))
     scored = rows.join(model, "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return scored.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
