@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 from .config import load_config
 from .functions.pricing import merge_prices
 from .plans import pipeline, reports as R
+from .plans.partials import refresh
+from .plans.tiers import FANOUT, compact_tiers
 from .plans.sqlsurface import run_sql
 from .session import apply_engine_conf
 from .sources.export import export_csv
@@ -63,6 +65,10 @@ def main(argv: list[str] | None = None) -> int:
     rp.add_argument("--single-file", action="store_true", help="export a small report as one file, by one task")
     cp = sub.add_parser("compact", help="rewrite the current views as one batch")
     cp.add_argument("--root", required=True)
+    cp.add_argument("--tiers", action="store_true", help="merge only neighbouring batches of like size")
+    cp.add_argument("--fanout", type=int, default=FANOUT, help="batches of one size that become one (with --tiers)")
+    rf = sub.add_parser("refresh", help="bring the sums for stored reports up to the current views")
+    rf.add_argument("--root", required=True)
     a = ap.parse_args(argv)
 
     spark = _spark()
@@ -98,8 +104,13 @@ def main(argv: list[str] | None = None) -> int:
             print("exported" if export_csv(df, a.export, single_file=a.single_file) else "no rows, nothing written")
         else:
             _print(df)
+    elif a.cmd == "compact" and a.tiers:
+        for batch, inputs, n in compact_tiers(spark, a.root, fanout=a.fanout):
+            print(f"{batch}\t{len(inputs)} batches\t{n} bytes")
     elif a.cmd == "compact":
         print(pipeline.compact(spark, a.root))
+    elif a.cmd == "refresh":
+        print(refresh(spark, a.root) or "nothing has changed")
     return 0
 
 
