@@ -149,3 +149,30 @@ def test_chosen_files_are_read_in_ranges(spark, tmp_path):
         got.setdefault(r.file_path, {})[r.line_num] = r.value
     assert {p: [v[i] for i in range(len(v))] for p, v in got.items()} == want
     assert T.read_lines(spark, chosen.limit(0)).count() == 0
+
+
+def test_code_transcripts_leave_no_paths_on_the_driver(spark, tmp_path):
+    from chatlake import schemas
+    from chatlake.plans import pipeline
+    want = {}
+    for k in range(300):
+        path = tmp_path / f"projects/-p-{k % 3}/s{k}.jsonl"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("".join(f"{k} {i}\n" for i in range(k % 4)))
+        want[str(path)] = {i: f"{k} {i}" for i in range(k % 4)}
+    for other in ("projects/loose.jsonl", "projects/-p-0/deep/er.jsonl", "projects/-p-0/.hidden.jsonl", "projects/-p-0/_hidden.jsonl", "projects/-p-0/a.txt"):
+        (tmp_path / other).parent.mkdir(exist_ok=True)
+        (tmp_path / other).write_text("x\n")
+    found = T.discover_code_files(spark, str(tmp_path))
+    assert {r.file_path for r in found.collect()} == set(want)
+    # files that a plan names are listed on the driver: here those of the listing alone
+    assert len(found.inputFiles()) < 50
+    chosen = found.select(*schemas.FILE_COLS)
+    lines = pipeline.DiskSource(claude_dir=str(tmp_path)).lines(spark, chosen, whole=True)
+    assert len(lines.inputFiles()) < 50
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.file_path, {})[r.line_num] = r.value
+        assert (r.session_id, r.project_dir_name) == tuple(r.file_path.removesuffix(".jsonl").split("/")[:-3:-1])
+    assert got == {p: v for p, v in want.items() if v}
+    assert T.discover_code_files(spark, f"{tmp_path}/none").count() == 0
