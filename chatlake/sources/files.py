@@ -14,6 +14,7 @@ out. :func:`reachable` tells whether a folder's file system is one of these.
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -310,3 +311,36 @@ def read_whole(files: DataFrame) -> DataFrame:
 
     return (files.select("path").repartition(int(min(max(1, -(-files.count() // 256)), 10_000)), "path")
             .mapInArrow(run, "path string, text binary").withColumn("text", F.col("text").cast("string")))
+
+
+def write_lines(rows: DataFrame, root: str) -> int:
+    """Files under ``root`` from their lines (path below it, value); returns their number.
+
+    All lines of a file are beside each other in one task, in order. A file is one stream,
+    written a line at a time; a task that runs again puts the same files in place."""
+    def write(batches):
+        fs, top = _open(root.rstrip("/"))
+        own, at, out, made = None, None, None, set()
+        for batch in batches:
+            written = []
+            for p, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != at:
+                    if out is not None:
+                        out.close()
+                        fs.move(own, f"{top}/{at}")
+                        written.append(at)
+                    at, own = p, f"{top}/{p}.{uuid.uuid4().hex}"
+                    folder = own.rpartition("/")[0]
+                    if folder not in made:
+                        fs.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    out = fs.open_output_stream(own)
+                out.write(line.encode() + b"\n")
+            yield pa.RecordBatch.from_pydict({"path": pa.array(written, pa.string())})
+        if out is not None:
+            out.close()
+            fs.move(own, f"{top}/{at}")
+            yield pa.RecordBatch.from_pydict({"path": [at]})
+
+    ship_package(rows.sparkSession)
+    return rows.select("path", "value").mapInArrow(write, "path string").agg(F.count("path")).first()[0]

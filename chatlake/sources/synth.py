@@ -31,16 +31,13 @@ assistant line per event in session ``u<user_id>-<day>``, ordered by
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordinal import dense_position
 from ..session import joins_by_seen_size, spread
+from . import files
 
 #: Turns of conversations that a task renders and parses.
 TURNS_EACH = 20_000
@@ -300,8 +297,6 @@ def write_corpus_files(spark: SparkSession, sf_dir: str, root: str) -> int:
     ``claude/projects/<project dir>/<session>.jsonl``, and for each cowork
     conversation ``cowork/local_<conv_id>.json`` (its sidecar) beside
     ``cowork/local_<conv_id>/.claude/projects/<project dir>/<session>.jsonl``.
-    A file is one stream, so one task writes it, a line at a time; a task that
-    runs again puts the same files in place.
     """
     lines = corpus_lines(spark, sf_dir)
     name = F.concat("project_dir_name", F.lit("/"), "session_id", F.lit(".jsonl"))
@@ -313,31 +308,5 @@ def write_corpus_files(spark: SparkSession, sf_dir: str, root: str) -> int:
         F.col("sidecar_text").alias("value"))
     rows = (lines.select(path.alias("path"), "line_num", "value").unionByName(sidecars)
             .repartition("path").sortWithinPartitions("path", "line_num").select("path", "value"))
-    base = root if "://" in root else "file://" + root.removeprefix("file:")
-
-    def write(batches):
-        fs, top = pafs.FileSystem.from_uri(base)
-        own, at, out, made = None, None, None, set()
-        for batch in batches:
-            written = []
-            for p, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if p != at:
-                    if out is not None:
-                        out.close()
-                        fs.move(own, f"{top}/{at}")
-                        written.append(at)
-                    at, own = p, f"{top}/{p}.{uuid.uuid4().hex}"
-                    folder = own.rpartition("/")[0]
-                    if folder not in made:
-                        fs.create_dir(folder, recursive=True)
-                        made.add(folder)
-                    out = fs.open_output_stream(own)
-                out.write(line.encode() + b"\n")
-            yield pa.RecordBatch.from_pydict({"path": pa.array(written, pa.string())})
-        if out is not None:
-            out.close()
-            fs.move(own, f"{top}/{at}")
-            yield pa.RecordBatch.from_pydict({"path": [at]})
-
     with joins_by_seen_size(spark):
-        return rows.mapInArrow(write, "path string").agg(F.count("path")).first()[0]
+        return files.write_lines(rows, root)

@@ -3,6 +3,7 @@
 import os
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chatlake.plans import pipeline
 from chatlake.sources import files, transcripts as T
@@ -82,3 +83,30 @@ def test_runs_do_not_broadcast_by_file_size(spark, tmp_path):
     res = pipeline.run(spark, Source(str(tmp_path)), f"{tmp_path}/out", mode="full")
     assert seen == [("-1", str(10 << 20))] and res.summary["messages"] == 1
     assert spark.conf.get(key) == old and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_team_exports_have_a_file_for_each_user(spark, tmp_path):
+    from chatlake.sources.team import DAILY_COLUMNS, DAILY_SCHEMA, export_team, read_team_exports
+    users = [f"u{k}" for k in range(40)] + [f"x{chr(c)}y" for c in (*range(1, 128), 233, 8364) if chr(c) not in "\n\r"] + ["", None, "a%2Fb", "%25", "..z"]
+    rows = [(u, f"2026-01-{d:02d}", d, d / 7, 1e-9 * d if d % 3 else None, k) for k, u in enumerate(users) for d in range(1, 9)]
+    df = (spark.createDataFrame(rows, "user string, day string, sessions long, hours double, cost double, messages long")
+          .withColumn("day", F.col("day").cast("date")).repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export_team(df, f"{tmp_path}/own")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    df.select("user", *DAILY_COLUMNS).write.option("header", True).partitionBy("user").csv(f"{tmp_path}/spark")
+    kept = {n: [f for f in os.listdir(f"{tmp_path}/own/{n}") if not f.startswith(".")] for n in os.listdir(f"{tmp_path}/own") if n.startswith("user=")}
+    assert set(kept) == {n for n in os.listdir(f"{tmp_path}/spark") if n.startswith("user=")}
+    assert all(len(f) == 1 for f in kept.values())  # was one for each user and task
+    want = sorted(str((None if u == "" else u, *v)) for u, *v in rows)
+    for folder in ("own", "spark"):
+        back = read_team_exports(spark, f"{tmp_path}/{folder}")
+        assert back.schema.simpleString() == f"struct<user:string,{DAILY_SCHEMA.replace(', ', ',').replace(' ', ':').replace('long', 'bigint')}>"
+        assert sorted(str((r.user, str(r.day), r.sessions, r.hours, r.cost, r.messages)) for r in back.collect()) == want
+        assert len(back.inputFiles()) < 50  # no path of a user on the driver
+    export_team(df.filter("user = 'u1'"), f"{tmp_path}/own")  # replaces what was there
+    assert {r.user for r in read_team_exports(spark, f"{tmp_path}/own").collect()} == {"u1"}
+    export_team(df.limit(0), f"{tmp_path}/own")
+    assert read_team_exports(spark, f"{tmp_path}/own").count() == 0
