@@ -15,7 +15,7 @@ from ..functions.pricing import price_table
 from ..operators.cowork import build_cowork_sessions
 from ..operators.parse import parse_lines
 from ..operators.tables import build_tables
-from ..session import scratch_path, spread
+from ..session import joins_by_seen_size, scratch_path, spread
 from ..sources.synth import CORPUS_PRICES, conversation_sidecars, corpus_files, corpus_lines
 from ..sources.synth_rules import rule_lines
 
@@ -36,7 +36,8 @@ def corpus_entries(spark: SparkSession, sf_dir: str, which: str = "all") -> Data
         else:
             lines = corpus_lines(spark, sf_dir, which)
         # zstd: texts stand in several lines of a session, which a longer window finds
-        parse_lines(lines).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with joins_by_seen_size(spark):
+            parse_lines(lines).write.mode("overwrite").option("compression", "zstd").parquet(path)
         _BRONZE[key] = path
     return spark.read.parquet(path)
 
