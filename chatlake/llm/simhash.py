@@ -13,7 +13,9 @@ radius 1 each unordered pair of segment values is met once.
 A table entry under which many fingerprints stand ("crowded") is not joined
 with all of them: there the lookups go on to the ball of what is left of the
 radius in the other segment, and meet exact fingerprints only. So no join
-emits more than a fixed number of rows for each fingerprint.
+emits more than a fixed number of rows for each fingerprint. Lookups are
+hundreds of times the file that they are made from, by whose size Spark would
+broadcast them: the first join is sorted, the last may broadcast its other side.
 
 Components are found by alternating large-star and small-star steps, each
 written to the shared scratch folder.
@@ -95,7 +97,7 @@ def links(fps: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
               .where("b.m & key = 0").select("fp", "k", F.expr("key | b.m").alias("key"), "b.d"))
     sizes = table.groupBy("k", "key").agg(F.count("*").alias("n"))
     # a lookup of its own value that finds itself alone leads nowhere
-    met = saved(probes.join(sizes, ["k", "key"]).where("n > 1 OR d > 0"), "simhash-met")
+    met = saved(probes.hint("merge").join(sizes, ["k", "key"]).where("n > 1 OR d > 0"), "simhash-met")
     distance = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     plain = (met.where(F.col("n") <= crowded).join(table.withColumnRenamed("fp", "other"), ["k", "key"])
              .where((F.col("fp") != F.col("other")) & (distance(F.col("fp"), F.col("other")) <= radius)).select("fp", "other"))
@@ -104,7 +106,7 @@ def links(fps: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
              .where(F.col("d0") + F.col("b.d") <= radius)
              .select("fp", F.when(F.col("k") == 0, F.shiftleft(_segment(F.col("fp"), 1).bitwiseXOR(F.col("b.m")), HALF).bitwiseOR(F.col("key")))
                      .otherwise(F.shiftleft(F.col("key"), HALF).bitwiseOR(_segment(F.col("fp"), 0).bitwiseXOR(F.col("b.m")))).alias("other"))
-             .where("fp != other").join(fps.select(F.col("fp").alias("other")), "other").select("fp", "other"))
+             .where("fp != other").join(fps.select(F.col("fp").alias("other")), "other", "left_semi").select("fp", "other"))
     return plain.unionByName(exact).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 

@@ -48,6 +48,25 @@ def test_simhash_crowded_entries_lose_no_link(spark):
         assert {tuple(r) for r in simhash.links(df, crowded=crowded).collect()} == want
 
 
+def test_simhash_lookups_are_not_broadcast_by_the_size_of_a_file(spark, tmp_path, monkeypatch):
+    rng, plans = np.random.default_rng(5), []
+    near = {(7 << 32) ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 32, (60, 2))}
+    fps = near | {int(x) for x in rng.integers(0, 1 << 62, 300)}
+    spark.createDataFrame([(x,) for x in fps], "fp long").write.parquet(f"{tmp_path}/fps")
+    write = simhash.saved
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "saved", lambda df, name: plans.append(plan(df)) or write(df, name))
+    out = simhash.links(spark.read.parquet(f"{tmp_path}/fps"), crowded=3)
+    for p in (*plans, plan(out)):  # a node that is broadcast is followed by deeper ones
+        lines = p.splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth = [len(x) - len(x.lstrip(" :+-")) for x in lines[i:]]
+                below = lines[i:i + next((k for k, d in enumerate(depth) if k and d <= depth[0]), len(depth))]
+                assert not [x for x in below if "Generate explode([[" in x]
+    assert plans and {tuple(r) for r in out.collect()} == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 9)]
     got = {tuple(r) for r in simhash.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()}
