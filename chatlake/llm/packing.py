@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ MAX_TOKENS = 2048
 GROUP_PIECES = 8000
 #: Words that are given to the tokenizer whole, and parts of words, whose ids a worker remembers.
 MAX_WORDS, MAX_PARTS = 600_000, 1_500_000
+#: Characters that are encoded together: the arrays beside them take some hundred bytes for each. A longer text goes by itself.
+SLICE_CHARS = 1 << 18
 END = b"\0\0\0\0"
 
 # Fixed value: how the tokenizer of this vocabulary splits a lower-cased word.
@@ -71,7 +74,8 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # in the order of the hashes: these, and the entries they have below
+        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.whole = 0
         self.sizes, self.begins, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -79,14 +83,16 @@ class _Encoder:
         return [np.array(e.ids, dtype=np.uint32) for i in range(0, len(texts), 4096)
                 for e in self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
 
-    def learn(self, hashes: list[int], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+    def learn(self, hashes: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         sizes = np.concatenate(sizes).astype(np.int64)
-        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
+        place, n = np.searchsorted(self.hashes, hashes), len(self.hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.entries = np.insert(self.entries, place, np.arange(n, n + len(hashes), dtype=np.int32))
         self.begins = np.append(self.begins, len(self.pool) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
         self.pool = np.concatenate([self.pool, *ids])
 
-    def learn_plain(self, hashes: list[int], parts: list[str]) -> None:
+    def learn_plain(self, hashes: np.ndarray, parts: list[str]) -> None:
         """Parts without a digit: many in one text, told apart by the id of a digit between."""
         for i in range(0, len(parts), 4096):
             ids, = self._ids([" 0 ".join(parts[i:i + 4096])])
@@ -94,7 +100,7 @@ class _Encoder:
             edges = np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])
             self.learn(hashes[i:i + 4096], [ids[~between]], [np.diff(edges) - 1])
 
-    def learn_whole(self, hashes: list[int], words: list[str]) -> None:
+    def learn_whole(self, hashes: np.ndarray, words: list[str]) -> None:
         """Words as they are, and digits."""
         if words:
             ids = self._ids(words)
@@ -127,17 +133,18 @@ class _Encoder:
             # not the hash of a part with the same characters
             hashes = np.concatenate([hashes[stays], ~range_hashes(codes, a, b)])
         uniq, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MAX_PARTS or self.whole > MAX_WORDS:
+        if len(self.hashes) > MAX_PARTS or self.whole > MAX_WORDS:
             self.forget()
-        names = uniq.tolist()
-        new = [k for k, h in enumerate(names) if h not in self.known]
-        if new:
+        place = np.searchsorted(self.hashes, uniq)
+        of = np.flatnonzero((place == len(self.hashes)) | (np.append(self.hashes, np.uint64(0))[place] != uniq))
+        if len(of):
             lowered = lower.tobytes().decode("utf-32-le")
-            where, of = first[new], np.array(new)
+            where = first[of]
             plain = (where < n_parts) & (kind[begin[where]] != _NUMBER)
-            self.learn_plain([names[k] for k in of[plain]], [lowered[a:b] for a, b in zip(begin[where[plain]].tolist(), end[where[plain]].tolist())])
-            self.learn_whole([names[k] for k in of[~plain]], [(lowered if f < n_parts else text)[begin[f]:end[f]] for f in where[~plain].tolist()])
-        entry = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[at]
+            self.learn_plain(uniq[of[plain]], [lowered[a:b] for a, b in zip(begin[where[plain]].tolist(), end[where[plain]].tolist())])
+            self.learn_whole(uniq[of[~plain]], [(lowered if f < n_parts else text)[begin[f]:end[f]] for f in where[~plain].tolist()])
+            place = np.searchsorted(self.hashes, uniq)
+        entry = self.entries[place][at]
         if len(begin) > n_parts:
             order = np.argsort(begin, kind="stable")
             begin, entry = begin[order], entry[order]
@@ -196,6 +203,17 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     return [ids[a:b - 1].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
 
+def _slices(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of at most SLICE_CHARS characters, or of one text."""
+    out, begin, chars = [], 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "") + 1
+        if chars > SLICE_CHARS and i > begin:
+            out.append((begin, i))
+            begin, chars = i, len(t or "") + 1
+    return [*out, (begin, len(texts))] if texts else out
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
            max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, and with
@@ -209,14 +227,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         size = 4 * max_tokens
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            flat, edges = _encoder(tokenizer_path).encode(batch.column(1).to_pylist())
-            for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                raw = flat[a:b].tobytes()  # ends with END
-                for k, i in enumerate(range(0, len(raw), size)):
-                    cut = raw[i:i + size]
-                    at.append(row), piece.append(k), start.append(i // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-                    if with_ids:
-                        ids.append(cut)
+            texts = batch.column(1).to_pylist()
+            for first, last in _slices(texts):
+                flat, edges = _encoder(tokenizer_path).encode(texts[first:last])
+                for row, (a, b) in enumerate(zip(edges[:-1], edges[1:]), first):
+                    raw = flat[a:b].tobytes()  # ends with END
+                    for k, i in enumerate(range(0, len(raw), size)):
+                        cut = raw[i:i + size]
+                        at.append(row), piece.append(k), start.append(i // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+                        if with_ids:
+                            ids.append(cut)
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names=schema.names)
 
@@ -271,15 +291,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
 
     def one(group: pa.Table) -> pa.Table:
-        g = group.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        lengths = g["length"].to_numpy()
+        # the ids stay where they are: rows are placed by the order of the narrow columns
+        rows = pc.sort_indices(group.select(list(dict.fromkeys(("length", id_col, "piece", "ids_crc32")))), sort_keys=[
+            ("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
+        lengths = group["length"].to_numpy()[rows]
         local = best_fit(lengths, max_tokens, max_docs, max_attention, weights, rule)
         order = np.argsort(local, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         first = np.r_[True, np.diff(local[order]) != 0]
-        offset = np.empty(len(local), dtype=np.int64)
-        offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        sequence = g["grp"].to_numpy().astype(np.int64) * (1 << 32) + local
-        return g.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        offset, sequence = np.empty(len(local), dtype=np.int64), np.empty(len(local), dtype=np.int64)
+        offset[rows[order]] = before - np.maximum.accumulate(np.where(first, before, 0))
+        sequence[rows] = local
+        sequence += group["grp"].to_numpy().astype(np.int64) * (1 << 32)
+        return group.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return dealt.groupBy("grp").applyInArrow(one, schema)

@@ -1,5 +1,7 @@
 """Tokens word by word against the whole text, and the constraints of best fit."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -49,3 +51,25 @@ def test_full_sequences():
     lengths = np.sort(np.random.default_rng(2).lognormal(3, 1, 2000).astype(int).clip(1, 200))[::-1]
     at = packing.best_fit(lengths, 200, 200, 40_000, (1.0, 0.05, 0.05))
     assert at.max() + 1 <= -(-lengths.sum() // 200) + 1
+
+
+def test_known_parts_and_slices_are_small():
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(40_000)]
+    texts = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+    encoder = packing._Encoder(PATH)
+    tracemalloc.start()
+    try:
+        for t in texts:
+            encoder.encode([t])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * len(set(words))
+    ids, edges = encoder.encode(texts[:3] + [None, ""])
+    for t, a, b in zip([*texts[:3], "", ""], edges[:-1], edges[1:]):
+        assert ids[a:b].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    many = [*["a" * 100_000] * 5, None, "b" * 1_000_000, ""]
+    cut = packing._slices(many)
+    assert [x for a, b in cut for x in range(a, b)] == list(range(len(many))) and packing._slices([]) == []
+    assert all(b - a == 1 or sum(len(t or "") for t in many[a:b]) <= packing.SLICE_CHARS for a, b in cut) and len(cut) == 5
