@@ -1,11 +1,15 @@
 """The disk path at size: rounds of a listing, lines of many files split at once, joins not broadcast by file size."""
 
+import datetime as dt
 import os
+import time
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from chatlake.plans import pipeline
+import __spark_entry__ as entry
+from chatlake.plans import corpus, pipeline
 from chatlake.sources import files, transcripts as T
 from conftest import write_jsonl
 
@@ -110,3 +114,96 @@ def test_team_exports_have_a_file_for_each_user(spark, tmp_path):
     assert {r.user for r in read_team_exports(spark, f"{tmp_path}/own").collect()} == {"u1"}
     export_team(df.limit(0), f"{tmp_path}/own")
     assert read_team_exports(spark, f"{tmp_path}/own").count() == 0
+
+
+def _corpus(spark, folder) -> str:
+    """60 conversations of 4 turns (15 of them cowork, with sidecars) and 300 events of 100 sessions."""
+    turns = [(c, t, ("user", "assistant", "system", "assistant")[t], f"text {c} {t} é") for c in range(60) for t in range(4)]
+    events = [(e, dt.datetime(2024, 1, 1 + e % 5, 1, e % 60, e % 7), e // 5 % 20, "click" if e % 3 else "view", e / 7, f'{{"k": {e % 9}}}') for e in range(300)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _transcripts(root) -> set:
+    return {f for _, _, names in os.walk(root) for f in names if f.endswith(".jsonl")}
+
+
+def _shuffled(spark) -> set:
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_trees_of_a_large_corpus_are_on_disk_a_part_at_a_time(spark, tmp_path, monkeypatch):
+    sf_dir, there = _corpus(spark, tmp_path / "tables"), []
+
+    class Seen(corpus.CorpusTrees):
+        def parts(self, spark):
+            for source in super().parts(spark):
+                there.append(_transcripts(self.root))
+                yield source
+
+    tables, summaries = [], []
+    for part_bytes in (1 << 40, 200_000):
+        there.clear()
+        monkeypatch.setattr(entry, "CorpusTrees", lambda d, trees: Seen(d, trees, part_bytes))
+        monkeypatch.setattr(entry, "_DISK_RUNS", {})
+        names = [q for q in entry.queries() if q.startswith(("s1_disk_", "s3_disk_", "i3_disk_", "a14_disk_"))]
+        tables.append({q: sorted(map(str, entry.queries()[q](spark, sf_dir).collect())) for q in names})
+        root = next(iter(entry._DISK_RUNS.values()))[0]
+        summaries.append(spark.read.parquet(f"{root}/*/etl_state").count())
+        if part_bytes == 1 << 40:
+            assert len(there) == 1 and len(there[0]) == 160
+    assert len(there) > 2 and max(map(len, there)) < 100  # was all 160 at once
+    assert len(set().union(*there)) == sum(map(len, there)) == 160  # each session in one part
+    assert tables[0] == tables[1] and summaries == [160, 160]
+    assert len(tables[1]["s1_disk_sessions"]) == 160 and len(tables[1]["s3_disk_cowork_sessions"]) == 15
+
+
+def test_parts_hold_whole_sessions(spark, tmp_path):
+    line = {"type": "user", "uuid": "u1", "message": {"role": "user", "content": "x"}}
+    write_jsonl(f"{tmp_path}/a/projects/-p/s1.jsonl", [line])
+    write_jsonl(f"{tmp_path}/b/projects/-q/s1.jsonl", [line])
+    write_jsonl(f"{tmp_path}/b/projects/-q/s2.jsonl", [line])
+    os.makedirs(f"{tmp_path}/empty/projects")
+
+    class Parts:
+        def __init__(self, *names):
+            self.names = names
+
+        def parts(self, spark):
+            return (pipeline.DiskSource(f"{tmp_path}/{n}", f"{tmp_path}/none") for n in self.names)
+
+    with pytest.raises(ValueError, match="several parts"):
+        pipeline.run(spark, Parts("a", "b"), f"{tmp_path}/out1", mode="full")
+    res = pipeline.run(spark, Parts("empty", "b", "empty"), f"{tmp_path}/out2", mode="full")
+    assert res.files_extracted == 2 and res.summary["messages"] == 2
+    res = pipeline.run(spark, Parts("b", "empty"), f"{tmp_path}/out2")
+    assert res.files_extracted == 0
+    assert pipeline.run(spark, Parts("empty"), f"{tmp_path}/out3").files_extracted == 0
+    write_jsonl(f"{tmp_path}/c/projects/-p/s3.jsonl", [line])
+    now = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    for names in (("b", "c"), ("c",)):  # a retry of a batch replaces it, parts that it no longer has too
+        res = pipeline.run(spark, Parts(*names), f"{tmp_path}/out4", mode="full", now=now)
+        views = pipeline.TableRoot(spark, f"{tmp_path}/out4").views()
+        assert res.files_extracted == views["etl_state"].count() == views["sessions"].count() == (3 if len(names) == 2 else 1)
+
+
+def test_shuffles_of_a_run_leave_the_disk(spark, tmp_path):
+    sf_dir, before, key = _corpus(spark, tmp_path / "tables"), _shuffled(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    pipeline.run(spark, corpus.CorpusTrees(sf_dir, f"{tmp_path}/trees"), f"{tmp_path}/out", mode="full")
+    until = time.time() + 10
+    while _shuffled(spark) - before and time.time() < until:  # executors delete them a little later
+        time.sleep(0.1)
+    assert not _shuffled(spark) - before  # those of the last steps were there until the driver's heap was collected
+    assert spark.conf.get(key) == old
+
+
+def test_files_are_removed_in_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}/s{k}.jsonl").write_text("x")
+    rows = [(f"{tmp_path}/d{k % 3}/s{k}.jsonl",) for k in range(25)] + [(f"{tmp_path}/d0/gone.jsonl",)]
+    files.remove(spark.createDataFrame(rows, "file_path string").repartition(4))
+    assert _transcripts(tmp_path) == {f"s{k}.jsonl" for k in range(25, 30)}
